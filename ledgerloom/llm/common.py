@@ -26,6 +26,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def beside_text(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
+    """Rows (row, text): the kept columns as one struct, so that no name can clash, and the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(text_column).alias("text"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

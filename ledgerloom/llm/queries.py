@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,39 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir), shards=8)
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(_documents(spark, sf_dir))
+
+
+def _remainder(k: int) -> Column:
+    """crc32 of the id as text, modulo ``k``: the fold a document belongs to."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(k))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(5) != 0)
+    return score(docs, train(docs, labels)).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, train
+
+    docs = _documents(spark, sf_dir)
+    prototypes = train(docs.where(_remainder(4) != 2))
+    return identify(docs, prototypes).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -38,6 +72,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_document_fingerprints": op2_document_fingerprints,
+        "op4_toxicity": op4_toxicity,
+        "op6_language_id": op6_language_id,
+        "op7_license_scans": op7_license_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
