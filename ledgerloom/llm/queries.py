@@ -35,6 +35,12 @@ def _remainder(k: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(k))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(_documents(spark, sf_dir), threshold=0.8, ngram=5)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -43,6 +49,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, labels)).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, train
 
@@ -73,7 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_document_fingerprints": op2_document_fingerprints,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_toxicity": op4_toxicity,
+        "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
         "op7_license_scans": op7_license_scans,
         "op9_best_fit_packing": op9_best_fit_packing,
