@@ -69,6 +69,12 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
         "op7_license_scans": op7_license_scans,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
