@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +44,17 @@ def permuted(x: Column, n: int, key: int) -> Column:
     a, b = radices(n)
     la, lb = F.lit(a).cast("long"), F.lit(b).cast("long")
 
+    def left(r: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(F.pmod(s["l"] + _mixed(s["r"], key, r), la).alias("l"), s["r"].alias("r"))
+
+    def right(r: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + _mixed(s["l"], key, r), lb).alias("r"))
+
     def once(v: Column) -> Column:
-        # The halves are kept in a struct so that each round is written once.
+        # The halves are bound by a lambda, so that each round is written once.
         state = F.struct(F.floor(v / lb).cast("long").alias("l"), F.pmod(v, lb).alias("r"))
         for r in range(ROUNDS):
-            if r % 2 == 0:
-                state = F.transform(F.array(state), lambda s, r=r: F.struct(F.pmod(s["l"] + _mixed(s["r"], key, r), la).alias("l"), s["r"].alias("r")))[0]
-            else:
-                state = F.transform(F.array(state), lambda s, r=r: F.struct(s["l"].alias("l"), F.pmod(s["r"] + _mixed(s["l"], key, r), lb).alias("r")))[0]
+            state = F.transform(F.array(state), right(r) if r % 2 else left(r))[0]
         return F.transform(F.array(state), lambda s: s["l"] * lb + s["r"])[0]
 
     first = once(x.cast("long"))
