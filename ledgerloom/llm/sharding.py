@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,31 +30,30 @@ def radices(n: int) -> tuple[int, int]:
     return a, -(-n // a)
 
 
-def _mixed(value: Column, key: int, r: int) -> Column:
-    """A round function: residues of a keyed quadratic."""
-    m = (key * 1_000_003 + r * 7_919 + 12_345) % (PRIME - 1) + 1
-    c = (key * 69_621 + r * 104_729 + 54_321) % PRIME
-    t = F.pmod(F.pmod(value, F.lit(PRIME)) * F.lit(m) + F.lit(c), F.lit(PRIME))
-    return F.pmod(t * t + t * F.lit(m % 65_537) + F.lit(c), F.lit(PRIME))
+def _mixed(value: Column, k: Column) -> Column:
+    """A round function: residues of a quadratic with the round's numbers."""
+    t = F.pmod(F.pmod(value, F.lit(PRIME)) * k["m"] + k["c"], F.lit(PRIME))
+    return F.pmod(t * t + t * F.pmod(k["m"], F.lit(65_537)) + k["c"], F.lit(PRIME))
 
 
 def permuted(x: Column, n: int, key: int) -> Column:
     """The place of row number ``x`` among ``n`` under the permutation of ``key``."""
     a, b = radices(n)
     la, lb = F.lit(a).cast("long"), F.lit(b).cast("long")
+    rounds = []
+    for r in range(ROUNDS):
+        m = (key * 1_000_003 + r * 7_919 + 12_345) % (PRIME - 1) + 1
+        c = (key * 69_621 + r * 104_729 + 54_321) % PRIME
+        rounds.append(F.struct(F.lit(r % 2 == 0).alias("left"), F.lit(m).cast("long").alias("m"), F.lit(c).cast("long").alias("c")))
 
-    def left(r: int) -> Callable[[Column], Column]:
-        return lambda s: F.struct(F.pmod(s["l"] + _mixed(s["r"], key, r), la).alias("l"), s["r"].alias("r"))
-
-    def right(r: int) -> Callable[[Column], Column]:
-        return lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + _mixed(s["l"], key, r), lb).alias("r"))
+    def step(s: Column, k: Column) -> Column:
+        left = F.when(k["left"], F.pmod(s["l"] + _mixed(s["r"], k), la)).otherwise(s["l"])
+        right = F.when(k["left"], s["r"]).otherwise(F.pmod(s["r"] + _mixed(s["l"], k), lb))
+        return F.struct(left.alias("l"), right.alias("r"))
 
     def once(v: Column) -> Column:
-        # The halves are bound by a lambda, so that each round is written once.
-        state = F.struct(F.floor(v / lb).cast("long").alias("l"), F.pmod(v, lb).alias("r"))
-        for r in range(ROUNDS):
-            state = F.transform(F.array(state), right(r) if r % 2 else left(r))[0]
-        return F.transform(F.array(state), lambda s: s["l"] * lb + s["r"])[0]
+        halves = F.struct(F.floor(v / lb).cast("long").alias("l"), F.pmod(v, lb).alias("r"))
+        return F.aggregate(F.array(*rounds), halves, step, lambda s: s["l"] * lb + s["r"])
 
     first = once(x.cast("long"))
     excess = a * b - n
