@@ -78,24 +78,3 @@ def gap_islands(df: DataFrame, keys: list[str], position: str, flag: Column, lea
     marked = df.where(flag).withColumn("island", F.col(position) - F.row_number().over(order))
     runs = marked.groupBy(*keys, "island").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count(F.lit(1)).alias("length"))
     return runs.where(F.col("length") >= least).drop("island")
-
-
-def segment_text_lines(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Regions of a text-layer page: columns at wide gaps in x, blocks at wide gaps in y.
-
-    Gaps: between the largest right edge so far and the next left edge, more than
-    twice the median height; then in a column between bottoms and tops, max(3 heights,
-    2.5 % of the page).  Adds ``region_no`` from 1 in reading order.
-    """
-    keys = keys or ["file_id", "page_no"]
-    page = Window.partitionBy(*keys)
-    used = lines.where(strip(F.col("text")) != "").withColumn("h", F.median(F.col("y1") - F.col("y0")).over(page)).withColumn("page_h", F.max("y1").over(page))
-    along = Window.partitionBy(*keys).orderBy("x0", "line_no")
-    reach = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    used = used.withColumn("column", F.sum((F.coalesce(F.col("x0") - reach, F.lit(0.0)) > 2 * F.col("h")).cast("int")).over(along))
-    down = Window.partitionBy(*keys, "column").orderBy("y0", "line_no")
-    bottom = F.max("y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
-    wide = F.greatest(3 * F.col("h"), 0.025 * F.col("page_h"))
-    used = used.withColumn("block", F.sum((F.coalesce(F.col("y0") - bottom, F.lit(0.0)) >= wide).cast("int")).over(down))
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("column", "block"))
-    return used.withColumn("region_no", rank).drop("h", "page_h", "column", "block")
