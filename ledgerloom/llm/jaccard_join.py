@@ -29,7 +29,7 @@ from .common import beside_text, bound_batches, cut, id_bitmap, text_of, with_ma
 TREES, DEPTH = 20, 6
 RECALL = 0.9995
 #: Classes of a group in one block.
-BLOCK = 256
+BLOCK = 512
 #: Columns of a matrix of shingles at a time.
 COLUMNS = 8192
 
@@ -83,6 +83,17 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash: two unequal shingles of a pair of sets of a thousand meet with probability 1e-6."""
+    top = hashes >> np.uint64(24)
+    return (top >> np.uint64(8)).astype("<u4").tobytes() + (top & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return (np.frombuffer(raw, dtype="<u4", count=n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(raw, dtype=np.uint8, offset=4 * n)
+
+
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """Signatures (sets x TREES * DEPTH) of non-empty sets."""
     every = np.concatenate(sets)
@@ -110,10 +121,16 @@ def _labels(signatures: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _classes(docs: DataFrame, ngram: int, depth: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, class (hash of the shingle set, or of the text if there are no words), labels (none then)."""
+def _name(hashes: np.ndarray, text: str) -> bytes:
+    """A class's name: of its shingles, or of the text if there are none."""
     import hashlib
 
+    kind = b"s" if len(hashes) else b"t"
+    return hashlib.blake2b(hashes.tobytes() or text.encode("utf-8", "surrogatepass"), digest_size=16, person=kind).digest()
+
+
+def _classes(docs: DataFrame, ngram: int, depth: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, class (hash of the shingle set, or of the text if there are no words), labels (none then)."""
     rows = beside_text(docs, [id_column], text_column).select(F.col("row")[id_column].cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +138,7 @@ def _classes(docs: DataFrame, ngram: int, depth: int, id_column: str, text_colum
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 256):
                 sets = [shingles(t, ngram) for t in texts[at : at + 256]]
-                keys = [hashlib.blake2b(s.tobytes() if len(s) else t.encode("utf-8", "surrogatepass"), digest_size=16, person=b"s" if len(s) else b"t").digest() for s, t in zip(sets, texts[at:], strict=False)]
+                keys = [_name(s, t) for s, t in zip(sets, texts[at:], strict=False)]
                 labels: list[list[int] | None] = [None] * len(sets)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
@@ -166,7 +183,7 @@ def _verify(threshold: float):
         tree, same = held[0][1], held[0][2]
         held = sorted(held, key=lambda r: (r[3], r[4]))
         left = sum(1 for r in held if r[3] == 0)
-        sets = [np.frombuffer(r[7], dtype=np.uint64) for r in held]
+        sets = [unpacked(r[7]) for r in held]
         links = _linked(sets, left, threshold)
         labels = np.array([r[6] for r in held], dtype=np.int64)
         # Met in an earlier tree: counted there.
@@ -273,12 +290,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall
     depth = forest_depth(threshold, recall)
     found = cut(_classes(docs, ngram, depth, id_column, text_column))
     known = found.where(F.col("doc_id").isNotNull())
-    # One row for each class; copies are counted before the shuffle.
-    groups = cut(known.groupBy("class").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight")))
+    # One row for each class; copies are counted before the shuffle.  A node is a class's 64-bit name.
+    groups = cut(known.groupBy("class").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.xxhash64("class")))
     # A class's labels are those of any of its rows: its first one's.
-    nodes = known.join(groups, "class").where((F.col("doc_id") == F.col("node")) & F.col("labels").isNotNull()).dropDuplicates(["node"]).select("node", "weight", "labels")
-    nodes = cut(nodes)
-    members = nodes.select("node", "weight", "labels", F.posexplode("labels").alias("tree", "label"))
+    nodes = known.join(groups, "class").where((F.col("doc_id") == F.col("copy_of")) & F.col("labels").isNotNull())
+    nodes = cut(nodes.dropDuplicates(["node"]).select("node", "copy_of", "weight", "labels"))
+    members = nodes.select("node", "copy_of", "weight", "labels", F.posexplode("labels").alias("tree", "label"))
     # Candidate groups: a prefix that two classes share at least, known by an order-free hash of its members.
     mark = F.xxhash64("node")
     sizes = members.select("tree", "label", "node").groupBy("tree", "label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(mark, 8)).alias("h1"), F.bit_xor(mark).alias("h2")).where("size > 1")
@@ -288,23 +305,29 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall
     # Block i meets every block j; the unit's name has the smaller block first.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    dealt = dealt.select("node", "weight", "labels", "tree", F.xxhash64("tree", "label", "low", "high").alias("unit"), (F.col("low") == F.col("high")).alias("same"), F.when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"))
+    # 32 bits of a label are enough to tell whether two members met in an earlier tree.
+    dealt = dealt.select("node", "copy_of", "weight", F.transform("labels", lambda x: (x.bitwiseAND(0x7FFFFFFF)).cast("int")).alias("labels"), "tree", F.xxhash64("tree", "label", "low", "high").alias("unit"), (F.col("low") == F.col("high")).alias("same"), F.when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"))
     dealt = cut(dealt)
-    needed = dealt.select("node").distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("node"), text_of(text_column).alias("text")).where(F.col("node").isNotNull())
-    # Only texts of classes in some group are moved: a bitmap of fixed size turns the others away first.
-    texts = with_maybe(texts, id_bitmap(needed, "node"), "node").where("maybe").drop("maybe").join(needed, "node", "left_semi")
+    needed = dealt.select(F.col("copy_of").alias("doc_id")).distinct()
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).where(F.col("doc_id").isNotNull())
+    # Only texts of classes in some group are shingled again: a bitmap of fixed size turns the others away.
+    texts = with_maybe(texts, id_bitmap(needed, "doc_id"), "doc_id").where("maybe").drop("maybe")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t, ngram).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "shingles"])
+            found = [shingles(t, ngram) for t in batch.column("text").to_pylist()]
+            full = [s for s in found if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s, "") for s in full], pa.binary()), pa.array([packed(s) for s in full], pa.binary())], names=["class", "shingles"])
 
-    shingled = texts.mapInArrow(sets, "node long, shingles binary")
+    # Repeated rows have one class: any of them will do.
+    shingled = texts.mapInArrow(sets, "class binary, shingles binary").select(F.xxhash64("class").alias("node"), "shingles").dropDuplicates(["node"])
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = dealt.join(shingled, "node").repartition(count, "unit").sortWithinPartitions("unit")
     results = cut(work.select("unit", "tree", "same", "side", "node", "weight", "labels", "shingles").mapInArrow(_verify(threshold), "a long, b long, n long"))
     counts = results.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    roots = components(results.where("b is not null").select("a", "b"))
-    classes = groups.join(counts, "node", "left").join(roots, "node", "left")
-    classes = classes.select("class", F.col("node").alias("copy_of"), F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    roots = cut(components(results.where("b is not null").select("a", "b")).join(groups.select("node", "copy_of"), "node"))
+    firsts = roots.groupBy("root").agg(F.min("copy_of").alias("first"))
+    firsts = roots.join(firsts, "root").select("node", "first")
+    classes = groups.join(counts, "node", "left").join(firsts, "node", "left")
+    classes = classes.select("class", "copy_of", F.coalesce("first", "copy_of").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     return known.select("doc_id", "class").join(classes, "class").select("doc_id", "class_id", "copy_of", "n_links").union(found.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(0).cast("long")))
