@@ -295,13 +295,14 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall
     # A class's labels are those of any of its rows: its first one's.
     nodes = known.join(groups, "class").where((F.col("doc_id") == F.col("copy_of")) & F.col("labels").isNotNull())
     nodes = cut(nodes.dropDuplicates(["node"]).select("node", "copy_of", "weight", "labels"))
-    members = nodes.select("node", "copy_of", "weight", "labels", F.posexplode("labels").alias("tree", "label"))
+    # Each node has a row for each tree: these rows are kept to three numbers, and what else a member needs is joined to the few that stay.
+    members = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
     # Candidate groups: a prefix that two classes share at least, known by an order-free hash of its members.
     mark = F.xxhash64("node")
-    sizes = members.select("tree", "label", "node").groupBy("tree", "label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(mark, 8)).alias("h1"), F.bit_xor(mark).alias("h2")).where("size > 1")
+    sizes = members.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(mark, 8)).alias("h1"), F.bit_xor(mark).alias("h2")).where("size > 1")
     unit = sizes.groupBy("size", "h1", "h2").agg(F.min(F.struct("tree", "label")).alias("first")).select("size", F.col("first.tree").alias("tree"), F.col("first.label").alias("label"))
     unit = cut(unit)
-    dealt = members.join(unit, ["tree", "label"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = members.join(unit, ["tree", "label"]).join(nodes, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     # Block i meets every block j; the unit's name has the smaller block first.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
