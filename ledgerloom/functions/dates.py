@@ -62,6 +62,16 @@ def _readings(match: Column, pattern: str, kind: str) -> Column:
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
+#: Cheap tests of whether a pattern of either sort can match at all: most rows of a receipt hold no date.
+_MAY_BE_NUMERIC = r"\d[-/.]\d{1,2}[-/.]\d|\d\s*年"
+_MAY_BE_NAMED = r"\d\s*[A-Za-z][A-Za-z01Il]{2,8}[\s.,']*\d|[A-Za-z][A-Za-z01Il]{2,8}\.?\s+\d{1,2}[\s.,]+\d{4}"
+_EMPTY = "array<struct<primary:string,candidates:array<string>>>"
+
+
+def may_hold_date(text: Column) -> Column:
+    return text.rlike("(?U)" + _MAY_BE_NUMERIC + "|" + _MAY_BE_NAMED)
+
+
 def extract(text: Column, order: str = "dmy") -> Column:
     """array<struct<primary, candidates>> of the dates in the text, by pattern and then place.
 
@@ -72,6 +82,11 @@ def extract(text: Column, order: str = "dmy") -> Column:
     for pattern, kind in PATTERNS:
         state = let(state, _step(pattern, kind))
     first = 1 if order == "dmy" else -1
+    none = F.when(text.isNotNull(), F.array().cast(_EMPTY))
+    return F.when(~may_hold_date(text), none).otherwise(_primary(state, first))
+
+
+def _primary(state: Column, first: int) -> Column:
     return F.transform(state["found"], lambda r: F.struct(F.element_at(r, first).alias("primary"), r.alias("candidates")))
 
 
@@ -93,12 +108,18 @@ def _step(pattern: str, kind: str) -> Callable[[Column], Column]:
 
 def without_dates(text: Column) -> Column:
     """The text with everything that looks like a date or a time of day masked, so that only other numbers stay."""
+    plain = let(text, _without_patterns)
+    text = F.when(may_hold_date(text), plain).otherwise(text)
+    return F.regexp_replace(text, TIME, MASK)
+
+
+def _without_patterns(text: Column) -> Column:
     for pattern, kind in PATTERNS:
         if kind in ("ymd", "ab4", "ab2"):
             text = F.regexp_replace(text, pattern, MASK)
         else:
             text = let(text, _without_named(pattern, 1 if kind == "Mdy" else 2))
-    return F.regexp_replace(text, TIME, MASK)
+    return text
 
 
 def _without_named(pattern: str, place: int) -> Callable[[Column], Column]:
