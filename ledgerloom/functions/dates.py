@@ -75,35 +75,25 @@ def may_hold_date(text: Column) -> Column:
 def extract(text: Column, order: str = "dmy") -> Column:
     """array<struct<primary, candidates>> of the dates in the text, by pattern and then place.
 
-    A text that one pattern has read is masked for those after it.  Of an ambiguous
-    date both readings stay; ``order`` says which is primary, if both are legal.
+    What one pattern has matched is masked for those after it.  Of an ambiguous date
+    both readings stay; ``order`` says which is primary, if both are legal.
+
+    The patterns are kept side by side, not nested: nested bindings cost the analyser
+    seconds for each use.
     """
-    state = F.struct(text.alias("left"), F.array().cast("array<array<string>>").alias("found"))
+    parts, left = [], text
     for pattern, kind in PATTERNS:
-        state = let(state, _step(pattern, kind))
+        read = F.transform(F.regexp_extract_all(left, F.lit(pattern), F.lit(0)), _reader(pattern, kind))
+        parts.append(F.filter(read, lambda c: F.size(c) > 0))
+        left = F.regexp_replace(left, pattern, MASK)
     first = 1 if order == "dmy" else -1
+    found = F.transform(F.flatten(F.array(*parts)), lambda r: F.struct(F.element_at(r, first).alias("primary"), r.alias("candidates")))
     none = F.when(text.isNotNull(), F.array().cast(_EMPTY))
-    return F.when(~may_hold_date(text), none).otherwise(_primary(state, first))
-
-
-def _primary(state: Column, first: int) -> Column:
-    return F.transform(state["found"], lambda r: F.struct(F.element_at(r, first).alias("primary"), r.alias("candidates")))
-
-
-def _step(pattern: str, kind: str) -> Callable[[Column], Column]:
-    """One pattern over what the patterns before it have left."""
+    return F.when(~may_hold_date(text), none).otherwise(found)
 
-    def step(state: Column) -> Column:
-        read = F.transform(F.regexp_extract_all(state["left"], F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("match"), _readings(m, pattern, kind).alias("candidates")))
-        return let(
-            F.filter(read, lambda r: F.size(r["candidates"]) > 0),
-            lambda rs: F.struct(
-                F.aggregate(rs, state["left"], lambda t, r: F.replace(t, r["match"], F.lit(MASK))).alias("left"),
-                F.concat(state["found"], F.transform(rs, lambda r: r["candidates"])).alias("found"),
-            ),
-        )
 
-    return step
+def _reader(pattern: str, kind: str) -> Callable[[Column], Column]:
+    return lambda match: _readings(match, pattern, kind)
 
 
 def without_dates(text: Column) -> Column:
