@@ -12,7 +12,7 @@
    their intersections by matrix products.  A pair is counted in the first tree
    in which it meets.  Only links counted by class, and links enough to connect what
    is connected, leave the task: never the pairs themselves.
-5. Components of the links by label propagation.
+5. Components of the links by label propagation with hooking, until no label changes.
 """
 
 from __future__ import annotations
@@ -251,24 +251,28 @@ def _verify(threshold: float):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of every node of an edge (a, b).
 
-    Each round takes the smallest label among neighbours and then the label's own
-    label, so long chains shrink fast; rounds end when no label changes.
+    Each round takes the smallest label of a neighbour's label, for the node and also
+    for the node that is its label (whole trees hook onto others), and then the
+    label's own label: trees merge and halve, so rounds grow with the logarithm of
+    the nodes, not with a chain's length.  The rounds end when no label changes: a
+    label is then its own label and the same across every edge.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = new.select(F.col("node").alias("via"), F.col("root").alias("jumped"))
-        new = cut(new.join(jump, F.col("root") == F.col("via"), "left").select("node", "old", F.least("root", F.coalesce("jumped", "root")).alias("root")))
-        changed = new.where(F.col("old") != F.col("root")).limit(1).count()
+    while True:
+        own = labels.select(F.col("node").alias("via"), F.col("root").alias("jumped"))
+        # Every label is a node with a label of its own.
+        jump = cut(labels.join(own, F.col("root") == F.col("via")).select("node", "root", "jumped"))
+        near = both.join(jump.select("node", "jumped"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("jumped").alias("near"))
+        taken = cut(jump.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("jumped", "near").alias("root"), "near"))
+        hooks = taken.groupBy(F.col("old").alias("hooked")).agg(F.min("near").alias("onto"))
+        new = cut(taken.join(hooks, F.col("node") == F.col("hooked"), "left").select("node", "old", F.least("root", F.coalesce("onto", "root")).alias("root")))
         labels = new.select("node", "root")
-        if not changed:
-            break
-    return labels
+        if new.where(F.col("old") != F.col("root")).isEmpty():
+            return labels
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -126,6 +126,30 @@ def test_op3_blocks(spark, texts, monkeypatch):
     assert got == {i: (c, n) for (i, _), c, n in zip(near[:-1], classes, links, strict=True)}
 
 
+def test_op3_components_of_a_long_chain(spark, monkeypatch):
+    """A chain of 2,000 nodes of random names, a second one and a star: as by union-find, in few rounds."""
+    rng = np.random.default_rng(1)
+    names = rng.integers(-(1 << 63), 1 << 63, 2600, dtype=np.int64).tolist()
+    edges = list(zip(names[:2000], names[1:2000])) + list(zip(names[2000:2500], names[2001:2500])) + [(names[2500], x) for x in names[2501:]]
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    cuts = []
+    whole = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: cuts.append(1) or whole(df))
+    got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in names}
+    assert len(cuts) < 2 + 3 * 20
+
+
 def test_op4_toxicity(spark, documents, nothing):
     rows, labels = [], []
     import random
