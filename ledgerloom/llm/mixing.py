@@ -1,52 +1,49 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are cut into blocks.  With weight w the j-th block (from 0) is
-released at slot floor(j / w) and due by slot ceil((j + 1) / w).  In each slot the
-released block with the earliest deadline runs.  With weights that are multiples of
-1/PERIOD this schedule repeats every PERIOD slots, and at every slot each source is
-less than one block away from its share.
-
-So the driver makes one period's table of slots for each phase; a phase ends in
-the period in which a source runs out, after which the others share its weight in
-proportion.  The tables' size depends on the number of sources and the period, not
-on rows.  Each block's slot then follows from its number by arithmetic.
+Rows of a source are cut into blocks.  With weight w, a share of all, the j-th block
+(from 0) is released at slot floor(j / w) and due by slot ceil((j + 1) / w).  In each
+slot the released block with the earliest deadline runs.  Weights are exact fractions,
+never rounded to slots, so at every slot each source is less than one block away from
+its share, however long the phase is.  The schedule repeats after as many slots as the
+weights' common denominator.
+
+So the driver makes one table of slots for each phase; a phase ends at the slot at
+which a source runs out, after which the others share its weight in proportion.  A
+table has as many slots as the common denominator, or as the phase if that is
+shorter: 20 equal sources need 20 slots, weights without a small common denominator
+one for each block.  Each block's slot then follows from its number by arithmetic.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots after which the schedule repeats; at least the number of sources.
+#: Slots of a repeated table at least: short schedules are tabled several times over.
 PERIOD = 512
 #: Salted groups in which a source's rows are numbered.
 SALTS = 256
 
 
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source: largest remainders, one slot at least."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    short = period - sum(out.values())
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    i = 0
-    while short > 0:
-        out[order[i % len(order)]] += 1
-        short -= 1
-        i += 1
-    while short < 0:  # floors of one slot took more than there is
-        most = max(out, key=lambda s: (out[s], s))
-        out[most] -= 1
-        short += 1
-    return out
+def _exact(weight: float) -> Fraction:
+    """The weight as a fraction: the simplest one if it is the same float, as 1/3 or 1/10, else the float's own."""
+    simple = Fraction(weight).limit_denominator(10**9)
+    return simple if float(simple) == float(weight) else Fraction(weight)
+
+
+def quotas(weights: dict[str, float], period: int) -> dict[str, Fraction]:
+    """Each source's exact share of a period's slots; what is not whole is carried on."""
+    exact = {s: _exact(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: w / total * period for s, w in exact.items()}
 
 
-def schedule(slots: dict[str, int], period: int) -> list[str]:
-    """Earliest deadline first among released blocks, for one period."""
+def schedule(slots: dict[str, int], period: int, most: dict[str, int] | None = None) -> list[str]:
+    """Earliest deadline first among released blocks, for one period or until a source has placed its ``most`` blocks."""
     released: list[tuple[int, int, str, int]] = []
     waiting = [(0, s, 0) for s in sorted(slots)]  # release, source, block
     heapq.heapify(waiting)
@@ -57,6 +54,8 @@ def schedule(slots: dict[str, int], period: int) -> list[str]:
             heapq.heappush(released, (-(-(j + 1) * period // slots[s]), -slots[s], s, j))
         _, _, s, j = heapq.heappop(released)
         out.append(s)
+        if most and j + 1 == most[s]:
+            break
         if j + 1 < slots[s]:
             heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
     return out
@@ -73,10 +72,14 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> di
     out: dict[str, list[tuple[int, int, list[int], int]]] = {s: [] for s in live}
     at = 0
     while live:
-        span = max(period, len(live))
-        q = quotas(live, span)
-        order = schedule(q, span)
-        whole = min((blocks[s] - done[s]) // q[s] for s in live)
+        shares = quotas(live, 1)
+        span = math.lcm(*(x.denominator for x in shares.values()))
+        span *= -(-period // span)
+        q = {s: int(x * span) for s, x in shares.items()}
+        rest = {s: blocks[s] - done[s] for s in live}
+        order = schedule(q, span, rest)
+        # Whole tables in which no source runs out.
+        whole = min((rest[s] - 1) // q[s] for s in live)
         if whole:
             places: dict[str, list[int]] = {s: [] for s in q}
             for t, s in enumerate(order):
@@ -85,12 +88,13 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> di
                 out[s].append((done[s], whole * q[s], places[s], span))
                 done[s] += whole * q[s]
             at += whole * span
-        # The period in which a source runs out: the slots it leaves empty are closed up.
+        # The table in which a source runs out, up to that slot.
         left: dict[str, list[int]] = {s: [] for s in live}
         for s in order:
-            if done[s] + len(left[s]) < blocks[s]:
-                left[s].append(at)
-                at += 1
+            left[s].append(at)
+            at += 1
+            if done[s] + len(left[s]) == blocks[s]:
+                break
         for s, places_left in left.items():
             if places_left:
                 out[s].append((done[s], len(places_left), places_left, 0))
@@ -130,7 +134,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     wanted = {s: float((weights or {}).get(s, least)) for s in totals}
     blocks = {s: -(-n // block_rows) for s, n in totals.items()}
     table = [(s, [tuple(x) for x in stretches]) for s, stretches in phases(blocks, wanted, period).items()]
-    # One row for each source; its size is bounded by sources times the period.
+    # One row for each source; together as large as the phases' tables.
     stretches = spark.createDataFrame(table, "mix_source string, stretches array<struct<first:long,n:long,places:array<long>,stride:long>>")
     inside = Window.partitionBy("mix_source", "salt").orderBy("mix_id", F.xxhash64("row"))
     numbered = rows.withColumn("rank", F.row_number().over(inside)).join(offsets.select("mix_source", "salt", "before"), ["mix_source", "salt"])

@@ -210,6 +210,28 @@ def test_op5_deviates_by_less_than_a_block(weights):
             break
 
 
+@pytest.mark.parametrize("weights", [{f"s{i}": 1 for i in range(20)}, {"a": 3, "b": 2, "c": 2, "d": 1}, {"a": 0.9991, "b": 0.0009}, {"a": 0.123456789, "b": 0.3, "c": 2 / 3, "d": 0.51}])
+def test_op5_keeps_the_given_weights(weights):
+    """Over many periods, against the weights themselves; after a source runs out, against those of the others from there on."""
+    blocks = {s: 2000 + 700 * (i % 4) for i, s in enumerate(weights)}
+    slot = {}
+    for s, stretches in mixing.phases(blocks, weights, mixing.PERIOD).items():
+        for first, n, places, stride in stretches:
+            for b in range(n):
+                slot[places[b % len(places)] + stride * (b // len(places))] = s
+    assert sorted(slot) == list(range(sum(blocks.values())))
+    left, live, seen, start = dict(blocks), dict(weights), Counter(), 0
+    for t in range(len(slot)):
+        s = slot[t]
+        seen[s] += 1
+        left[s] -= 1
+        total = sum(live.values())
+        assert all(abs(seen[x] - w / total * (t + 1 - start)) < 1 + 1e-9 for x, w in live.items())
+        if not left[s]:
+            live.pop(s)
+            seen, start = Counter(), t + 1
+
+
 def test_op6_languages(spark, documents, nothing):
     data = [(i, ("the thing and the other hand " if i % 2 else "die schöne und große ungen ") * 5, "en" if i % 2 else "de") for i in range(40)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
