@@ -45,6 +45,7 @@ STEM_LENGTHS = (3, 9)
 LEAST_TOXIC, LEAST_LIFT, LEAST_Z, MOST_STEMS = 5, 2.5, 5.0, 400
 
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
+#: Words as they are counted for a text's length.
 _QUICK = re.compile(rb"[a-z\x80-\xff']+")
 
 
@@ -63,7 +64,7 @@ class Grammar:
         self.lengths = sorted({len(s) for s in model.stems}, reverse=True)
         self.threats = model.threats
         self.targets, self.negations, self.reports = frozenset(TARGETS), frozenset(NEGATIONS), frozenset(REPORTS)
-        self.memory: dict[bytes, bool] = {}
+        self.memory: dict[str, bool] = {}
 
     def insult(self, word: str) -> float:
         """Weight of the longest stem that the word starts with; 0 if none."""
@@ -72,12 +73,11 @@ class Grammar:
                 return w
         return 0.0
 
-    def _loaded(self, raw: bytes) -> bool:
-        word = raw.decode("utf-8", "replace")
+    def _loaded(self, word: str) -> bool:
         return word in self.threats or self.insult(word) > 0
 
-    def touches(self, words: set[bytes]) -> bool:
-        """Whether any word can start a match; each different word is judged once a worker."""
+    def touches(self, words: set[str]) -> bool:
+        """Whether any of the grammar's words can start a match; each different word is judged once a worker."""
         known = self.memory
         if len(known) > 500_000:
             known.clear()
@@ -91,10 +91,13 @@ class Grammar:
 
     def clauses(self, low: str) -> list[float]:
         """Weights of the matched clauses of a lower-cased text."""
+        return self._weigh(_TOKENS.findall(low))
+
+    def _weigh(self, tokens: list[str]) -> list[float]:
         out: list[float] = []
         weight, negated, targeted, reported, threat = 0.0, 99, 99, False, 0.0
         pending = 0.0  # what a target that follows would add
-        for token in _TOKENS.findall(low):
+        for token in tokens:
             if len(token) == 1 and token in ".!?;:\n":
                 if weight > 0:
                     out.append(weight)
@@ -127,11 +130,12 @@ class Grammar:
     def features(self, text: str) -> list[float]:
         """Sum, log of it, largest clause weight, weight a hundred words, log of the number of words."""
         low = text.lower()
-        words = _QUICK.findall(low.encode("utf-8", "surrogatepass"))
-        n = max(1, len(words))
-        if not self.touches(set(words)):
+        n = max(1, len(_QUICK.findall(low.encode("utf-8", "surrogatepass"))))
+        # The automaton's own words decide: a sign that is glued to a word is no part of it.
+        tokens = _TOKENS.findall(low)
+        if not self.touches(set(tokens)):
             return [0.0, 0.0, 0.0, 0.0, float(np.log(n))]
-        found = self.clauses(low)
+        found = self._weigh(tokens)
         total = sum(found)
         return [min(total, 200.0) / 10, float(np.log1p(total)), min(max(found, default=0.0), 30.0) / 3, min(100 * total / n, 100.0) / 10, float(np.log(n))]
 

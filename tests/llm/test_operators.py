@@ -182,6 +182,16 @@ def test_op4_grammar():
     assert len(g.clauses("idiot. idiot")) == 2
 
 
+@pytest.mark.parametrize("text", ["\u201cidiots\u201d", "\u2018idiot\u2019", "\u00a1idiota!", "\u00abidiot\u00bb", "you\u2014idiot", "'idiot' again", "''idiot", "they kill\u2026 you", "'kill' you", "\u201ckill\u201d you", "x_idiot", "7idiot"])
+def test_op4_signs_beside_a_word_hide_nothing(text):
+    """Features are those of the clauses, whatever stands beside a loaded word."""
+    g = toxicity.Grammar(toxicity.Model(stems={"idiot": 3.0}, threats={"kill": 2.0}))
+    total = sum(g.clauses(text))
+    assert total > 0
+    assert g.features(text)[0] == total / 10
+    assert g.features("\u201cstone\u201d \u00a1river!")[:4] == [0.0] * 4
+
+
 def test_op5_mix(spark, nothing):
     rows = [(i, "t", "big" if i % 3 else f"s{i % 4}") for i in range(400)] + [(900, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
