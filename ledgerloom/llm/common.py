@@ -26,6 +26,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes by which equal texts are known."""
+    return F.unhex(F.md5(F.encode(text, "utf-8")))
+
+
 def beside_text(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
     """Rows (row, text): the kept columns as one struct, so that no name can clash, and the text."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(text_column).alias("text"))
@@ -36,11 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a machine-local one only where Spark runs on one machine."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return shared or tempfile.mkdtemp(prefix="checkpoints-")
+
+
 #: Words of 64 bits in an id bitmap; its size never depends on the data.
 BITMAP_WORDS = 1 << 17
 

@@ -1,22 +1,32 @@
 """Similarity join of texts by the Jaccard index of their word n-grams.
 
 1. Each text's shingles are hashed; texts with the same set of shingles are one
-   class, so copies are counted, not compared.
-2. A MinHash LSH forest: each of TREES trees has a label of DEPTH minima for each
-   class.  Matched prefixes are shortened from DEPTH down to the longest at which a
-   pair at the threshold meets in some tree with probability ``recall``; classes
-   that share such a prefix in a tree are a group of candidates.
-3. Groups with the same members in several trees are one.  A large group is dealt
-   in pairs of blocks, so no task holds an unbounded one.
-4. Exact verification within a pair of blocks: the shingle sets of both blocks,
+   class, so copies are counted, not compared.  A class has a name of 128 bits.
+2. A MinHash LSH forest: TREES prefix tries of DEPTH minima, each a sorted array of
+   labels.  Neighbours in the order have the longest common prefixes, so one pass
+   over the sorted rows finds those that share a prefix of LEAST minima or more with
+   any other; all others match nobody in that tree at any depth that is used.
+3. Matched prefixes are shortened adaptively.  A class starts in each tree at the
+   deepest prefix.  A pair at the threshold t misses a prefix of k minima with
+   probability 1 - t^k, so the class's own recall bound is 1 - prod(1 - t^k) over the
+   trees.  While that is under the target, the tree in which the next shorter prefix
+   has the fewest companions is shortened by one.  Prefixes that match nobody are
+   shortened freely.  A trie's node that any class wants closed is closed for its whole
+   subtree, so both sides of a pair agree, and a bound can only grow.
+4. Classes below one closed node are a group of candidates.  Groups with the same
+   members in several trees are one.  A large group is dealt in pairs of blocks, so
+   no task holds an unbounded one.
+5. Exact verification within a pair of blocks: the shingle sets of both blocks,
    their intersections by matrix products.  A pair is counted in the first tree
    in which it meets.  Only links counted by class, and links enough to connect what
    is connected, leave the task: never the pairs themselves.
-5. Components of the links by label propagation with hooking, until no label changes.
+6. Components of the links by label propagation with hooking, until no label changes.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside_text, bound_batches, cut, id_bitmap, text_of, with_maybe
+from .common import bound_batches, cut, id_bitmap, text_key, text_of, with_maybe
 
-TREES, DEPTH = 20, 6
-RECALL = 0.9995
+#: Tries, minima of the deepest and of the shortest prefix.
+TREES, DEPTH, LEAST = 20, 6, 2
+RECALL = 0.99999
 #: Classes of a group in one block.
-BLOCK = 512
+BLOCK = 256
+#: Bytes of one minimum in a label, and of one tree's label.
+SYMBOL = 2
+LABEL = DEPTH * SYMBOL
 #: Columns of a matrix of shingles at a time.
 COLUMNS = 8192
 
@@ -95,30 +109,39 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """Signatures (sets x TREES * DEPTH) of non-empty sets."""
+    """Signatures (sets x TREES * DEPTH) of non-empty sets: 16 mixed bits of each minimum."""
     every = np.concatenate(sets)
     starts = np.append(0, np.cumsum([len(s) for s in sets])[:-1])
     out = np.empty((len(sets), len(_SEEDS)), dtype=np.uint32)
     for k, seed in enumerate(_SEEDS):
         out[:, k] = np.minimum.reduceat((every * seed) >> np.uint64(32), starts)
-    return out
+    return ((out ^ (out >> np.uint32(16))) & np.uint32(0xFFFF)).astype(">u2")
 
 
-def forest_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with probability recall."""
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
+def gains(threshold: float) -> list[float]:
+    """-ln of the probability that a pair at the threshold misses a prefix of k minima, for k from 0 to DEPTH."""
+    return [math.inf] + [-math.log1p(-min(threshold**k, 1 - 1e-12)) for k in range(1, DEPTH + 1)]
 
 
-def _labels(signatures: np.ndarray, k: int) -> np.ndarray:
-    """One 64-bit name for each tree's prefix of k minima."""
-    parts = signatures.reshape(len(signatures), TREES, DEPTH)[:, :, :k].astype(np.uint64)
-    out = np.tile(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(_BASE), (len(signatures), 1))
-    for i in range(k):
-        out = _mix(out ^ (parts[:, :, i] + np.uint64(_BASE)))
-    return out
+def shortened(companions: dict[int, list[int]], threshold: float, recall: float) -> dict[int, int]:
+    """The prefix length at which a class is met in each tree where it has companions.
+
+    companions: by tree, the classes that share its prefix of LEAST, .., DEPTH minima.
+    In the other trees it matches nobody at LEAST already.
+    """
+    gain, target = gains(threshold), -math.log(max(1 - recall, 1e-300))
+    depth = dict.fromkeys(companions, DEPTH)
+    total = (TREES - len(companions)) * gain[LEAST] + len(companions) * gain[DEPTH]
+    ready = [(companions[t][DEPTH - 1 - LEAST], t) for t in companions] if DEPTH > LEAST else []
+    heapq.heapify(ready)
+    # Shortening is free where nobody is met; else it goes on until the target.
+    while ready and (total < target or ready[0][0] <= 1):
+        _, t = heapq.heappop(ready)
+        depth[t] -= 1
+        total += gain[depth[t]] - gain[depth[t] + 1]
+        if depth[t] > LEAST:
+            heapq.heappush(ready, (companions[t][depth[t] - 1 - LEAST], t))
+    return depth
 
 
 def _name(hashes: np.ndarray, text: str) -> bytes:
@@ -129,9 +152,10 @@ def _name(hashes: np.ndarray, text: str) -> bytes:
     return hashlib.blake2b(hashes.tobytes() or text.encode("utf-8", "surrogatepass"), digest_size=16, person=kind).digest()
 
 
-def _classes(docs: DataFrame, ngram: int, depth: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, class (hash of the shingle set, or of the text if there are no words), labels (none then)."""
-    rows = beside_text(docs, [id_column], text_column).select(F.col("row")[id_column].cast("long").alias("doc_id"), "text")
+def _classes(docs: DataFrame, ngram: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text_key (MD5 of the text), class (name of the shingle set, or of the text if there are no words), signature (null then)."""
+    keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+    rows = keyed.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +163,89 @@ def _classes(docs: DataFrame, ngram: int, depth: int, id_column: str, text_colum
             for at in range(0, len(texts), 256):
                 sets = [shingles(t, ngram) for t in texts[at : at + 256]]
                 keys = [_name(s, t) for s, t in zip(sets, texts[at:], strict=False)]
-                labels: list[list[int] | None] = [None] * len(sets)
+                signatures: list[bytes | None] = [None] * len(sets)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
-                    for i, row in zip(full, _labels(minima([sets[i] for i in full]), depth).view(np.int64).tolist(), strict=True):
-                        labels[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], names=["doc_id", "class", "labels"])
+                    for i, row in zip(full, minima([sets[i] for i in full]), strict=True):
+                        signatures[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, 256), batch.column("text_key").slice(at, 256), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
+                    names=["doc_id", "text_key", "class", "signature"],
+                )
+
+    return rows.mapInArrow(run, "doc_id long, text_key binary, class binary, signature binary")
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition of sorted (tree, label, class) the rows that share LEAST minima or more with a neighbour, and the first and the last."""
+    last: np.ndarray | None = None
+    held: pa.RecordBatch | None = None  # the last row, which waits for the next one
+    held_shares = True
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        tree = np.asarray(batch.column("tree").to_numpy(zero_copy_only=False)).astype(np.uint8)
+        label = np.frombuffer(b"".join(batch.column("label").to_pylist()), dtype=np.uint8).reshape(-1, LABEL)
+        return np.column_stack([tree, label[:, : LEAST * SYMBOL]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = keys(batch)
+        above = np.empty(len(own), dtype=bool)  # shares with the row before it
+        above[1:] = (own[1:] == own[:-1]).all(axis=1)
+        above[0] = True if last is None else bool((own[0] == last).all())
+        if held is not None and (held_shares or above[0]):
+            yield held
+        shares = above.copy()
+        shares[:-1] |= above[1:]
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(shares[:-1]))
+        held, held_shares, last = batch.slice(batch.num_rows - 1), bool(shares[-1]), own[-1]
+    if held is not None:
+        yield held
+
+
+def _plans(threshold: float, recall: float):
+    """Rows (class, prefixes: tree, depth, n, label) -> the prefix (tree, node) that each class wants closed in each tree."""
 
-    return rows.mapInArrow(run, "doc_id long, class binary, labels array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for name, rows in zip(batch.column("class").to_pylist(), batch.column("prefixes").to_pylist(), strict=True):
+                companions: dict[int, list[int]] = {}
+                labels: dict[int, bytes] = {}
+                for r in rows:
+                    companions.setdefault(r["tree"], [1] * (DEPTH + 1 - LEAST))[r["depth"] - LEAST] = r["n"]
+                    labels[r["tree"]] = r["label"]
+                companions = {t: n for t, n in companions.items() if n[0] > 1}
+                for t, k in shortened(companions, threshold, recall).items():
+                    out[0].append(name)
+                    out[1].append(t)
+                    out[2].append(labels[t])
+                    out[3].append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32())], names=["class", "tree", "label", "depth"])
+
+    return run
+
+
+def forest(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(class, tree, node): the closed trie node at which each class (class, signature) is met, for classes that share one with another."""
+    spark = nodes.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("signature", t * LABEL + 1, F.lit(LABEL)))
+    members = nodes.select("class", F.posexplode(labels).alias("tree", "label"))
+    # The order has no ties, so no range of it is hot, however common a prefix is.
+    ordered = members.repartitionByRange(count, "tree", "label", "class").sortWithinPartitions("tree", "label", "class")
+    sharing = cut(ordered.select("tree", "label", "class").mapInArrow(_sharing, "tree int, label binary, class binary"))
+    prefix = lambda k: F.substring("label", F.lit(1), k * SYMBOL)
+    every = sharing.withColumn("depth", F.explode(F.sequence(F.lit(LEAST), F.lit(DEPTH)))).withColumn("node", prefix(F.col("depth")))
+    counts = every.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    prefixes = every.join(counts, ["tree", "node"]).groupBy("class").agg(F.collect_list(F.struct("tree", "depth", "n", "label")).alias("prefixes"))
+    wanted = cut(prefixes.mapInArrow(_plans(threshold, recall), "class binary, tree int, label binary, depth int"))
+    closed = wanted.select("tree", prefix(F.col("depth")).alias("node")).distinct()
+    # The shortest closed prefix on a class's path: its own at the latest.
+    paths = wanted.withColumn("node", F.explode(F.transform(F.sequence(F.lit(LEAST), F.col("depth")), prefix)))
+    met = paths.join(closed, ["tree", "node"], "left_semi").groupBy("class", "tree").agg(F.min_by("node", F.length("node")).alias("node"))
+    return cut(met)
 
 
 def _linked(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
@@ -177,7 +276,7 @@ def _verify(threshold: float):
     """Batches of members sorted by unit -> (a, b, n): n links in rows (a, null, n), connecting edges in (a, b, 0)."""
     fields = ["unit", "tree", "same", "side", "node", "weight", "labels", "shingles"]
 
-    def unit_rows(held: list[tuple]) -> tuple[list[int], list[int | None], list[int]]:
+    def unit_rows(held: list[tuple]) -> tuple[list[bytes], list[bytes | None], list[int]]:
         a, b, n = [], [], []
         # A group's block with itself (same), or its first block (side 0) with its second (side 1).
         tree, same = held[0][1], held[0][2]
@@ -186,9 +285,9 @@ def _verify(threshold: float):
         sets = [unpacked(r[7]) for r in held]
         links = _linked(sets, left, threshold)
         labels = np.array([r[6] for r in held], dtype=np.int64)
-        # Met in an earlier tree: counted there.
+        # Met in an earlier tree: counted there.  0: at no node.
         for t in range(tree):
-            links &= labels[:left, t][:, None] != labels[:, t][None, :]
+            links &= (labels[:left, t][:, None] != labels[:, t][None, :]) | (labels[:left, t] == 0)[:, None]
         if same:
             np.fill_diagonal(links, False)
             pairs = np.triu(links, 1)
@@ -226,8 +325,8 @@ def _verify(threshold: float):
                 n.append(0)
         return a, b, n
 
-    def batch_of(rows: tuple[list[int], list[int | None], list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["a", "b", "n"])
+    def batch_of(rows: tuple[list[bytes], list[bytes | None], list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64())], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -275,48 +374,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, copy_of, n_links.
-
-    n_links: rows other than this one whose n-gram sets have a Jaccard index of
-    ``threshold`` or more with its own.  copy_of: the smallest id with the same set.
-    class_id: the smallest id reachable over links.  The count is exact for the
-    pairs that meet in the forest; a pair at the threshold fails to meet with
-    probability 1 - ``recall`` at most, and less above it.
+def linked_rows(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text_key, class, root, copy_of, class_id, n_links.
 
-    A text of fewer than ``ngram`` words is one n-gram of all its words; texts
-    without words (null, empty, signs only) link only with equal texts, a null one
-    counting as empty.  Repeated rows are rows of the same class and link with each
-    other.  Rows with a null id get a row with class_id null and take no part.
-    An empty table gives an empty result; other columns are not looked at.
+    text_key: MD5 of the text, which with the id tells a row apart.  class: the name
+    of the row's shingle set.  root: the smallest class name reachable over links, so
+    it names the group even where ids are null.  The rest as in ``jaccard_join``.
     """
-    bound_batches(docs.sparkSession)
-    depth = forest_depth(threshold, recall)
-    found = cut(_classes(docs, ngram, depth, id_column, text_column))
-    known = found.where(F.col("doc_id").isNotNull())
-    # One row for each class; copies are counted before the shuffle.  A node is a class's 64-bit name.
-    groups = cut(known.groupBy("class").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.xxhash64("class")))
-    # A class's labels are those of any of its rows: its first one's.
-    nodes = known.join(groups, "class").where((F.col("doc_id") == F.col("copy_of")) & F.col("labels").isNotNull())
-    nodes = cut(nodes.dropDuplicates(["node"]).select("node", "copy_of", "weight", "labels"))
-    # Each node has a row for each tree: these rows are kept to three numbers, and what else a member needs is joined to the few that stay.
-    members = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
-    # Candidate groups: a prefix that two classes share at least, known by an order-free hash of its members.
-    mark = F.xxhash64("node")
-    sizes = members.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(mark, 8)).alias("h1"), F.bit_xor(mark).alias("h2")).where("size > 1")
-    unit = sizes.groupBy("size", "h1", "h2").agg(F.min(F.struct("tree", "label")).alias("first")).select("size", F.col("first.tree").alias("tree"), F.col("first.label").alias("label"))
-    unit = cut(unit)
-    dealt = members.join(unit, ["tree", "label"]).join(nodes, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    spark = docs.sparkSession
+    bound_batches(spark)
+    found = cut(_classes(docs, ngram, id_column, text_column))
+    # One row for each class; copies are counted before the shuffle.
+    groups = cut(found.groupBy("class").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("weight"), F.first("signature").alias("signature"), F.min("text_key").alias("text_key")))
+    nodes = groups.where(F.col("signature").isNotNull())
+    members = forest(nodes.select("class", "signature"), threshold, recall)
+    # Candidate groups: a node that two classes share at least, known by an order-free hash of its members.
+    mark = F.xxhash64("class")
+    sizes = members.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(mark, 8)).alias("h1"), F.bit_xor(mark).alias("h2")).where("size > 1")
+    unit = sizes.groupBy("size", "h1", "h2").agg(F.min(F.struct("tree", "node")).alias("first")).select("size", F.col("first.tree").alias("tree"), F.col("first.node").alias("node"))
+    # Each class's nodes in all trees, as 64-bit names: by them a pair knows in which trees it has met.
+    own = members.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("tree", F.xxhash64("tree", "node")))).alias("at"))
+    own = own.select("class", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("at", t), F.lit(0).cast("long"))).alias("labels"))
+    dealt = members.join(unit, ["tree", "node"]).join(own, "class").join(nodes.select("class", "text_key", "weight"), "class")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class", F.lit(5)), F.col("blocks")).cast("int"))
     # Block i meets every block j; the unit's name has the smaller block first.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    # 32 bits of a label are enough to tell whether two members met in an earlier tree.
-    dealt = dealt.select("node", "copy_of", "weight", F.transform("labels", lambda x: (x.bitwiseAND(0x7FFFFFFF)).cast("int")).alias("labels"), "tree", F.xxhash64("tree", "label", "low", "high").alias("unit"), (F.col("low") == F.col("high")).alias("same"), F.when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side"))
-    dealt = cut(dealt)
-    needed = dealt.select(F.col("copy_of").alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).where(F.col("doc_id").isNotNull())
-    # Only texts of classes in some group are shingled again: a bitmap of fixed size turns the others away.
-    texts = with_maybe(texts, id_bitmap(needed, "doc_id"), "doc_id").where("maybe").drop("maybe")
+    unit_name = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.unhex(F.lpad(F.hex("low"), 8, "0")), F.unhex(F.lpad(F.hex("high"), 8, "0")), "node")
+    dealt = cut(dealt.select("class", "text_key", "weight", "labels", "tree", unit_name.alias("unit"), (F.col("low") == F.col("high")).alias("same"), F.when(F.col("own") == F.col("low"), 0).otherwise(1).alias("side")))
+    needed = dealt.select("text_key").distinct()
+    texts = docs.select(text_of(text_column).alias("text")).withColumn("text_key", text_key(F.col("text")))
+    # Only texts that stand for a class in some group are shingled again: a bitmap of fixed size turns most others away, the class's name the rest.
+    texts = with_maybe(texts, id_bitmap(needed, "text_key"), "text_key").where("maybe").drop("maybe")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,14 +414,33 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall
             yield pa.RecordBatch.from_arrays([pa.array([_name(s, "") for s in full], pa.binary()), pa.array([packed(s) for s in full], pa.binary())], names=["class", "shingles"])
 
     # Repeated rows have one class: any of them will do.
-    shingled = texts.mapInArrow(sets, "class binary, shingles binary").select(F.xxhash64("class").alias("node"), "shingles").dropDuplicates(["node"])
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = dealt.join(shingled, "node").repartition(count, "unit").sortWithinPartitions("unit")
-    results = cut(work.select("unit", "tree", "same", "side", "node", "weight", "labels", "shingles").mapInArrow(_verify(threshold), "a long, b long, n long"))
-    counts = results.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    roots = cut(components(results.where("b is not null").select("a", "b")).join(groups.select("node", "copy_of"), "node"))
+    shingled = texts.mapInArrow(sets, "class binary, shingles binary").dropDuplicates(["class"])
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    work = dealt.join(shingled, "class").withColumnRenamed("class", "node").repartition(count, "unit").sortWithinPartitions("unit")
+    results = cut(work.select("unit", "tree", "same", "side", "node", "weight", "labels", "shingles").mapInArrow(_verify(threshold), "a binary, b binary, n long"))
+    counts = results.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
+    roots = cut(components(results.where("b is not null").select("a", "b")).select(F.col("node").alias("class"), "root").join(groups.select("class", "copy_of"), "class"))
     firsts = roots.groupBy("root").agg(F.min("copy_of").alias("first"))
-    firsts = roots.join(firsts, "root").select("node", "first")
-    classes = groups.join(counts, "node", "left").join(firsts, "node", "left")
-    classes = classes.select("class", "copy_of", F.coalesce("first", "copy_of").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return known.select("doc_id", "class").join(classes, "class").select("doc_id", "class_id", "copy_of", "n_links").union(found.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(0).cast("long")))
+    firsts = roots.join(firsts, "root").select("class", "root", "first")
+    classes = groups.join(counts, "class", "left").join(firsts, "class", "left")
+    classes = classes.select("class", F.coalesce("root", "class").alias("root"), "copy_of", F.when(F.col("root").isNull(), F.col("copy_of")).otherwise(F.col("first")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return found.select("doc_id", "text_key", "class").join(classes, "class").select("doc_id", "text_key", "class", "root", "copy_of", "class_id", "n_links")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: doc_id, class_id, copy_of, n_links.
+
+    n_links: rows other than this one whose n-gram sets have a Jaccard index of
+    ``threshold`` or more with its own.  copy_of: the smallest id with the same set.
+    class_id: the smallest id reachable over links.  The count is exact for the
+    pairs that meet in the forest; a pair at the threshold fails to meet with
+    probability 1 - ``recall`` at most, and less above it.
+
+    A text of fewer than ``ngram`` words is one n-gram of all its words; texts
+    without words (null, empty, signs only) link only with equal texts, a null one
+    counting as empty.  Repeated rows are rows of the same class and link with each
+    other.  Rows with a null id link as any other; copy_of and class_id are null
+    only where no row of the class, or of the group, has an id.  An empty table gives
+    an empty result; other columns are not looked at.
+    """
+    return linked_rows(docs, threshold, ngram, recall, id_column, text_column).select("doc_id", "class_id", "copy_of", "n_links")

@@ -113,7 +113,6 @@ def test_op3_join(documents, texts, nothing, monkeypatch):
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(documents).collect())
     assert got == expected
     assert jaccard_join.jaccard_join(nothing).count() == 0
-    assert jaccard_join.forest_depth(0.8, jaccard_join.RECALL) == 5
 
 
 def test_op3_blocks(spark, texts, monkeypatch):
@@ -126,6 +125,78 @@ def test_op3_blocks(spark, texts, monkeypatch):
     assert got == {i: (c, n) for (i, _), c, n in zip(near[:-1], classes, links, strict=True)}
 
 
+def test_op3_shortens_until_the_target():
+    """The bound of every class reaches the target, crowded prefixes are shortened last and free ones always."""
+    import math
+    import random
+
+    gain = jaccard_join.gains(0.8)
+    rng = random.Random(6)
+    for _ in range(200):
+        companions = {}
+        for t in range(rng.randint(0, jaccard_join.TREES)):
+            n = sorted((rng.randint(1, 1000) for _ in range(jaccard_join.DEPTH - jaccard_join.LEAST)), reverse=True)
+            companions[t] = [rng.randint(max(2, n[0]), 2000), *n]
+        depth = jaccard_join.shortened(companions, 0.8, 0.9999)
+        missed = math.exp(-sum(gain[depth.get(t, jaccard_join.LEAST)] for t in range(jaccard_join.TREES)))
+        assert missed <= 1e-4 or all(k == jaccard_join.LEAST for k in depth.values())
+        assert all(k == jaccard_join.LEAST or companions[t][k - 1 - jaccard_join.LEAST] > 1 for t, k in depth.items())
+    crowded = {t: [500] * 5 for t in range(jaccard_join.TREES)} | {0: [9, 8, 7, 6, 5]}
+    depth = jaccard_join.shortened(crowded, 0.8, 0.9999)
+    assert depth[0] == jaccard_join.LEAST and max(depth.values()) > jaccard_join.LEAST
+
+
+def test_op3_forest_meets_as_its_definition(spark):
+    """Closed nodes against tries built as dictionaries."""
+    import math
+    from collections import Counter as Count
+
+    rng = np.random.default_rng(3)
+    n, J = 300, jaccard_join
+    base = rng.integers(0, 3, (n, J.TREES * J.DEPTH)).astype(">u2")
+    base[:120] = base[0]
+    base[:120, :: 7] = rng.integers(0, 2, base[:120, :: 7].shape)
+    names = [i.to_bytes(16, "big") for i in range(n)]
+    nodes = spark.createDataFrame([(bytearray(a), bytearray(r.tobytes())) for a, r in zip(names, base)], "class binary, signature binary").repartition(5)
+    got = {(bytes(r["class"]), r.tree): bytes(r.node) for r in J.forest(nodes, 0.8, 0.9999).collect()}
+    path = lambda i, t, k: base[i, t * J.DEPTH : t * J.DEPTH + k].tobytes()
+    counts = Count((t, path(i, t, k)) for i in range(n) for t in range(J.TREES) for k in range(J.LEAST, J.DEPTH + 1))
+    wanted, closed = {}, set()
+    for i in range(n):
+        c = {t: [counts[t, path(i, t, k)] for k in range(J.LEAST, J.DEPTH + 1)] for t in range(J.TREES)}
+        wanted[i] = J.shortened({t: x for t, x in c.items() if x[0] > 1}, 0.8, 0.9999)
+        closed |= {(t, path(i, t, k)) for t, k in wanted[i].items()}
+    expected = {(names[i], t): next(path(i, t, k) for k in range(J.LEAST, J.DEPTH + 1) if (t, path(i, t, k)) in closed) for i in range(n) for t in wanted[i]}
+    assert got == expected and len(expected) > n and math.isfinite(len(closed))
+
+
+def test_op3_a_large_group_of_near_copies(spark):
+    """5,000 texts that differ in a word of 60 or two: links, classes and counts as all pairs have them."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows, sets = [], []
+    for i in range(5000):
+        words = list(base)
+        for _ in range(rng.randint(0, 1)):
+            words[rng.choice([0, 20, 40, 59])] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(words)))
+        sets.append(jaccard_join.shingles(rows[-1][1]))
+    names = {h: j for j, h in enumerate(sorted({h for s in sets for h in s.tolist()}))}
+    m = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [names[h] for h in s.tolist()]] = 1
+    common = m @ m.T
+    linked = common >= 0.8 * (m.sum(1)[:, None] + m.sum(1)[None, :] - common) - 1e-6
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    links = np.array([linked[i].sum() - 1 for i in range(len(rows))])
+    counted = np.array([got[i][1] for i in range(len(rows))])
+    assert all(c == 0 for c, _ in got.values())
+    # No link too many; a pair fails to meet with the probability that the target allows.
+    assert (counted <= links).all() and links.sum() - counted.sum() <= 1e-4 * links.sum()
+
+
 def test_op3_components_of_a_long_chain(spark, monkeypatch):
     """A chain of 2,000 nodes of random names, a second one and a star: as by union-find, in few rounds."""
     rng = np.random.default_rng(1)
