@@ -245,22 +245,64 @@ def test_op4_toxicity(spark, documents, nothing):
 
 
 def test_op4_grammar():
-    g = toxicity.Grammar(toxicity.Model(stems={"idiot": 3.0}, threats={"kill": 2.0}))
+    g = toxicity.Grammar(toxicity.Model(stems={"idiot": 3.0}))
     weigh = lambda t: sum(g.clauses(t))
     assert weigh("an idiot.") == 3.0
     assert weigh("you idiot.") > weigh("an idiot.") > weigh("he said idiot.") > weigh("not an idiot.") > 0
     assert weigh("kill time. fine you") == 0.0 < weigh("i will kill you")
+    assert weigh("killing you") == weigh("i will kill you") > weigh("i will never kill you") > 0
+    assert weigh("i will kill or, not, hurt you") == weigh("i will kill you")  # a negated verb takes no plain one back
     assert len(g.clauses("idiot. idiot")) == 2
 
 
+def brute_matches(classes):
+    """Kinds of matches of one clause, each found by looking at the words around it."""
+    T = toxicity
+    near = lambda i, name, span: any(classes[j] == name for j in range(max(0, i - span), i))
+    marks = lambda i: (near(i, "negation", T.NEGATION_SPAN) and classes[max(j for j in range(i) if classes[j] == "negation")] == "negation", "report" in classes[:i])
+    insults, threats, lates = [], [], {}
+    targeted = {i: near(i, "target", T.TARGET_SPAN) for i, c in enumerate(classes) if c == "insult"}
+    for i in targeted:
+        insults.append(("insult", *marks(i), targeted[i]))
+    for j, c in enumerate(classes):
+        if c == "target":
+            waiting = [i for i in targeted if not targeted[i] and i < j <= i + T.TARGET_SPAN and "target" not in classes[i:j]]
+            if waiting:
+                lates[j] = marks(max(waiting))
+            since = max([k for k in range(j) if classes[k] == "target"], default=-1)
+            verbs = [marks(i) for i in range(since + 1, j) if classes[i] == "threat"]
+            if verbs and j in lates:
+                threats.append(("both", *lates.pop(j), False))
+            elif verbs:
+                threats.append(("threat", *min(verbs), False))
+    return Counter(insults + threats + [("late", *m, False) for m in lates.values()])
+
+
+def test_op4_composed_automaton_against_brute_force():
+    import random
+
+    rng = random.Random(12)
+    names = [c for c in toxicity.CLASSES if c != "end"]
+    kinds = list(toxicity.KINDS)
+    for _ in range(3000):
+        clause = rng.choices(names, weights=[5, 2, 1, 2, 2, 2], k=rng.randint(1, 14))
+        state, found = 0, Counter()
+        for name in clause:
+            state, kind = toxicity.AUTOMATON[state][toxicity.CLASSES.index(name)]
+            if kind >= 0:
+                found[kinds[kind]] += 1
+        assert found == brute_matches(clause), clause
+        assert toxicity.AUTOMATON[state][0] == (0, -1)
+
+
 @pytest.mark.parametrize("text", ["\u201cidiots\u201d", "\u2018idiot\u2019", "\u00a1idiota!", "\u00abidiot\u00bb", "you\u2014idiot", "'idiot' again", "''idiot", "they kill\u2026 you", "'kill' you", "\u201ckill\u201d you", "x_idiot", "7idiot"])
 def test_op4_signs_beside_a_word_hide_nothing(text):
     """Features are those of the clauses, whatever stands beside a loaded word."""
-    g = toxicity.Grammar(toxicity.Model(stems={"idiot": 3.0}, threats={"kill": 2.0}))
+    g = toxicity.Grammar(toxicity.Model(stems={"idiot": 3.0}))
     total = sum(g.clauses(text))
     assert total > 0
-    assert g.features(text)[0] == total / 10
-    assert g.features("\u201cstone\u201d \u00a1river!")[:4] == [0.0] * 4
+    assert g.features(text)[0] == np.log1p(total)
+    assert g.features("\u201cstone\u201d \u00a1river!")[:3] == [0.0] * 3
 
 
 def test_op5_mix(spark, nothing):
