@@ -374,14 +374,59 @@ def test_op7_licences(spark, documents, nothing):
         "under the License": (3, 0, None, None, "", ""),
         "licensed under the GNU General Public License, version 3.": (9, 0, None, None, "", "gpl-3"),
         "ünder the mit license": (4, 0, None, None, "", "mit"),
+        "// SPDX-License-Identifier: GPL-3.0-only": (7, 0, None, None, "", "gpl-3"),
+        "Licensed under GPLv3, see there": (5, 0, None, None, "", "gpl-3"),
+        "This is not the MIT license": (6, 0, None, None, "", ""),
+        "not released under the MIT license": (6, 1, 2, 2, "mit", "mit"),
+        "all rights are reserved": (4, 0, None, None, "", ""),
+        "so: all rights reserved": (4, 0, None, None, "", "all-rights-reserved"),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of all this software and associated documentation files, to deal in the software really without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software. The software is provided as is": (93, 0, None, None, "", "mit"),
     }
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()]
     assert got == list(cases.values())
     assert licenses.scan_licenses(documents).where("n_base > 0").count() == 0
+    assert licenses.scan_licenses(documents).count() == documents.count()
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_op7_index_against_every_alignment():
+    """Labels are those of the templates that verify at any start, though words are changed, put in and left out.
+
+    Every start is less strict than starts on which postings agree: a few short templates are found by it alone.
+    """
+    import random
+
+    rng = random.Random(5)
+    templates = licenses.templates_of(licenses.NOTICES, licenses.IDENTIFIERS)
+    idf = {w: rng.random() for _, _, words in templates for w in words}
+    index = licenses.Index(templates, licenses.BASE_PHRASES, idf)
+    seen, found, missed = set(), 0, 0
+    for _ in range(150):
+        words = []
+        for _, _, template in rng.sample(templates, 3):
+            words += [b"filler%d" % rng.randrange(50) for _ in range(rng.randint(0, 12))]
+            for w in template:
+                x = rng.random()
+                words += [] if x < 0.03 else [w, b"put"] if x < 0.06 else [b"changed"] if x < 0.09 else [w]
+        text = b" ".join(words).decode()
+        scanned = index.scan(text)
+        base = {label for phrase, label in licenses.BASE_PHRASES.items() if f" {phrase} " in f" {text} "}
+        every = {templates[t][0] for t in range(len(templates)) if any(index.verified(words, t, a) >= licenses.LEAST_SCORE for a in range(-len(templates[t][2]), len(words)))}
+        assert base <= set(scanned.labels) <= every | base
+        missed += len((every | base) - set(scanned.labels))
+        found += len(scanned.labels)
+        assert scanned.n_base == sum(len(re.findall(f"(?=(?<= ){phrase} )", f" {text} ")) for phrase in licenses.BASE_PHRASES)
+        seen |= every
+    assert len(seen) > 15 and missed <= 0.02 * found
+
+
+def test_op7_idf_counts_files(spark):
+    docs = spark.createDataFrame([(1, "mit mit"), (2, "the mit"), (3, None)], "doc_id long, text string")
+    got = licenses.file_idf(docs, frozenset([b"mit", b"the", b"none"]))
+    assert {w: round(v, 9) for w, v in got.items()} == {b"mit": round(float(np.log(4 / 3)), 9), b"the": round(float(np.log(4 / 2)), 9), b"none": round(float(np.log(4)), 9)}
+
+
 def test_op8_neighbours(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(600, 24)).astype(np.float32)
