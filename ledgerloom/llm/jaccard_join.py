@@ -304,7 +304,7 @@ def _verify(threshold: float):
             a.append(nodes[i])
             b.append(None)
             n.append(int(totals[i]))
-        # A spanning forest of the unit's links.
+        # What the unit's links connect.
         root = list(range(len(held)))
 
         def find(i: int) -> int:
@@ -318,11 +318,15 @@ def _verify(threshold: float):
                 x, y = find(i), find(j)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-        for i in range(len(held)):
-            if (r := find(i)) != i:
-                a.append(nodes[i])
-                b.append(nodes[r])
+        # Its members one after the other: no node has many edges.
+        latest: dict[int, int] = {}
+        for i in sorted(range(len(held)), key=nodes.__getitem__):
+            r = find(i)
+            if r in latest and nodes[latest[r]] != nodes[i]:
+                a.append(nodes[latest[r]])
+                b.append(nodes[i])
                 n.append(0)
+            latest[r] = i
         return a, b, n
 
     def batch_of(rows: tuple[list[bytes], list[bytes | None], list[int]]) -> pa.RecordBatch:
