@@ -452,6 +452,39 @@ def test_op8_neighbours(spark):
     assert nearest.nearest(few.where("vec_id < 0")).count() == 0
 
 
+def test_op8_ties_lengths_and_odd_rows(spark):
+    """Many vectors at one score go by their ids, other lengths are searched among themselves, null ids take no part."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 2, size=(400, 10)).astype(float)
+    data[:, 0] = 1.0
+    rows = [(i, v.tolist(), "a", "b") for i, v in enumerate(data)] + [(1000 + i, [1.0, float(i)], "a", "b") for i in range(30)] + [(None, [1.0] * 10, "a", "b"), (7, data[7].tolist(), "x", "y")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, point string, score string")
+    got = defaultdict(list)
+    for r in nearest.nearest(vectors, k=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for low, x in ((0, data), (1000, np.array([[1.0, float(i)] for i in range(30)]))):
+        for q in range(0, len(x), 20):
+            s = (x * x[q]).sum(axis=1)
+            assert got[low + q] == [(low + int(i), s[i]) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+
+
+def test_op8_recall_of_clustered_vectors(spark):
+    """Vectors with structure: few lists are visited and nearly all neighbours found."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    data = (centres[rng.integers(0, 60, 8000)] + 0.3 * rng.normal(size=(8000, 32))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>").repartition(4)
+    x = data.astype(float)
+    turned = x @ nearest.rotation(32)
+    centre = nearest.centroids(turned, 45)
+    assert nearest.lists_to_visit(turned, centre, 20, 0.95) < 15
+    got = defaultdict(set)
+    for r in nearest.nearest(vectors).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = [len(got[q] & {int(i) for i in np.argsort(-(x @ x[q]), kind="stable")[:21] if i != q}) / 20 for q in range(0, 8000, 20)]
+    assert len(got) == 400 and np.mean(hits) >= 0.93
+
+
 def test_op9_packs(documents, texts, nothing, tokenizer):
     ids = [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in texts]
     rows = packing.pack(documents, BPE, max_tokens=512).collect()
