@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 #: Groups in which rows are numbered before the groups' offsets are added.
 GROUPS = 4096
+#: Copies of one row that a task writes at a time.
+RUN = 4096
 ROUNDS = 8
 #: A prime below 2^31: products of two residues stay within a long.
 PRIME = 2147483647
@@ -74,21 +76,30 @@ def shard(docs: DataFrame, shards: int = 8, key: int = 42, id_column: str = "doc
     The global number: rows are grouped by a hash of (id, size, crc), numbered in
     each group in that order, and the groups' offsets added.  It depends on the rows
     alone, not on files, partitions or retries.  Rows equal in all three are counted
-    before the shuffle and numbered as a run, so repeats meet in no task.  A null
+    before the shuffle and numbered as a run, which is written out in parts of RUN, so
+    repeats meet in no task.  A null
     text is empty (size 1, crc 0), a null id is a value as any other, an empty table
     gives an empty result, and other columns are not looked at.
     """
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    n = rows.count()
     counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    counted = counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(GROUPS)).cast("int"))
-    totals = counted.groupBy("group").agg(F.sum("copies").alias("total"))
-    # At most GROUPS rows: one task and a broadcast are within a fixed bound.
-    offsets = totals.withColumn("offset", F.sum("total").over(Window.orderBy("group")) - F.col("total")).select("group", "offset")
+    counted = cut(counted.withColumn("group", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(GROUPS)).cast("int")))
+    # At most GROUPS rows reach the driver and are broadcast.
+    totals = sorted((r["group"], r.total) for r in counted.groupBy("group").agg(F.sum("copies").alias("total")).collect())
+    offsets, n = [], 0
+    for group, total in totals:
+        offsets.append((group, n))
+        n += total
+    offsets = docs.sparkSession.createDataFrame(offsets, "group int, offset long")
     inside = Window.partitionBy("group").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     numbered = counted.withColumn("first", F.sum("copies").over(inside) - F.col("copies")).join(F.broadcast(offsets), "group").withColumn("first", F.col("first") + F.col("offset"))
-    single = numbered.withColumn("row_number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    # A row of many copies is cut into runs, which are dealt over the tasks before they are written out.
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long")))
+    many = numbered.where(F.col("copies") > RUN).withColumn("run", runs).select("doc_id", "size", "text_crc32", (F.col("first") + F.col("run")).alias("first"), F.least(F.col("copies") - F.col("run"), F.lit(RUN)).alias("copies"))
+    many = many.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "first")
+    few = numbered.where(F.col("copies") <= RUN).select("doc_id", "size", "text_crc32", "first", "copies")
+    single = few.unionByName(many).withColumn("row_number", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
     place = permuted(F.col("row_number"), max(n, 1), key)
     return single.withColumn("place", place).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod(F.col("place"), F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number"
