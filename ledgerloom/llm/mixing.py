@@ -10,8 +10,10 @@ weights' common denominator.
 So the driver makes one table of slots for each phase; a phase ends at the slot at
 which a source runs out, after which the others share its weight in proportion.  A
 table has as many slots as the common denominator, or as the phase if that is
-shorter: 20 equal sources need 20 slots, weights without a small common denominator
-one for each block.  Each block's slot then follows from its number by arithmetic.
+shorter: 20 equal sources need 20 slots, weights in thousandths 1,000, weights without
+a small common denominator one for each block.  Each block's slot then follows from its
+number by arithmetic.  The tables' size is counted while they are made; beyond
+MOST_ENTRIES it is an error that names the remedy, not a coarser schedule.
 """
 
 from __future__ import annotations
@@ -25,8 +27,29 @@ from pyspark.sql import functions as F
 
 #: Slots of a repeated table at least: short schedules are tabled several times over.
 PERIOD = 512
-#: Salted groups in which a source's rows are numbered.
-SALTS = 256
+#: Salted groups in which a source's rows are numbered: so many at least, and rows in one of them.
+SALTS, SALT_ROWS = 256, 50_000
+#: Sources times phases and slots of tables that the driver makes at most.
+MOST_ENTRIES = 20_000_000
+#: Entries up to which the tables are broadcast; larger ones are joined in a shuffle.
+BROADCAST_ENTRIES = 1 << 20
+
+
+def tempered(counts: dict[str, int], exponent: float = 0.5, denominator: int = 1000) -> dict[str, int]:
+    """Target weights by a power of the sources' sizes: with 0.5 a source a hundred times as large gets ten times the weight.
+
+    Whole numbers out of about ``denominator``, 1 at least: a choice of targets, whose
+    common denominator is small.
+    """
+    power = {s: n**exponent for s, n in counts.items()}
+    total = sum(power.values())
+    return {s: max(1, round(denominator * x / total)) for s, x in power.items()}
+
+
+def source_counts(docs: DataFrame, source_column: str = "source") -> dict[str, int]:
+    """Rows by source; a null source is ''."""
+    source = F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("mix_source")
+    return {r[0]: r[1] for r in docs.select(source).groupBy("mix_source").agg(F.count(F.lit(1))).collect()}
 
 
 def _exact(weight: float) -> Fraction:
@@ -70,13 +93,16 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> di
     done = dict.fromkeys(blocks, 0)
     live = {s: w for s, w in weights.items() if blocks.get(s, 0) > 0}
     out: dict[str, list[tuple[int, int, list[int], int]]] = {s: [] for s in live}
-    at = 0
+    at = entries = 0
     while live:
         shares = quotas(live, 1)
         span = math.lcm(*(x.denominator for x in shares.values()))
         span *= -(-period // span)
         q = {s: int(x * span) for s, x in shares.items()}
         rest = {s: blocks[s] - done[s] for s in live}
+        entries += len(live) + min(span, sum(rest.values()))
+        if entries > MOST_ENTRIES:
+            raise ValueError(f"the schedule of {len(blocks)} sources has more than {MOST_ENTRIES} entries: give weights of a smaller common denominator, larger blocks or fewer sources")
         order = schedule(q, span, rest)
         # Whole tables in which no source runs out.
         whole = min((rest[s] - 1) // q[s] for s in live)
@@ -116,31 +142,34 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     ``weights``: by source; None gives every source the same.  A source that is not
     in it gets the smallest weight given; weights must be positive.  A null source
     is a source of its own, named ''.  Rows of a source are numbered by a hash of
-    their id, then the id: a hot source is spread over SALTS groups.  Repeated rows
-    and null ids are rows as any other, an empty table gives an empty result.
+    all their columns, then the id: a hot source is spread over groups of about
+    SALT_ROWS rows, whatever its ids are.  Repeated rows and null ids are rows as any
+    other, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     if weights is not None and (not weights or min(weights.values()) <= 0):
         raise ValueError("weights must be positive")
     kept = F.struct(*[F.col(f"`{c}`") for c in (keep or [id_column, source_column])])
     source = F.coalesce(F.col(source_column).cast("string"), F.lit(""))
-    # The hash is over the whole kept row too: rows that share an id do not meet in one group.
-    rows = docs.select(kept.alias("row"), source.alias("mix_source"), F.pmod(F.xxhash64(F.col(id_column)), F.lit(SALTS)).cast("int").alias("salt"), F.col(id_column).alias("mix_id"))
+    totals = source_counts(docs, source_column)
+    salts = max(SALTS, max(totals.values(), default=0) // SALT_ROWS)
+    # The hash is over the whole row: rows that share an id, or have none, do not meet in one group.
+    mark = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = docs.select(kept.alias("row"), source.alias("mix_source"), F.pmod(mark, F.lit(salts)).cast("int").alias("salt"), mark.alias("mark"), F.col(id_column).alias("mix_id"))
     sizes = rows.select("mix_source", "salt").groupBy("mix_source", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("mix_source").orderBy("salt")) - F.col("n")
     offsets = sizes.withColumn("before", before)
-    totals = {r.mix_source: r.n for r in sizes.groupBy("mix_source").agg(F.sum("n").alias("n")).collect()}
     least = min(weights.values()) if weights else 1.0
     wanted = {s: float((weights or {}).get(s, least)) for s in totals}
     blocks = {s: -(-n // block_rows) for s, n in totals.items()}
     table = [(s, [tuple(x) for x in stretches]) for s, stretches in phases(blocks, wanted, period).items()]
-    # One row for each source; together as large as the phases' tables.
+    entries = sum(1 + len(places) for _, own in table for _, _, places, _ in own)
     stretches = spark.createDataFrame(table, "mix_source string, stretches array<struct<first:long,n:long,places:array<long>,stride:long>>")
-    inside = Window.partitionBy("mix_source", "salt").orderBy("mix_id", F.xxhash64("row"))
+    inside = Window.partitionBy("mix_source", "salt").orderBy("mix_id", "mark")
     numbered = rows.withColumn("rank", F.row_number().over(inside)).join(offsets.select("mix_source", "salt", "before"), ["mix_source", "salt"])
     numbered = numbered.withColumn("number", F.col("before") + F.col("rank") - 1)
     numbered = numbered.withColumn("block", F.floor(F.col("number") / block_rows)).withColumn("place_in_block", F.pmod("number", F.lit(block_rows)).cast("int"))
-    mixed = numbered.join(F.broadcast(stretches), "mix_source").withColumn("own", F.filter("stretches", lambda x: (F.col("block") >= x["first"]) & (F.col("block") < x["first"] + x["n"]))[0])
+    mixed = numbered.join(F.broadcast(stretches) if entries <= BROADCAST_ENTRIES else stretches, "mix_source").withColumn("own", F.filter("stretches", lambda x: (F.col("block") >= x["first"]) & (F.col("block") < x["first"] + x["n"]))[0])
     within = F.col("block") - F.col("own.first")
     length = F.size("own.places")
     mixed = mixed.withColumn("block_slot", F.element_at("own.places", (F.pmod(within, length) + 1).cast("int")) + F.col("own.stride") * F.floor(within / length))

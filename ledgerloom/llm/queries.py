@@ -50,9 +50,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import mix, source_counts, tempered
 
-    return mix(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    # Target weights: the roots of the sources' sizes, in thousandths.
+    return mix(docs, tempered(source_counts(docs)))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
