@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, text_of
-from .encoding import SegmentEncoder, by_bytes
+from .encoding import by_bytes, encoder_of
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -22,7 +22,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     gives an empty result, and other columns are not looked at.
 
     No shuffle: batches are cut by bytes on their way to the workers and again
-    there; long texts are split only at the encoder's safe boundaries.
+    there; long texts, of whatever white space, are split at the encoder's safe
+    boundaries.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
@@ -37,7 +38,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
             def encode(texts: list[str]) -> list[int]:
                 return [len(x) for x in model.encode(texts, num_threads=1)]
         else:
-            encode = SegmentEncoder(tokenizer_path, keep_ids=False).encode
+            encode = encoder_of(tokenizer_path, keep_ids=False).encode
         for batch in batches:
             texts = batch.column("text")
             n_bytes = pa.compute.binary_length(texts.cast(pa.binary()))

@@ -58,6 +58,41 @@ def test_op1_permutes(spark, n):
     assert a * b >= n
 
 
+def test_op1_is_a_feistel_permutation(spark):
+    """Against the rounds written out with whole numbers, cycle walks included."""
+    from pyspark.sql import functions as F
+
+    n, key, P = 1000003, 42, 2147483647
+    a, b = sharding.radices(n)
+
+    def once(v):
+        left, right = divmod(v, b)
+        for r in range(sharding.ROUNDS):
+            m, c = (key * 1_000_003 + r * 7_919 + 12_345) % (P - 1) + 1, (key * 69_621 + r * 104_729 + 54_321) % P
+            t = ((right if r % 2 == 0 else left) * m + c) % P
+            f = (t * t + t * (m % 65_537) + c) % P
+            left, right = ((left + f) % a, right) if r % 2 == 0 else (left, (right + f) % b)
+        return left * b + right
+
+    def walked(x):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        return x
+
+    some = [0, 1, 2, 999, 500000, n - 1, *range(7, n, 9973)]
+    rows = spark.createDataFrame([(x,) for x in some], "x long")
+    assert {r.x: r.y for r in rows.select("x", sharding.permuted(F.col("x"), n, key).alias("y")).collect()} == {x: walked(x) for x in some}
+
+
+def test_op1_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    docs = spark.createDataFrame([(None, None)] * 40 + [(1, "a")] * 8 + [(2, "b")], "doc_id long, text string")
+    rows = sharding.shard(docs, shards=3).collect()
+    assert sorted(r.row_number for r in rows) == list(range(49))
+    assert Counter(r.doc_id for r in rows) == {None: 40, 1: 8, 2: 1}
+
+
 def test_op2_fingerprints(documents, texts, nothing):
     ordered = sorted(((i, t or "") for i, t in texts))
     rows = Counter(tuple(r) for r in fingerprints.edited_fingerprints(documents, groups=5).collect())
@@ -355,6 +390,44 @@ def test_op5_keeps_the_given_weights(weights):
             seen, start = Counter(), t + 1
 
 
+def test_op5_small_and_odd_weights_over_a_million_slots():
+    """0.7 and 0.0001 of the slots, neither more nor less by a block at any slot."""
+    from fractions import Fraction
+
+    weights = {"a": 0.7, "b": 0.2999, "c": 0.0001}
+    blocks = {"a": 800_000, "b": 400_000, "c": 200}
+    exact = {"a": Fraction(7, 10), "b": Fraction(2999, 10000), "c": Fraction(1, 10000)}
+    for s, stretches in mixing.phases(blocks, weights, mixing.PERIOD).items():
+        number = 0
+        for first, n, places, stride in stretches:
+            assert first == number
+            number += n
+            for b in range(n):
+                slot = places[b % len(places)] + stride * (b // len(places))
+                if slot >= 1_000_000:
+                    break
+                # Before its slot the source has first + b blocks, after it one more.
+                assert abs(first + b - exact[s] * slot) < 1 and abs(first + b + 1 - exact[s] * (slot + 1)) < 1
+
+
+def test_op5_refuses_what_the_driver_cannot_hold(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_ENTRIES", 1000)
+    with pytest.raises(ValueError, match="denominator"):
+        mixing.phases({"a": 5000, "b": 5000}, {"a": 0.123456789, "b": 0.3}, 512)
+    assert mixing.tempered({"a": 10000, "b": 100}) == {"a": 909, "b": 91}
+
+
+def test_op5_shuffled_tables_odd_columns_and_repeats(spark, monkeypatch):
+    rows = [(None, "s1", "x", 1, {"k": 1})] * 30 + [(i, f"s{i % 3}", "y", 2, None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, block string, salt int, m map<string,int>")
+    whole = sorted(map(tuple, mixing.mix(docs, {"s0": 5, "s1": 3, "s2": 2}, block_rows=4).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", 0)
+    again = mixing.mix(docs.repartition(5), {"s0": 5, "s1": 3, "s2": 2}, block_rows=4, keep=["doc_id", "block", "m"]).collect()
+    assert Counter(r[0] for r in whole) == Counter(x[0] for x in rows) == Counter(r.row.doc_id for r in again)
+    assert sorted((r[3], r[4]) for r in whole) == sorted((r.block_slot, r.place_in_block) for r in again)
+    assert len({(r[3], r[4]) for r in whole}) == len(rows)
+
+
 def test_op6_languages(spark, documents, nothing):
     data = [(i, ("the thing and the other hand " if i % 2 else "die schöne und große ungen ") * 5, "en" if i % 2 else "de") for i in range(40)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
@@ -530,6 +603,91 @@ def test_op9_plan_holds_every_capacity(score):
         packing.plan({1001: 1}, 1000, 6, 10**9)
 
 
+def brute_best_fit(lengths, caps, weights, score):
+    """Piece after piece by falling length; the open sequences are tried one by one."""
+    bins = []
+    for length in sorted(lengths, reverse=True):
+        need = (length, 1, length * length)
+        best = None
+        for i, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need)):
+                r = [x / c for x, c in zip(left, caps)]
+                u = [y / c for y, c in zip(need, caps)]
+                value = sum((1 - x) * y * w for x, y, w in zip(r, u, weights)) if score == "dot" else -sum((x - y) ** 2 * w for x, y, w in zip(r, u, weights))
+                if best is None or value > best[0] + 1e-12:
+                    best = (value, i)
+        if best is None:
+            bins.append([x - y for x, y in zip(caps, need)])
+        else:
+            bins[best[1]] = [x - y for x, y in zip(bins[best[1]], need)]
+    return bins
+
+
+@pytest.mark.parametrize("score", ["dot", "norm"])
+@pytest.mark.parametrize("caps", [(1000, 1000, 10**6), (1000, 5, 10**6), (1000, 1000, 300_000), (1000, 6, 400_000)])
+def test_op9_plan_against_brute_force(score, caps):
+    """Each capacity binds in turn; sequences are as few as piece-by-piece best fit makes them, but for ties."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(10):
+        lengths = [rng.choice([500, 400, 333, 250, 120, 60, 7]) if rng.random() < 0.5 else rng.randint(1, 540) for _ in range(120)]
+        rows = packing.plan(dict(Counter(lengths)), *caps, score=score)
+        used = max(first + n for _, _, n, first, _ in rows)
+        brute = brute_best_fit(lengths, caps, (1.0, 0.1, 0.1), score)
+        assert abs(used - len(brute)) <= max(2, 0.06 * len(brute))
+        if caps[1] < 10:
+            assert used >= len(lengths) / caps[1]
+
+
+def test_op9_capacities_bind_and_windows_hold(spark, documents, texts):
+    from pyspark.sql import functions as F
+
+    tight = packing.pack(documents, BPE, max_tokens=512, max_documents=2).groupBy("sequence_id").count().agg(F.max("count")).first()[0]
+    assert tight == 2
+    rows = packing.pack(documents, BPE, max_tokens=512, window=F.col("doc_id") % 3).collect()
+    homes = defaultdict(set)
+    for r in rows:
+        homes[r.sequence_id].add(r.doc_id % 3)
+    assert all(len(h) == 1 for h in homes.values())
+    assert sorted(homes) == list(range(len(homes)))
+    one = [(min(s for s, h in homes.items() if h == {k}), max(s for s, h in homes.items() if h == {k})) for k in range(3)]
+    assert one[0][1] < one[1][0] and one[1][1] < one[2][0]
+    odd = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (None, None, 2)], "doc_id long, text string, salt int")
+    assert sorted((r.length, r.piece) for r in packing.pack(odd, BPE).collect()) == [(1, 0), (3, 0), (3, 0)]
+
+
+def test_long_odd_texts_are_encoded_in_parts(tokenizer, monkeypatch):
+    """Whatever their white space, signs and special strings are: the ids are those of the whole text."""
+    import random
+
+    from ledgerloom.llm import encoding
+
+    monkeypatch.setattr(encoding, "LONG_CHARS", 50)
+    monkeypatch.setattr(encoding, "CHUNK_CHARS", 20)
+    rng = random.Random(4)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "the", "é", "日本", "12", "'s", ".", "x_y", "<|endoftext|>", "²", "🙂", "don't", " \u3000", "(", "'ll"]
+    for special in (True, False):
+        pool = parts if special else [p for p in parts if "<" not in p]
+        some = ["".join(rng.choice(pool) for _ in range(rng.randint(40, 200))) for _ in range(400)]
+        expected = [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+        encoder = SegmentEncoder(BPE, True)
+        assert encoder._whole(some) == expected
+        assert sum(len(list(encoder._parts(t))) > 1 for t in some) > 300
+    glued = "".join(rng.choice(["abc", "7", ".", "é"]) for _ in range(500))
+    assert len(list(encoder._parts(glued))) > 1 and encoder._whole([glued]) == [np.asarray(tokenizer.encode(glued, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+    assert not encoding.usual_pattern(public_tokenizers.path("word_bpe_49k.json")) and encoding.usual_pattern(BPE)
+
+
+def test_op10_another_kind_of_file(documents, texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(documents, path).collect())
+    assert got == Counter((i, len(other.encode(t or "", add_special_tokens=False).ids)) for i, t in texts)
+
+
 def test_op10_counts(documents, texts, nothing, tokenizer):
     got = Counter(tuple(r) for r in token_counts.count_tokens(documents, BPE, limit=100).collect())
     expected = Counter()
