@@ -12,11 +12,12 @@ phrase names of all levels from ``FIRST_LEVEL`` up.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, text_of
@@ -195,34 +196,70 @@ def fingerprint(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return rows.mapInArrow(run, f"doc_id {id_type}, fingerprint string")
 
 
-def with_next(docs: DataFrame, groups: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (group, doc_id, text, guest) from which every text's next one can be read in one pass.
+#: Rows of one group of consecutive ids, and groups at most.
+GROUP_ROWS, MOST_GROUPS = 16_384, 100_000
+_LEAST = -(1 << 63)
 
-    Bounds are ids of the table, so each group's first row is known; it is also
-    sent, as a guest, to the group before, and the first row of all to the last
-    group.  The whole text moves once.
+
+def _group(bounds: list[tuple[int, int]], key: Column, tie: Column) -> Column:
+    """How many of the sorted bounds are at most (key, tie), by halving: log2 of their number of comparisons a row."""
+    if not bounds:
+        return F.lit(0)
+    keys, ties = F.lit([k for k, _ in bounds]), F.lit([t for _, t in bounds])
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        at = F.get(keys, middle)
+        right = (s["low"] < s["high"]) & ((at < key) | ((at == key) & (F.get(ties, middle) <= tie)))
+        return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right | (s["low"] >= s["high"]), s["high"]).otherwise(middle).alias("high"))
+
+    span = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), span, halve, lambda s: s["low"])
+
+
+def with_next(docs: DataFrame, groups: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (group, doc_id, tie, text, guest) from which every text's next one can be read in one pass.
+
+    The order is by id, null ids first, then by a hash of the text (``tie``).  Bounds are
+    quantiles of the ids; an id that several of them fall on is cut further by the tie.
+    The first row of each group is known, so it is also sent, as a guest, to the group
+    before, and the first row of all to the last group.  The whole text moves once.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LEAST))).withColumn("tie", F.xxhash64("text"))
+    # Two passes over the ids alone; at most MOST_GROUPS numbers reach the driver.
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low")).first()
+    groups = groups or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_GROUPS, whole.n // GROUP_ROWS))
     marks = [(i + 1) / groups for i in range(groups - 1)]
-    # One pass over the ids alone; at most ``groups`` numbers reach the driver.
-    found = rows.agg(F.expr(f"percentile_approx(doc_id, array({', '.join(map(str, marks)) or 0.5}), 100000)").alias("b"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull().cast("int")).alias("n")).first()
-    bounds = sorted(set(found.b or []) - {found.low}) if groups > 1 else []
-    first = "null" if found.n else found.low
-    text = ",".join(f"{b}L" for b in bounds)
-    # The number of bounds at or below the id; null ids come first.
-    group = F.expr(f"size(filter(array({text}), b -> b <= doc_id))").cast("int") if bounds else F.lit(0)
-    own = rows.withColumn("group", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(group)).withColumn("guest", F.lit(False))
-    leads = [F.when(F.col("doc_id").isin(bounds), F.col("group") - 1)] if bounds else []
-    last = len(bounds)
-    leads.append(F.when(F.col("doc_id").isNull() if first == "null" else F.col("doc_id") == F.lit(first), F.lit(last)))
+    found = rows.agg(F.percentile_approx("key", marks or [0.5], 100_000).alias("b")).first().b or []
+    times = Counter(found if marks else [])
+    hot = max(times.values(), default=0) > 1 or whole.low in times
+    bounds = []
+    for b in sorted(times):
+        parts = times[b] + (b == whole.low)
+        bounds += [(b, _LEAST + (k << 64) // parts) for k in range(parts) if k or b != whole.low]
+    key, tie = F.col("key"), F.col("tie")
+    first = (whole.low, None)
+    if hot:
+        # Where an id fills groups of its own, their first rows are looked up.
+        firsts = sorted(tuple(r.first) for r in rows.groupBy(_group(bounds, key, tie).alias("group")).agg(F.min(F.struct("key", "tie")).alias("first")).collect())
+        first, bounds = firsts[0], firsts[1:]
+    group = _group(bounds, key, tie)
+    leads = []
+    if bounds:
+        at = F.col("group") - 1
+        opens = (F.get(F.lit([k for k, _ in bounds]), at) == key) & (F.get(F.lit([t for _, t in bounds]), at) == tie if hot else F.lit(True))
+        leads.append(F.when((at >= 0) & opens, at))
+    leads.append(F.when((key == F.lit(first[0])) & (tie == F.lit(first[1]) if hot else F.lit(True)), F.lit(len(bounds))))
     places = F.filter(F.array(F.struct(F.col("group").alias("group"), F.lit(False).alias("guest")), *[F.struct(x.alias("group"), F.lit(True).alias("guest")) for x in leads]), lambda p: p["group"].isNotNull())
-    return own.select("doc_id", "text", F.explode(places).alias("p")).select(F.col("p.group").alias("group"), F.col("p.guest").alias("guest"), "doc_id", "text")
+    return rows.withColumn("group", group).select("doc_id", "tie", "text", F.explode(places).alias("p")).select(F.col("p.group").alias("group"), F.col("p.guest").alias("guest"), "doc_id", "tie", "text")
 
 
 def edited_fingerprints(docs: DataFrame, groups: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of each text and of an edited one whose last floor(n/2) code points are the next text's first.
 
-    Next: by ascending id, null ids first, equal ids by their text's order; after
+    Next: by ascending id, null ids first, equal ids by a hash of their text; after
     the last comes the first.  Columns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.  Null text: empty.  A lone row is
     its own next.  Repeated rows get a row each, an empty table an empty result.
@@ -231,9 +268,9 @@ def edited_fingerprints(docs: DataFrame, groups: int | None = None, id_column: s
 
     spark = docs.sparkSession
     bound_batches(spark)
-    groups = groups or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = with_next(docs, groups, id_column, text_column)
-    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", F.col("guest").asc(), "doc_id", "text")
+    count = groups or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    dealt = dealt.repartition(count, "group").sortWithinPartitions("group", F.col("guest").asc(), F.col("doc_id").asc_nulls_first(), "tie", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def lines(held: list[tuple[int | None, str]], follow: tuple[int | None, str]) -> pa.RecordBatch:
