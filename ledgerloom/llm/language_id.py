@@ -101,6 +101,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(dimensions: int) -> Encoder:
+    """The worker's encoder: a worker that is used again keeps its letters and trigrams."""
+    if dimensions not in _encoders:
+        _encoders[dimensions] = Encoder(dimensions)
+    return _encoders[dimensions]
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     norm = float(np.linalg.norm(v))
     return v / norm if norm else v
@@ -122,7 +132,7 @@ def train(labelled: DataFrame, rows_per_language: int = 500, dimensions: int = D
     sample = rows.where(draw < F.element_at(share, F.col(language_column).cast("string"))).select(F.col(language_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sums = Encoder(dimensions), {}
+        encoder, sums = encoder_of(dimensions), {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 v = encoder.bundle(text)
@@ -156,7 +166,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_column: str
     rows = beside_text(docs, keep or [id_column], text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(dimensions)
+        encoder = encoder_of(dimensions)
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():

@@ -94,7 +94,9 @@ def test_op1_one_row_many_times(spark, monkeypatch):
 
 
 def test_op2_fingerprints(documents, texts, nothing):
-    ordered = sorted(((i, t or "") for i, t in texts))
+    import xxhash
+
+    ordered = sorted(((i, t or "") for i, t in texts), key=lambda r: (r[0], int.from_bytes(xxhash.xxh64(r[1].encode(), seed=42).digest(), "big", signed=True)))
     rows = Counter(tuple(r) for r in fingerprints.edited_fingerprints(documents, groups=5).collect())
     expected = Counter()
     for k, (i, t) in enumerate(ordered):
@@ -106,6 +108,76 @@ def test_op2_fingerprints(documents, texts, nothing):
     assert fingerprints.edited_fingerprints(nothing, groups=3).count() == 0
 
 
+def parsed_plainly(text):
+    """The phrase names of a text by the rules of the parsing, symbol by symbol."""
+    M = 1 << 32
+    A, B, P = 0x9E3779B1, 0x85EBCA6B, 0x2C1B3C6D
+
+    def mix(x):
+        x = (x ^ (x >> 15)) * B % M
+        return x ^ (x >> 13)
+
+    def coin(left, own, bits):
+        differ = left ^ own
+        if not differ % M:
+            return own & 1
+        k = (differ & -differ).bit_length() - 1
+        return 2 * k + (own >> k & 1)
+
+    names, kept = [mix((ord(c) + 1) * A % M) for c in text], set()
+    for level in range(1, fingerprints.LAST_LEVEL + 1):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [x if n == 1 else mix(x ^ (n * A % M)) for x, n in runs]
+        labels = names
+        for bits, mask in ((32, M - 1), (6, 63), (4, 15)):
+            labels = [coin((labels[i - 1] if i else ~labels[0]) & mask, labels[i], bits) for i in range(len(labels))]
+        n = len(names)
+        opens = [i == 0 or (1 < i < n - 1 and labels[i] < labels[i - 1] and labels[i] <= labels[i + 1]) for i in range(n)]
+        at = [i for i in range(n) if opens[i]] + [n]
+        names = [mix(sum(mix((names[i] + A) % M) * pow(P, i - a, M) for i in range(a, b)) % M) for a, b in zip(at, at[1:])]
+        if level >= fingerprints.FIRST_LEVEL:
+            kept |= set(names)
+        if len(names) == 1 and level >= fingerprints.FIRST_LEVEL:
+            break
+    return sorted(kept)[: fingerprints.SKETCH]
+
+
+def test_op2_parsing_against_its_rules():
+    import random
+
+    rng = random.Random(7)
+    some = ["a", "ab", "aaaa", "abab" * 9, "x" * 300] + ["".join(rng.choice("abcde é日🙂") for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    for text, found in zip(some, fingerprints.sketches(some), strict=True):
+        assert found.tolist() == parsed_plainly(text)
+
+
+def test_op2_hot_and_null_ids(spark):
+    """One id, and null, fill several groups each: every row has the row after it as its next."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(5, f"hot {i} " * rng.randint(1, 9)) for i in range(90)] + [(None, f"none {i}") for i in range(60)] + [(i, f"text {i} " * 3) for i in range(40)] + [(7, "again")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    import xxhash
+
+    signed = lambda t: int.from_bytes(xxhash.xxh64(t.encode(), seed=42).digest(), "big", signed=True)
+    ordered = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], signed(r[1])))
+    expected = Counter()
+    for k, (i, t) in enumerate(ordered):
+        u = ordered[(k + 1) % len(ordered)][1]
+        expected[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()] += 1
+    for groups in (1, 2, 7, 16):
+        got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited_fingerprints(docs, groups=groups).collect())
+        assert got == expected
+    sizes = [r["count"] for r in fingerprints.with_next(docs, 16).where("not guest").groupBy("group").count().collect()]
+    assert max(sizes) <= 60  # the equal rows of one id stay together, the others don't
+
+
 def test_op2_interiors_agree():
     """Phrases inside a shared passage are the same at any offset, and texts parse alike alone and together."""
     import random
