@@ -161,7 +161,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_column: str
     """
     bound_batches(docs.sparkSession)
     names = sorted(prototypes)
-    matrix = np.array([_unit(np.array(prototypes[n])) for n in names], dtype=np.float32).reshape(len(names), -1)
+    matrix = np.array([_unit(np.array(prototypes[n])) for n in names], dtype=np.float32).reshape(len(names), -1 if names else DIMENSIONS)
     dimensions = matrix.shape[1] if names else DIMENSIONS
     rows = beside_text(docs, keep or [id_column], text_column)
 

@@ -139,7 +139,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     there on the same holds for the sources that are left, in proportion to their
     weights.  No row is dropped or repeated.
 
-    ``weights``: by source; None gives every source the same.  A source that is not
+    ``weights``: by source; None or an empty one gives every source the same.  A source that is not
     in it gets the smallest weight given; weights must be positive.  A null source
     is a source of its own, named ''.  Rows of a source are numbered by a hash of
     all their columns, then the id: a hot source is spread over groups of about
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     other, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    if weights is not None and (not weights or min(weights.values()) <= 0):
+    if weights and min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
     kept = F.struct(*[F.col(f"`{c}`") for c in (keep or [id_column, source_column])])
     source = F.coalesce(F.col(source_column).cast("string"), F.lit(""))
