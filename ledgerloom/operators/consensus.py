@@ -14,14 +14,25 @@ def modal(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("n")).alias("less"), F.col(value).alias("v"))).alias(name), F.max("n").alias(f"{name}_count"), F.sum("n").alias(f"{name}_of"))
 
 
-def upper_median(value: Column) -> Column:
-    """The element at index n // 2 of the sorted values."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
+def at_rank(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, names): for each name the value at an index (from 0; an expression of ``n``) of the sorted ones.
 
+    From counts by value with a running sum, so rows of one key never meet in a list.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m"))
+    key = Window.partitionBy(*keys)
+    running = counts.withColumn("so_far", F.sum("m").over(key.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("m").over(key))
+    return running.groupBy(*keys).agg(*[F.min(F.when(F.col("so_far") > index, F.col(value))).alias(name) for name, index in ranks.items()])
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "upper_median") -> DataFrame:
+    """(keys, name): the element at index n // 2 of the sorted values."""
+    return at_rank(df, keys, value, {name: F.floor(F.col("n") / 2)})
 
-def index_percentile(value: Column, share: float) -> Column:
-    """The element at index int(share * n) of the sorted values."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) * share).cast("int"))
+
+def index_percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str = "percentile") -> DataFrame:
+    """(keys, name): the element at index int(share * n) of the sorted values."""
+    return at_rank(df, keys, value, {name: F.floor(F.col("n") * share)})
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, name: str = "weighted_median") -> DataFrame:
@@ -32,25 +43,29 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, nam
     return summed.where(F.col("so_far") >= F.col("all") / 2).groupBy(*keys).agg(F.min(value).alias(name))
 
 
+def _with_facts(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the facts of its batch: a join by ``keys``, or the one row of facts as constants if there are none."""
+    if keys:
+        return df.join(facts, keys, "left")
+    row = facts.first()
+    return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in facts.schema})
+
+
 def repair_years(records: DataFrame, batch: list[str] | None = None) -> DataFrame:
     """Dates whose year differs from their batch's set right where that brings them nearer.
 
     A batch speaks if it has three dates at least and one year has 60 % of them.  The
     measure is the upper median of the dates of that year, taken from counts by date, so
-    a large batch never meets in one task.  All outliers become low and get a note.
+    a large batch never meets in one task.  Without ``batch`` all records are one.
+    All outliers become low and get a note.
     """
-    batch = batch or []
-    keys = batch or ["everything"]
-    df = records if batch else records.withColumn("everything", F.lit(1))
+    keys = batch or []
     year = F.substring("invoice_date", 1, 4)
-    dated = df.where(F.col("invoice_date").isNotNull()).withColumn("year", year)
+    dated = records.where(F.col("invoice_date").isNotNull()).withColumn("year", year)
     modes = modal(dated, keys, "year", "modal_year").where((F.col("modal_year_of") >= 3) & (F.col("modal_year_count") * 10 >= F.col("modal_year_of") * 6))
-    days = dated.join(modes, keys).where(F.col("year") == F.col("modal_year")).withColumn("day", ordinal(F.col("invoice_date"))).where("day is not null").groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy(*keys).orderBy("day")
-    placed = days.withColumn("so_far", F.sum("n").over(running)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-    middle = placed.where(F.col("so_far") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min("day").alias("middle"))
-    facts = modes.join(middle, keys, "left").select(*keys, "modal_year", "middle")
-    out = df.join(facts, keys, "left")
+    of_year = _with_facts(dated, modes.select(*keys, "modal_year"), keys).where(F.col("year") == F.col("modal_year"))
+    middle = upper_median(of_year.withColumn("day", ordinal(F.col("invoice_date"))), [*keys, "modal_year"], "day", "middle")
+    out = _with_facts(records, modes.select(*keys, "modal_year").join(middle, [*keys, "modal_year"], "left").select(*keys, "modal_year", "middle"), keys)
     outlier = F.coalesce(year != F.col("modal_year"), F.lit(False))
     fixed = replaced_year(F.col("invoice_date"), F.col("modal_year"))
     nearer = F.coalesce(F.abs(ordinal(fixed) - F.col("middle")) < F.abs(ordinal(F.col("invoice_date")) - F.col("middle")), F.lit(False))
@@ -68,11 +83,10 @@ def enrich_review(records: DataFrame, batch: list[str] | None = None, page: list
     page, else that of its batch.
     """
     page = page or ["file_id", "page_no"]
-    df = records if batch else records.withColumn("everything", F.lit(1))
-    keys = batch or ["everything"]
-    pages = modal(df, page, "invoice_date", "page_date").select(*page, "page_date")
-    batches = modal(df, keys, "invoice_date", "batch_date").select(*keys, "batch_date")
-    out = df.join(pages, page, "left").join(batches, keys, "left")
+    keys = batch or []
+    pages = modal(records, page, "invoice_date", "page_date").select(*page, "page_date")
+    batches = modal(records, keys, "invoice_date", "batch_date").select(*keys, "batch_date")
+    out = _with_facts(records.join(pages, page, "left"), batches, keys)
     own = F.get("date_candidates", F.lit(0))
     missing = F.col("invoice_date").isNull()
     guess = F.coalesce(own, F.col("page_date"), F.col("batch_date"))
@@ -94,11 +108,11 @@ def date_suggestions(records: DataFrame, id_column: str = "ord", page: list[str]
     """(id, suggestions): own readings, the page's other dates by frequency, the batch's mode; distinct, the first ``most``."""
     page = page or ["file_id", "page_no"]
     dated = records.where(F.col("invoice_date").isNotNull())
-    # A page's few most frequent dates are enough: one of them may be the record's own, and ``most`` are shown.
+    # The ``most`` + 1 most frequent dates of a page are enough: one may be the record's own, which counts for less.
     counts = dated.groupBy(*page, "invoice_date").agg(F.count(F.lit(1)).alias("n"))
-    by_page = counts.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("invoice_date").alias("d")))).alias("page_dates"))
-    batch = modal(dated.withColumn("everything", F.lit(1)), ["everything"], "invoice_date", "batch_date").select("batch_date")
-    joined = records.join(by_page, page, "left").join(F.broadcast(batch), how="left")  # the batch side is one row
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*page).orderBy(F.desc("n"), "invoice_date"))).where(F.col("rank") <= most + 1)
+    by_page = ranked.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("invoice_date").alias("d")))).alias("page_dates"))
+    joined = _with_facts(records.join(by_page, page, "left"), modal(dated, [], "invoice_date", "batch_date").select("batch_date"), [])
     # The record itself doesn't speak for its page.
     others = F.array_sort(F.filter(F.transform("page_dates", lambda s: F.struct((s["less"] + F.when(s["d"] == F.col("invoice_date"), 1).otherwise(0)).alias("less"), s["d"].alias("d"))), lambda s: s["less"] < 0))
     every = F.concat(F.coalesce("date_candidates", F.array().cast("array<string>")), F.coalesce(F.transform(others, lambda s: s["d"]), F.array().cast("array<string>")), F.array("batch_date"))

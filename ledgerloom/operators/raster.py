@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layout import column_major
 
 # Windows and sizes at 200 dpi.
 WINDOW, DARKER = 31, 15
@@ -15,6 +14,23 @@ LARGE, SPARSE, THIN, LONG = 80, 0.15, 12, 100
 LEAST_WIDTH, LEAST_HEIGHT, LEAST_INK, SMALL_HEIGHT = 80, 60, 800, 250
 
 
+def reading_order(boxes: np.ndarray) -> list[int]:
+    """Boxes by column from the left, each from the top; columns share more than half of the narrower width."""
+    column = np.full(len(boxes), -1)
+    spans: list[tuple[float, float]] = []
+    for i in np.argsort(boxes[:, 0], kind="stable"):
+        a, b = np.array(spans).reshape(-1, 2).T
+        shared = np.minimum(b, boxes[i, 2]) - np.maximum(a, boxes[i, 0])
+        fits = np.flatnonzero(shared > 0.5 * np.minimum(b - a, boxes[i, 2] - boxes[i, 0]))
+        column[i] = fits[0] if len(fits) else len(spans)
+        if len(fits):
+            spans[fits[0]] = (min(a[fits[0]], boxes[i, 0]), max(b[fits[0]], boxes[i, 2]))
+        else:
+            spans.append((boxes[i, 0], boxes[i, 2]))
+    left = np.array([s[0] for s in spans])
+    return np.lexsort((boxes[:, 1], column, left[column])).tolist() if len(boxes) else []
+
+
 def ink_of(grey: np.ndarray) -> np.ndarray:
     """Pixels darker than the mean around them by more than DARKER."""
     r = WINDOW // 2
@@ -156,7 +172,7 @@ def receipts_on(image: np.ndarray, dilate: int = 25, merge_gap: int = 70) -> lis
     found = [np.array(b) for b in cut_boxes(ink, int(dilate * 0.7), merge_gap)]
     found = [b for b in found if b[2] - b[0] > LEAST_WIDTH and b[3] - b[1] > LEAST_HEIGHT and ink[b[1] : b[3], b[0] : b[2]].sum() > LEAST_INK]
     found = absorb_small(merge_vertical(found, merge_gap), merge_gap * 2)
-    return [tuple(int(v) for v in found[i]) for i in column_major(np.array(found).reshape(-1, 4))]
+    return [tuple(int(v) for v in found[i]) for i in reading_order(np.array(found).reshape(-1, 4))]
 
 
 def segment_images(pages: DataFrame, dpi: int = 200) -> DataFrame:

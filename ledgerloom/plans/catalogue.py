@@ -420,7 +420,8 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_suppkey, q[CAST(floor(len(q) * 0.8) AS INTEGER) + 1] AS p80, q[len(q) // 2 + 1] AS upper_median FROM s"""
 )
 def index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(consensus.index_percentile(F.col("l_quantity"), 0.8).alias("p80"), consensus.upper_median(F.col("l_quantity")).alias("upper_median"))
+    n = F.col("n")
+    return consensus.at_rank(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", {"p80": F.floor(n * 0.8), "upper_median": F.floor(n / 2)})
 
 
 @query(

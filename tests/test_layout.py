@@ -51,10 +51,43 @@ def test_wide_region_and_edges(spark, two):
     assert layout.deskew_angle(two.withColumn("angle", F.lit(2.0)), ["file_id"]).first().angle == 2.0
 
 
-def test_order_and_gaps():
-    boxes = np.array([[100, 0, 180, 10], [0, 50, 80, 60], [0, 0, 80, 10], [110, 50, 170, 60]], dtype=float)
-    assert layout.column_major(boxes) == [2, 1, 0, 3]
-    assert layout.quiet_runs(np.array([0.0, 50.0]), np.array([10.0, 60.0]), 0, 5) == [30.5]
+def test_order_and_gaps(spark):
+    boxes = [(100.0, 0.0, 180.0, 10.0), (0.0, 50.0, 80.0, 60.0), (0.0, 0.0, 80.0, 10.0), (110.0, 50.0, 170.0, 60.0)]
+    df = spark.createDataFrame([("f", k, *b) for k, b in enumerate(boxes)], "file_id string, k int, x0 double, y0 double, x1 double, y1 double")
+    assert [r.k for r in layout.column_major(df, ["file_id"]).orderBy("place").collect()] == [2, 1, 0, 3]
+    assert raster.reading_order(np.array(boxes)) == [2, 1, 0, 3]
+    spans = spark.createDataFrame([("f", 0.0, 10.0), ("f", 50.0, 60.0), ("f", 52.0, 70.0)], "file_id string, x0 double, x1 double")
+    found = lambda most: [(r.begin, r.finish) for r in layout.quiet_stretches(spans, ["file_id"], "x", F.lit(most)).orderBy("begin").collect()]
+    assert found(0) == [(10.0, 50.0)] and found(1) == [(0.0, 52.0)]
+
+
+def test_strips_of_one_receipt_are_joined(spark):
+    """Names and amounts set apart, with a second receipt beside them that must stay apart."""
+    names = ["TAX INVOICE", "Date 07/03/2026", "Coffee beans", "Milk and sugar", "Subtotal", "Sales Tax", "Total"]
+    amounts = ["35.00", "65.00", "100.00", "15.00", "115.00"]
+    left = page(names, 0.0, 0.0, width=200.0)
+    right = page(amounts, 300.0, 80.0, start=10, width=80.0)
+    lines = spark.createDataFrame(left + right + page(RECEIPT, 900.0, 0.0, start=20), LINE)
+    found = {r.region_no: (r.n, r.x) for r in layout.cluster_receipts(lines).groupBy("region_no").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x")).collect()}
+    assert found == {1: (12, 0.0), 2: (7, 900.0)}
+
+
+def test_scraps_are_settled(spark):
+    """A short line near a receipt joins it; one far from all that says nothing is dropped."""
+    lines = spark.createDataFrame(page(RECEIPT, 0.0, 0.0) + page(["x"], 20.0, 480.0, start=10, width=30.0) + page(["zz"], 1500.0, 900.0, start=11, width=30.0) + page(RECEIPT, 700.0, 0.0, start=20), LINE)
+    got = {r.line_no: r.region_no for r in layout.cluster_receipts(lines).collect()}
+    assert got[10] == 1 and got[11] is None and got[20] == 2
+
+
+def test_many_pages_at_once(spark):
+    """Pages are placed as each would be alone."""
+    pages = [(f"f{k}", page(RECEIPT, 0.0, 0.0, file_id=f"f{k}") + (page(RECEIPT, 700.0, 13.0 * k, file_id=f"f{k}", start=20) if k % 2 else [])) for k in range(6)]
+    together = {(r.file_id, r.line_no): r.region_no for r in layout.cluster_receipts(spark.createDataFrame([x for _, p in pages for x in p], LINE)).collect()}
+    for name, p in pages[:4]:
+        if len(p) >= 8:
+            alone = {(r.file_id, r.line_no): r.region_no for r in layout.cluster_receipts(spark.createDataFrame(p, LINE)).collect()}
+            assert alone == {k: v for k, v in together.items() if k[0] == name}
+    assert {v for k, v in together.items() if k[0] == "f0"} == {None}
 
 
 def test_ink(spark):
