@@ -34,7 +34,7 @@ from .encoding import by_bytes, encoder_of
 #: Salted groups into which the pieces of one length are dealt for numbering.
 SALTS = 64
 #: Rows of plans up to which they are broadcast; more are joined in a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 
 
 def plan(counts: dict[int, int], max_tokens: int, max_documents: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), score: str = "dot") -> list[tuple[int, int, int, int, int]]:
