@@ -26,7 +26,15 @@ REPAIRS = [
     (r"(?U)(\d),(\d{3}),(\d{2})\b", "$1,$2.$3"),
     (r"(?U)(\d),\s+(\d{3})(?=\.\d{2}\b|\s|$)", "$1,$2"),
 ]
+# Words beside which a Q between digits is a zero.
 AMOUNT_WORDS = ["total", "amount", "tender", "balance", "due", "card", "合计", "总计", "金额", "应付", "实付", "价税"]
+# A Q that is a zero, before an amount's decimals and beside the words above; money with a colon for its point.
+Q_IN_DECIMALS = r"(?U)(?<=\d)Q(?=\d{0,2}[.,]\d{2}\b)"
+Q_IN_DIGITS = r"(?<=\d)Q(?=\d)"
+COLON_FOR_POINT = r"^\s*(\d{1,3}(?:,\d{3})*|\d{1,6})[:;](\d{2})\s*$"
+# Letters in numbers and the digits they stand for.
+LETTERS_IN_NUMBERS = [(r"(?<=[\d.,])[oO](?=[\d.,])", "0"), (r"(?<=[\d.,])[lI](?=[\d.,])", "1"), (r"(?<=\d)\.o(?![a-z])", ".0")]
+# A line that is only a time of day; a row of a table of suggested tips; a row that starts an invoice.
 BARE_TIME = r"^\s*([01]?\d|2[0-3])[:;][0-5]\d(?:[:;][0-5]\d)?\s*$"
 SUGGESTION = r"(@?\s*\d{1,2}\s*[%％]\s*[=＝])|(\d{1,2}\s*[%％]\s*[=＝]\s*[R$]?\s*\d)"
 HEADER = r"(?iu)tax\s*lnvolce|tax\s*invoice|invoice\s*n[or]|vat\s*invoice|增值税.*发票|普通发票|发票\s*代码|发票\s*号码"
@@ -41,29 +49,35 @@ def repair(text: Column) -> Column:
     """The text of an OCR line with what is safely known to be misread set right."""
     for pattern, put in REPAIRS:
         text = F.regexp_replace(text, pattern, put)
-    text = F.regexp_replace(text, r"(?U)(?<=\d)Q(?=\d{0,2}[.,]\d{2}\b)", "0")
+    text = F.regexp_replace(text, Q_IN_DECIMALS, "0")
     return let(let(text, _q_in_amounts), _colon_for_point)
 
 
 def _q_in_amounts(text: Column) -> Column:
     words = F.exists(F.array(*map(F.lit, AMOUNT_WORDS)), lambda w: F.contains(F.lower(text), w))
-    return F.when(words, F.regexp_replace(text, r"(?<=\d)Q(?=\d)", "0")).otherwise(text)
+    return F.when(words, F.regexp_replace(text, Q_IN_DIGITS, "0")).otherwise(text)
 
 
 def _colon_for_point(text: Column) -> Column:
     """A whole line of digits, a colon and two digits is money if no clock shows it."""
-    shape = r"^\s*(\d{1,3}(?:,\d{3})*|\d{1,6})[:;](\d{2})\s*$"
-    head = F.regexp_extract(text, shape, 1)
-    return F.when((head != "") & (F.regexp_replace(head, ",", "").try_cast("long") > 23), F.concat(head, F.lit("."), F.regexp_extract(text, shape, 2))).otherwise(text)
-
-
-def repair_digits(text: Column, rounds: int = 4) -> Column:
-    """Letters inside numbers read as digits; a repair may make its neighbour's, so it is done again."""
-    for _ in range(rounds):
-        text = F.regexp_replace(text, r"(?<=[\d.,])[oO](?=[\d.,])", "0")
-        text = F.regexp_replace(text, r"(?<=[\d.,])[lI](?=[\d.,])", "1")
-        text = F.regexp_replace(text, r"(?<=\d)\.o(?![a-z])", ".0")
-    return text
+    head = F.regexp_extract(text, COLON_FOR_POINT, 1)
+    return F.when((head != "") & (F.regexp_replace(head, ",", "").try_cast("long") > 23), F.concat(head, F.lit("."), F.regexp_extract(text, COLON_FOR_POINT, 2))).otherwise(text)
+
+
+def repair_digits(text: Column) -> Column:
+    """Letters inside numbers read as digits; a repair may make its neighbour's, so it is done until nothing changes.
+
+    Each further round sets one letter right at least that follows a digit, a sign or such
+    a letter: as many rounds as there are such letters are enough.
+    """
+
+    def once(t: Column) -> Column:
+        for pattern, digit in LETTERS_IN_NUMBERS:
+            t = F.regexp_replace(t, pattern, digit)
+        return t
+
+    letters = F.regexp_count(text, F.lit(r"(?<=[\d.,oOlI])[oOlI]"))
+    return F.when(letters > 0, F.aggregate(F.sequence(F.lit(1), letters), text, lambda t, _: once(t))).otherwise(text)
 
 
 def canonical(text: Column) -> Column:

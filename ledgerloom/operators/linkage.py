@@ -51,18 +51,22 @@ def verdict(tolerance: int) -> Column:
     return F.when(exact, equal).otherwise(unequal)
 
 
-def link_pairs(records: DataFrame, tolerance: int = 0, id_column: str = "ord", scope: list[str] | None = None) -> DataFrame:
-    """(a, b, verdict, gap) of all pairs a < b with a verdict, never by comparing all pairs.
+def _classes(keys: DataFrame, scope: list[str]) -> DataFrame:
+    """One row for all records that read alike: reading, id (the smallest), n.
 
-    Three exact blockings, which together hold every pair that can have a verdict:
-    both dated and equal to the cent or one off, by (amount, day); one without a date
-    and equal, by amount; unequal ones of different kinds, by (day, ratio band).
+    Records of one reading have the same verdict with any other record, so classes
+    are compared, however many records share an amount on one day.
     """
-    scope = scope or []
-    keys = _keys(records, id_column, scope)
+    reading = F.struct(*scope, "kind", "cents", "printed", F.array_sort("dates").alias("dates")).alias("reading")
+    found = keys.select("id", reading).groupBy("reading").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return found.select("id", "n", "reading", "reading.*")
+
+
+def _class_pairs(classes: DataFrame, tolerance: int, scope: list[str]) -> DataFrame:
+    """(a, b, verdict, gap) of classes a < b with a verdict, by three exact blockings."""
     days = max(tolerance, SUSPECT_GAP_DAYS)
-    left = keys.select(*scope, *[F.col(c).alias(f"l_{c}") for c in ("id", "kind", "cents", "printed", "dates")])
-    right = keys.select(*scope, *[F.col(c).alias(f"r_{c}") for c in ("id", "kind", "cents", "printed", "dates")])
+    left = classes.select(*scope, *[F.col(c).alias(f"l_{c}") for c in ("id", "kind", "cents", "printed", "dates")])
+    right = classes.select(*scope, *[F.col(c).alias(f"r_{c}") for c in ("id", "kind", "cents", "printed", "dates")])
     around = lambda c, n: F.explode(F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda k: F.col(c) + k))
     near_days = F.explode(F.array_distinct(F.flatten(F.transform("l_dates", lambda d: F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add(d, k))))))
     left_day = left.withColumn("day", near_days)
@@ -82,6 +86,36 @@ def link_pairs(records: DataFrame, tolerance: int = 0, id_column: str = "ord", s
     return judged.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "verdict", gap_days(F.col("l_dates"), F.col("r_dates")).alias("gap")).distinct()
 
 
+def _within(classes: DataFrame) -> tuple[Column, Column]:
+    """Verdict and gap of two records of one class: one transaction if dated, else suspected."""
+    dated = F.size("dates") > 0
+    return F.when(dated, "dup").otherwise("suspect"), F.when(dated, F.lit(0)).otherwise(F.lit(-1))
+
+
+def link_pairs(records: DataFrame, tolerance: int = 0, id_column: str = "ord", scope: list[str] | None = None) -> DataFrame:
+    """(a, b, verdict, gap) of all pairs a < b with a verdict, never by comparing all pairs.
+
+    Records that read alike are one class; classes meet in three exact blockings,
+    which together hold every pair that can have a verdict: both dated and equal to
+    the cent or one off, by (amount, day); one without a date and equal, by amount;
+    unequal ones of different kinds, by (day, ratio band).  Pairs of classes are then
+    written out for their records, which is what is asked for here; ``deduplicate``
+    needs no pairs of records.
+    """
+    scope = scope or []
+    keys = _keys(records, id_column, scope)
+    classes = cut(_classes(keys, scope))
+    pairs = _class_pairs(classes, tolerance, scope)
+    reading = F.struct(*scope, "kind", "cents", "printed", F.array_sort("dates").alias("dates"))
+    members = keys.select(F.col("id").alias("member"), reading.alias("reading")).join(classes.select("reading", "id", "n"), "reading").select("member", "id", "n", F.col("reading.dates").alias("dates"))
+    left, right = members.select(F.col("member").alias("l"), F.col("id").alias("a")), members.select(F.col("member").alias("r"), F.col("id").alias("b"))
+    across = pairs.join(left, "a").join(right, "b").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "verdict", "gap")
+    kind, gap = _within(classes)
+    several = members.where("n > 1").select(F.col("member").alias("l"), F.col("id").alias("b"), kind.alias("verdict"), gap.alias("gap"))
+    inside = several.join(right, "b").where("l < r").select(F.col("l").alias("a"), F.col("r").alias("b"), "verdict", "gap")
+    return across.unionByName(inside)
+
+
 def _note(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -98,26 +132,52 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
 
     Adds ``component`` (smallest ord of the group), ``is_primary`` and slip_verified.
     Suspected pairs are noted and lose confidence first, so that this counts in the
-    choice of survivors.  A group takes its largest total and a slip's date.
+    choice of survivors.  A group takes its largest total and a slip's date.  Notes
+    name each reading once, with the number of further records that read alike.
     """
     if not settings.enabled:
         return records.withColumn("component", F.col("ord")).withColumn("is_primary", F.lit(True)).withColumn("slip_verified", F.lit(False))
-    pairs = cut(link_pairs(records, settings.date_tolerance_days, "ord", scope))
-    groups = connected_components(pairs.where("verdict = 'dup'")).select(F.col("node").alias("ord"), F.col("component"))
-    grouped = records.join(groups, "ord", "left").withColumn("component", F.coalesce("component", "ord"))
-    # Suspects within one group have been confirmed otherwise.
-    own = groups.select(F.col("ord").alias("a"), F.col("component").alias("ca"))
-    other = groups.select(F.col("ord").alias("b"), F.col("component").alias("cb"))
-    open_pairs = pairs.where("verdict <> 'dup'").join(own, "a", "left").join(other, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    both = open_pairs.select(F.col("a").alias("ord"), F.col("b").alias("peer"), "verdict", "gap").unionByName(open_pairs.select(F.col("b").alias("ord"), F.col("a").alias("peer"), "verdict", "gap"))
-    names = records.select(F.col("ord").alias("peer"), F.col("source_file").alias("peer_file"))
-    suspected = both.join(names, "peer").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("peer", "verdict", "gap", "peer_file"))), lambda s: F.concat_ws(" ", s["verdict"], s["gap"].cast("string"), s["peer_file"])).alias("suspects"))
+    scope = scope or []
+    reading = F.struct(*scope, "kind", "cents", "printed", F.array_sort("dates").alias("dates"))
+    keys = _keys(records, "ord", scope).select(F.col("id").alias("ord"), reading.alias("reading"))
+    files = records.select("ord", "source_file")
+    classes = cut(_classes(_keys(records, "ord", scope), scope))
+    pairs = cut(_class_pairs(classes, settings.date_tolerance_days, scope))
+    found = connected_components(pairs.where("verdict = 'dup'")).select(F.col("node").alias("id"), "component")
+    # Records of a dated reading are one transaction; those of an undated one only by way of another class.
+    joint = classes.join(found, "id", "left").withColumn("joined", (F.size("dates") > 0) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "id"))
+    ends = keys.join(files, "ord").groupBy("reading").agg(F.min_by("source_file", "ord").alias("first_file"), F.max_by("source_file", "ord").alias("last_file"))
+    joint = cut(joint.join(ends, "reading").select("reading", "id", "n", "component", "joined", "first_file", "last_file"))
+    placed = keys.join(joint, "reading").select("ord", F.col("id").alias("class"), F.when(F.col("joined"), F.col("component")).otherwise(F.col("ord")).alias("component"))
+    grouped = records.join(placed, "ord", "left").withColumn("component", F.coalesce("component", "ord"))
+    # Suspects within one group have been confirmed otherwise; classes not joined are groups of one each.
+    side = lambda i: joint.select(F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("joined").alias(f"j{i}"), F.col("n").alias(f"n{i}"), F.col("first_file").alias(f"f{i}"))
+    apart = ~(F.col("ja") & F.col("jb") & (F.col("ca") == F.col("cb")))
+    open_pairs = pairs.where("verdict <> 'dup'").join(side("a"), "a").join(side("b"), "b").where(apart)
+    told = lambda own, peer: open_pairs.select(F.col(own).alias("class"), F.col(peer).alias("peer"), "verdict", "gap", F.col(f"f{peer}").alias("file"), F.col(f"n{peer}").alias("n"))
+    both = told("a", "b").unionByName(told("b", "a"))
+    more = F.when(F.col("n") > 1, F.concat(F.lit("+"), (F.col("n") - 1).cast("string")))
+    # One note for each reading that is suspected, with the number of further records that read so.
+    suspected = both.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("peer", F.concat_ws(" ", "verdict", F.col("gap").cast("string"), "file", more).alias("text")))), lambda s: s["text"]).alias("others"))
+    alike = joint.where((F.col("n") > 1) & ~F.col("joined")).select(F.col("id").alias("class"), "first_file", "last_file", "n")
+    suspected = suspected.join(alike, "class", "full")
+    peer = F.when(F.col("ord") == F.col("class"), F.col("last_file")).otherwise(F.col("first_file"))
+    same = F.when(F.col("n").isNotNull(), F.array(F.concat_ws(" ", F.lit("suspect -1"), peer, F.when(F.col("n") > 2, F.concat(F.lit("+"), (F.col("n") - 2).cast("string"))))))
+    none = F.array().cast("array<string>")
+    suspected = placed.join(suspected, "class").select("ord", F.concat(F.coalesce("others", none), F.coalesce(same, none)).alias("suspects"))
     noted = grouped.join(suspected, "ord", "left").withColumn("notes", F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.coalesce("suspects", F.array().cast("array<string>"))))
     noted = noted.withColumn("confidence", F.when(F.col("suspects").isNotNull() & (F.col("confidence") != "low"), "medium").otherwise(F.col("confidence")))
     noted = noted.withColumn("priority", _priority())
     cents = F.round(F.col("total_incl_tax") * 100).cast("long")
     slip = F.col("doc_kind") == "card_slip"
-    member = F.struct("priority", "source_file", "doc_kind")
+    # Members that read alike are told once, with their number: a list grows with the readings of a group, not with its records.
+    alike = noted.groupBy("component", "class", "doc_kind").agg(F.min("priority").alias("first"), F.max("priority").alias("last"), F.min_by("source_file", "priority").alias("file"), F.max_by("source_file", "priority").alias("other"), F.count(F.lit(1)).alias("n"))
+    lists = alike.groupBy("component").agg(F.count(F.lit(1)).alias("readings"), F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("first", "file", "other", "doc_kind", "n"))).alias("every")).where("all > 1")
+    shown = lambda name, kind, n: F.concat(name, F.lit("("), F.coalesce(kind, F.lit("")), F.lit(")"), F.when(n > 1, F.concat(F.lit(" +"), (n - 1).cast("string"))).otherwise(F.lit("")))
+    head = F.get("every", F.lit(0))
+    rest = F.transform(F.slice("every", F.lit(2), F.greatest(F.col("readings") - 1, F.lit(0)).cast("int")), lambda m: shown(m["file"], m["doc_kind"], m["n"]))
+    own = F.when(head["n"] > 1, F.array(shown(head["other"], head["doc_kind"], head["n"] - 1))).otherwise(none)
+    lists = lists.select("component", F.array_join(F.concat(own, rest), ", ").alias("merged"), head["file"].alias("primary_file"))
     facts = noted.groupBy("component").agg(
         F.min("priority").alias("first"),
         F.count(F.lit(1)).alias("members"),
@@ -125,10 +185,8 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
         (F.max(cents) - F.min(cents)).alias("spread"),
         (F.max(slip.cast("int")) + F.max((F.col("doc_kind") == "invoice").cast("int")) == 2).alias("verified"),
         F.min_by("invoice_date", F.when(slip & F.col("invoice_date").isNotNull(), F.col("priority"))).alias("slip_date"),
-        F.array_sort(F.collect_list(member)).alias("every"),
     )
-    merged = F.array_join(F.transform(F.slice("every", 2, 1_000_000), lambda m: F.concat(m["source_file"], F.lit("("), m["doc_kind"], F.lit(")"))), ", ")
-    facts = facts.withColumn("merged", F.when(F.col("members") > 1, merged)).withColumn("primary_file", F.get("every", F.lit(0))["source_file"]).drop("every")
+    facts = facts.join(lists, "component", "left")
     joined = noted.join(facts, "component").withColumn("is_primary", F.col("priority") == F.col("first"))
     many, lead = F.col("members") > 1, F.col("is_primary")
     takes_date = many & lead & (F.col("doc_kind") != "card_slip") & F.col("slip_date").isNotNull()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def initial_events(enriched: DataFrame) -> DataFrame:
     """The first event of every record: its defaults."""
@@ -61,7 +63,23 @@ def bands(width: int, height: int, parts: int, overlap: float = 0.02) -> list[tu
     return out
 
 
-def neighbours(state: DataFrame, order: str = "seq") -> DataFrame:
-    """Previous and next record that is not deleted, around each in order."""
-    at = Window.orderBy(order)
-    return state.withColumn("previous_id", F.lag("record_id").over(at)).withColumn("next_id", F.lead("record_id").over(at))
+def neighbours(state: DataFrame, order: str = "seq", keys: list[str] | None = None) -> DataFrame:
+    """Previous and next record that is not deleted, around each in order; within ``keys`` if given.
+
+    Without keys the rows are dealt into ranges of the order, numbered and looked up
+    across their borders, so no task has them all.  ``order`` must tell rows apart.
+    """
+    if keys:
+        at = Window.partitionBy(*keys).orderBy(order)
+        return state.withColumn("previous_id", F.lag("record_id").over(at)).withColumn("next_id", F.lead("record_id").over(at))
+    count = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(state.repartitionByRange(count, order).withColumn("range", F.spark_partition_id()))
+    at = Window.partitionBy("range").orderBy(order)
+    inside = ranged.withColumn("previous_id", F.lag("record_id").over(at)).withColumn("next_id", F.lead("record_id").over(at))
+    # As many rows as ranges.
+    ends = sorted(ranged.groupBy("range").agg(F.min_by("record_id", order).alias("first"), F.max_by("record_id", order).alias("last")).collect())
+    before = {b["range"]: a["last"] for a, b in zip(ends, ends[1:], strict=False)}
+    after = {a["range"]: b["first"] for a, b in zip(ends, ends[1:], strict=False)}
+    kind = state.schema["record_id"].dataType
+    known = lambda found: F.element_at(F.create_map(*[F.lit(x) for pair in found.items() for x in pair]), F.col("range")).cast(kind) if found else F.lit(None).cast(kind)
+    return inside.select(*state.columns, F.coalesce("previous_id", known(before)).alias("previous_id"), F.coalesce("next_id", known(after)).alias("next_id"))

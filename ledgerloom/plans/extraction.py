@@ -34,8 +34,9 @@ def extract(lines: DataFrame, settings: Settings = Settings(), text_layer: bool
         clustered = clustered.withColumn("part", F.lit(0))
     found = records.worth_keeping(records.parse_rows(clustered, settings, [*REGION, "part"]))
     name = F.concat_ws("#", "file_id", "page_no", "region_no", "part")
-    # An order without numbering all rows in one task: the name's hash is unique enough to sort and link by.
-    return found.withColumn("record_id", name).withColumn("source_file", name).withColumn("ord", F.xxhash64(name)).withColumn("source", F.lit("text" if text_layer else "ocr"))
+    # The input order without numbering all rows in one task.
+    order = F.struct("file_id", "page_no", "region_no", "part")
+    return found.withColumn("record_id", name).withColumn("source_file", name).withColumn("ord", order).withColumn("source", F.lit("text" if text_layer else "ocr"))
 
 
 def finish(found: DataFrame, settings: Settings = Settings()) -> DataFrame:

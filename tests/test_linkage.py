@@ -9,6 +9,7 @@ from ledgerloom.operators import consensus, linkage, review
 from ledgerloom.operators.components import connected_components
 from ledgerloom.schema import RECORD
 
+RECORD = RECORD.replace("ord struct<file_id:string,page_no:int,region_no:int,part:int>", "ord long")  # a batch of plain records is numbered
 NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
@@ -116,3 +117,50 @@ def test_review(spark):
     assert review.export_rows(state).count() == 4 and review.export_rows(state, True).count() == 0
     tips = {r.ord: r.suggestions for r in consensus.date_suggestions(make(spark, rows)).collect()}
     assert tips[3][0] == "2026-02-02" and tips[2][0] == "2026-01-01"
+
+
+def test_a_hot_reading_links_in_bounded_lists(spark):
+    """20,000 records of one amount, day and kind, and 20,000 undated ones: no pairs of records are made."""
+    from pyspark.sql import functions as F
+
+    few = make(spark, [inv(100, "2026-03-07"), slip(100, "2026-03-07"), inv(55)])
+    many = few.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19999)))).where("ord <> 1 or k < 3")
+    many = many.withColumn("ord", F.col("ord") * 100000 + F.col("k")).withColumn("source_file", F.concat("source_file", F.lit("-"), F.col("k").cast("string"))).drop("k")
+    done = linkage.deduplicate(many, LinkSettings(mode="mark"))
+    groups = {r.component: r["count"] for r in done.groupBy("component").count().where("count > 1").collect()}
+    assert groups == {0: 20003}
+    first = done.where("ord = 0").first()
+    assert first.notes == ["merged s0-19999(invoice) +19998, s1-0(card_slip) +2", "slip_verified"] and first.confidence == "high"
+    lone = {r.ord: r for r in done.where("ord in (200000, 200001)").collect()}
+    assert lone[200000].notes == ["suspect -1 s2-19999 +19998"] and lone[200001].notes == ["suspect -1 s2-0 +19998"]
+    assert lone[200001].component == 200001 and lone[200001].confidence == "medium"
+
+
+def test_undated_records_are_joined_by_another_class(spark):
+    rows = [inv(70), inv(70), slip(70, "2026-03-03"), inv(70)]
+    marked = linkage.deduplicate(make(spark, rows), LinkSettings(mode="mark")).orderBy("ord").collect()
+    assert [r.component for r in marked] == [0, 0, 0, 0]
+    assert not any(n.startswith("suspect") for r in marked for n in r.notes)
+
+
+def test_records_known_by_structs(spark):
+    from pyspark.sql import functions as F
+
+    df = make(spark, [inv(100, "2026-03-07"), slip(120, "2026-03-07"), inv(3)]).withColumn("ord", F.struct("file_id", "ord"))
+    out = linkage.deduplicate(df).orderBy("ord").collect()
+    assert [r.ord.ord for r in out] == [0, 2] and [r.component.ord for r in out] == [0, 2]
+
+
+def test_neighbours_across_ranges(spark):
+    state = spark.createDataFrame([(f"r{i}", (i * 37) % 101) for i in range(101)], "record_id string, seq long").repartition(5)
+    order = sorted(((i * 37) % 101, f"r{i}") for i in range(101))
+    expected = {r: (order[k - 1][1] if k else None, order[k + 1][1] if k < 100 else None) for k, (_, r) in enumerate(order)}
+    assert {r.record_id: (r.previous_id, r.next_id) for r in review.neighbours(state).collect()} == expected
+    one = review.neighbours(state.withColumn("k", F_lit(spark)), keys=["k"])
+    assert {r.record_id: (r.previous_id, r.next_id) for r in one.collect()} == expected
+
+
+def F_lit(spark):
+    from pyspark.sql import functions as F
+
+    return F.lit(1)
