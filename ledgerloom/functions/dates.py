@@ -27,6 +27,7 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 
 #: Put where a date or time was: no digit, sign or letter touches it.
 MASK = "\u0001"
+# A time of day.
 TIME = r"(?<![\d.])(?:[01]?\d|2[0-3])[:;][0-5]?\d(?:[:;][0-5]\d)?(?!\d)"
 
 
@@ -98,18 +99,24 @@ def _reader(pattern: str, kind: str) -> Callable[[Column], Column]:
 
 def without_dates(text: Column) -> Column:
     """The text with everything that looks like a date or a time of day masked, so that only other numbers stay."""
-    plain = let(text, _without_patterns)
-    text = F.when(may_hold_date(text), plain).otherwise(text)
-    return F.regexp_replace(text, TIME, MASK)
+    plain = F.when(may_hold_date(text), let(text, _without_patterns)).otherwise(text)
+    return F.regexp_replace(plain, TIME, MASK)
 
 
 def _without_patterns(text: Column) -> Column:
+    numeric = None
     for pattern, kind in PATTERNS:
         if kind in ("ymd", "ab4", "ab2"):
-            text = F.regexp_replace(text, pattern, MASK)
-        else:
-            text = let(text, _without_named(pattern, 1 if kind == "Mdy" else 2))
-    return text
+            numeric = F.regexp_replace(text if numeric is None else numeric, pattern, MASK)
+
+    def by_name(t: Column) -> Column:
+        for pattern, kind in PATTERNS:
+            if kind not in ("ymd", "ab4", "ab2"):
+                t = let(t, _without_named(pattern, 1 if kind == "Mdy" else 2))
+        return t
+
+    # Names of months cost most: they are looked for only where a word stands beside numbers.
+    return let(numeric, lambda t: F.when(t.rlike("(?U)" + _MAY_BE_NAMED), by_name(t)).otherwise(t))
 
 
 def _without_named(pattern: str, place: int) -> Callable[[Column], Column]:

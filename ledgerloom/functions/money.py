@@ -11,6 +11,7 @@ from .text import repair_digits
 
 # Currency signs and codes, and the one they stand for.
 CURRENCIES = {"$": "$", "¥": "¥", "￥": "¥", "€": "€", "£": "£", "RMB": "¥", "CNY": "¥", "USD": "$", "EUR": "€", "GBP": "£", "R": "ZAR", "ZAR": "ZAR"}
+# The signs and codes that a text is searched for, the numbers that are amounts, and rows of identifiers.
 CODES_IN_TEXT = ["RMB", "CNY", "USD", "EUR", "GBP", "ZAR", "￥", "¥", "€", "£", "$"]
 AMOUNT = r"([$¥￥€£]|RMB|CNY|USD|EUR|GBP|ZAR|R(?=\s?\d{1,3}(?:,\d{3})*\.\d{2}))?\s?(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)\s*(元)?"
 ID_ROW = (
@@ -24,23 +25,29 @@ _SIGNED = "(?iuU)([-*])?" + AMOUNT
 TOKEN = "struct<value:decimal(18,2),fragment:string,currency:string,no_separator:boolean>"
 
 
-def _currency(sign: Column, yuan: Column) -> Column:
+#: The parts of a matched token: its sign or code, and its number.
+_CODE, _NUMBER = r"(?U)^[-*]?([^\d\s]*)", r"(?U)\d[\d,]*(?:\.\d{1,2})?"
+_NO_TOKENS = f"array<{TOKEN}>"
+
+
+def _currency(match: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in CURRENCIES.items() for x in kv])
-    return F.when(sign != "", F.coalesce(F.try_element_at(known, F.upper(sign)), sign)).when(yuan != "", F.lit("¥"))
+    code = F.upper(F.regexp_extract(match, _CODE, 1))
+    return F.when(code != "", F.coalesce(F.try_element_at(known, code), code)).when(F.contains(match, F.lit("元")), F.lit("¥"))
 
 
-def _value(number: Column) -> Column:
-    return F.regexp_replace(number, ",", "").try_cast("decimal(18,2)")
+def _value(match: Column) -> Column:
+    return F.replace(F.regexp_extract(match, _NUMBER, 0), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
 
 def tokens(text: Column) -> Column:
     """array of every money token: value, fragment, currency, whether it has no separator."""
-    zipped = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(_PLAIN), F.lit(i)).alias(n) for i, n in enumerate(("m", "c", "n", "y"))])
-    found = F.transform(
-        zipped,
-        lambda z: F.struct(_value(z["n"]).alias("value"), F.trim(z["m"]).alias("fragment"), _currency(z["c"], z["y"]).alias("currency"), (~z["m"].rlike("[.,]")).alias("no_separator")),
+    read = F.transform(
+        F.regexp_extract_all(text, F.lit(_PLAIN), F.lit(0)),
+        lambda m: F.struct(_value(m).alias("value"), F.trim(m).alias("fragment"), _currency(m).alias("currency"), (~m.rlike("[.,]")).alias("no_separator")),
     )
-    return F.filter(found, lambda t: t["value"].isNotNull())
+    found = F.when(text.rlike(r"(?U)\d"), F.filter(read, lambda t: t["value"].isNotNull()))
+    return F.coalesce(found, F.when(text.isNotNull(), F.array().cast(_NO_TOKENS)))
 
 
 def amounts(text: Column) -> Column:
@@ -50,30 +57,22 @@ def amounts(text: Column) -> Column:
     or a star, six digits and more without separator, bare ones from 10000 and bare
     ones that look like a year.
     """
-    masked = without_dates(repair_digits(text))
-    found = F.when(text.rlike(ID_ROW), F.array().cast(f"array<{TOKEN}>")).otherwise(let(masked, _kept))
-    return F.coalesce(found, F.array().cast(f"array<{TOKEN}>"))
+    none = F.array().cast(_NO_TOKENS)
+    found = F.when(~text.rlike(r"(?U)\d") | text.rlike(ID_ROW), none).otherwise(let(let(repair_digits(text), without_dates), _kept))
+    return F.coalesce(found, none)
 
 
 def _kept(masked: Column) -> Column:
-    zipped = F.arrays_zip(*[F.regexp_extract_all(masked, F.lit(_SIGNED), F.lit(i)).alias(n) for i, n in enumerate(("m", "s", "c", "n", "y"))])
+    # A match is found once; its parts are read from it.
+    unsigned = F.filter(F.regexp_extract_all(masked, F.lit(_SIGNED), F.lit(0)), lambda m: ~F.substring(m, 1, 1).isin("-", "*"))
     read = F.transform(
-        zipped,
-        lambda z: F.struct(
-            _value(z["n"]).alias("value"),
-            F.regexp_replace(z["m"], r"(?U)^[-*]?\s*|\s+$", "").alias("fragment"),
-            _currency(z["c"], z["y"]).alias("currency"),
-            (~z["m"].rlike("[.,]")).alias("no_separator"),
-            z["s"].alias("sign"),
-            F.length(F.regexp_replace(z["n"], r"\D", "")).alias("digits"),
-        ),
+        unsigned,
+        lambda m: F.struct(_value(m).alias("value"), F.regexp_replace(m, r"(?U)^\s+|\s+$", "").alias("fragment"), _currency(m).alias("currency"), (~m.rlike("[.,]")).alias("no_separator")),
     )
+    # Six digits and more are beyond 99999, unless they begin with zeros.
+    long = lambda t: F.length(F.regexp_replace(t["fragment"], r"(?U)\D", "")) >= 6
     bare = lambda t: t["no_separator"] & t["currency"].isNull()
-    good = F.filter(
-        read,
-        lambda t: (t["sign"] == "") & t["value"].isNotNull() & ~(t["no_separator"] & (t["digits"] >= 6)) & ~(bare(t) & (t["value"] >= 10000)) & ~(bare(t) & t["value"].between(2000, 2099)),
-    )
-    return F.transform(good, lambda t: F.struct(t["value"].alias("value"), t["fragment"].alias("fragment"), t["currency"].alias("currency"), t["no_separator"].alias("no_separator")))
+    return F.filter(read, lambda t: t["value"].isNotNull() & ~(t["no_separator"] & long(t)) & ~(bare(t) & ((t["value"] >= 10000) | t["value"].between(2000, 2099))))
 
 
 def last(found: Column) -> Column:
