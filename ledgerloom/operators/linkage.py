@@ -120,7 +120,7 @@ def _note(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _priority() -> Column:
+def priority() -> Column:
     """Order of a group's members: the smallest survives."""
     rank = lambda c, names: F.coalesce(*[F.when(F.col(c) == n, F.lit(i)) for i, n in enumerate(names)], F.lit(names.index("card_slip") if "card_slip" in names else 2))
     fields = sum((F.col(c).isNotNull().cast("int") for c in ("subtotal", "tax", "tip", "invoice_date")), F.lit(0))
@@ -167,7 +167,7 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
     suspected = placed.join(suspected, "class").select("ord", F.concat(F.coalesce("others", none), F.coalesce(same, none)).alias("suspects"))
     noted = grouped.join(suspected, "ord", "left").withColumn("notes", F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.coalesce("suspects", F.array().cast("array<string>"))))
     noted = noted.withColumn("confidence", F.when(F.col("suspects").isNotNull() & (F.col("confidence") != "low"), "medium").otherwise(F.col("confidence")))
-    noted = noted.withColumn("priority", _priority())
+    noted = noted.withColumn("priority", priority())
     cents = F.round(F.col("total_incl_tax") * 100).cast("long")
     slip = F.col("doc_kind") == "card_slip"
     # Members that read alike are told once, with their number: a list grows with the readings of a group, not with its records.

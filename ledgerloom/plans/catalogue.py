@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import LinkSettings
 from ..functions import dates, money, text
-from ..operators import classify, consensus, linkage, records, review, rows
+from ..operators import classify, consensus, layout, linkage, records, review, rows
 from ..operators.components import connected_components
-from .synthetic import EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, RECEIPTS_SQL, event_records, order_records, receipt_rows, table
+from ..streaming import links
+from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, RECEIPTS_SQL, dated_records, drawn_lines, event_records, order_amounts, order_records, receipt_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -59,11 +60,8 @@ def link_pairs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user a cent and three days apart at most: neighbours' cents are enumerated, so it is an equi-join."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("d"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    left = e.select(F.col("event_id").alias("a"), "user_id", F.col("d").alias("da"), F.explode(F.array(*[F.col("cents") + k for k in (-1, 0, 1)])).alias("cents"))
-    right = e.select(F.col("event_id").alias("b"), "user_id", F.col("d").alias("db"), "cents")
-    return left.join(right, ["user_id", "cents"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("da", "db")) <= 3)).select("a", "b")
+    """Events of a user a cent and three days apart at most: what is one transaction at that tolerance."""
+    return linkage.link_pairs(dated_records(spark, sf_dir), 3, "ord", ["batch_id"]).where("verdict = 'dup'").select("a", "b")
 
 
 @query(
@@ -132,9 +130,8 @@ def notes_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.k AS a, b.k AS b FROM o a JOIN o b ON a.k < b.k AND b.cents BETWEEN a.cents - 1 AND a.cents + 1"""
 )
 def amount_near_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
-    left = o.select(F.col("o_orderkey").alias("a"), F.explode(F.array(*[F.col("cents") + k for k in (-1, 0, 1)])).alias("cents"))
-    return left.join(o.withColumnRenamed("o_orderkey", "b"), "cents").where("a < b").select("a", "b")
+    # Without dates an equal amount is all there is to suspect.
+    return linkage.link_pairs(order_amounts(spark, sf_dir, dated=False), 0, "ord").where("verdict = 'suspect'").select("a", "b")
 
 
 @query(
@@ -142,19 +139,53 @@ def amount_near_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.k AS invoice, b.k AS slip, abs(date_diff('day', a.d, b.d)) AS gap FROM o a JOIN o b ON a.c = b.c AND a.k <> b.k AND abs(date_diff('day', a.d, b.d)) <= 3 AND a.cents < b.cents AND b.cents * 100 <= a.cents * 135"""
 )
 def link_pairs_orders_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
-    left = o.select(F.col("o_orderkey").alias("invoice"), "o_custkey", F.col("d").alias("da"), F.col("cents").alias("ca"), F.explode(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda k: F.date_add("d", k))).alias("d"))
-    right = o.select(F.col("o_orderkey").alias("slip"), "o_custkey", "d", F.col("cents").alias("cb"))
-    pairs = left.join(right, ["o_custkey", "d"]).where((F.col("invoice") != F.col("slip")) & (F.col("ca") < F.col("cb")) & (F.col("cb") * 100 <= F.col("ca") * 135))
-    return pairs.select("invoice", "slip", F.abs(F.datediff("da", "d")).cast("long").alias("gap"))
+    # Every order is an invoice (even number) and a slip (odd number).
+    invoices = order_amounts(spark, sf_dir).withColumn("ord", F.col("ord") * 2)
+    slips = order_amounts(spark, sf_dir, "card_slip").withColumn("ord", F.col("ord") * 2 + 1)
+    pairs = linkage.link_pairs(invoices.unionByName(slips), 0, "ord", ["batch_id"]).where("a % 2 <> b % 2")
+    invoice, slip = F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a"))
+    told = pairs.select(F.floor(invoice / 2).alias("invoice"), F.floor(slip / 2).alias("slip"), F.col("gap").cast("long").alias("gap")).where("invoice <> slip")
+    cents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    both = told.join(cents.toDF("invoice", "ci"), "invoice").join(cents.toDF("slip", "cs"), "slip")
+    return both.where("ci < cs").select("invoice", "slip", "gap")
 
 
 @query(
-    """SELECT o_custkey, o_orderkey AS survivor FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) AS place FROM orders) WHERE place = 1"""
+    f"""WITH {_PAIRS} SELECT verdict, gap, count(*) AS n, CAST(sum(slip - inv) AS DOUBLE) / 100 AS tips FROM
+    (SELECT a, b, coalesce(gap, -1) AS gap, inv, slip, CASE WHEN gap <= 0 THEN 'dup' WHEN gap <= 3 THEN 'suspect_gap' END AS verdict FROM q WHERE abs(ca - cb) > 1 AND cross_kind AND inv < slip AND slip * 100 <= inv * 135)
+    WHERE verdict IS NOT NULL GROUP BY ALL"""
+)
+def link_pairs_tip_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card payments with a tip: unequal amounts of different kinds, by verdict and days apart."""
+    r = event_records(spark, sf_dir)
+    of = r.select("ord", "doc_kind", F.round(F.col("total_incl_tax") * 100).cast("long").alias("cents"))
+    pairs = linkage.link_pairs(r, 0, "ord", ["batch_id"]).join(of.toDF("a", "ka", "ca"), "a").join(of.toDF("b", "kb", "cb"), "b").where("abs(ca - cb) > 1")
+    tip = F.when(F.col("ka") == "invoice", F.col("cb") - F.col("ca")).otherwise(F.col("ca") - F.col("cb"))
+    return pairs.groupBy("verdict", F.col("gap").cast("long").alias("gap")).agg(F.count(F.lit(1)).alias("n"), (F.sum(tip).cast("double") / 100).alias("tips"))
+
+
+@query(_SURVIVORS + "SELECT ord, s.node IS NOT NULL AS suspected, CASE WHEN s.node IS NOT NULL AND confidence <> 'low' THEN 'medium' ELSE confidence END AS confidence FROM r LEFT JOIN s ON s.node = r.ord JOIN c ON c.node = r.ord JOIN (SELECT component FROM c GROUP BY 1 HAVING count(*) = 1) USING (component)")
+def suspect_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which records are alone in their group but suspected, and what that does to their confidence."""
+    done = linkage.deduplicate(event_records(spark, sf_dir), LinkSettings(mode="mark"), ["batch_id"])
+    alone = done.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return done.join(alone, "component").select("ord", F.exists("notes", lambda n: n.startswith("suspect")).alias("suspected"), "confidence")
+
+
+@query(
+    """SELECT o_custkey, o_orderkey AS survivor FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey % 3, o_orderkey) AS place FROM orders) WHERE place = 1"""
 )
 def survivor_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(rank.alias("r"), "o_orderpriority", "o_orderkey")).alias("survivor"))
+    status = F.col("o_orderstatus")
+    fields = {c: F.lit(None).cast("string") for c in ("subtotal", "tax", "tip", "invoice_date")}
+    shown = table(spark, sf_dir, "orders").select(
+        "o_custkey",
+        F.col("o_orderkey").alias("ord"),
+        F.lit("invoice").alias("doc_kind"),
+        F.when(status == "F", "vat").when(status == "O", "western").otherwise("unknown").alias("invoice_type"),
+        F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("confidence"),
+    )
+    return shown.withColumns(fields).groupBy("o_custkey").agg(F.min_by("ord", linkage.priority()).alias("survivor"))
 
 
 # --- consensus ---------------------------------------------------------------
@@ -399,10 +430,136 @@ def row_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_suppkey, min(l_quantity) AS x0, min(l_extendedprice) AS y0, max(l_quantity) AS x1, max(l_extendedprice) AS y1 FROM lineitem GROUP BY l_suppkey"""
+    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+    g AS (SELECT k, min((i - 1) // 2 * 30.0 + p % 5) AS y0, max((i - 1) // 2 * 30.0 + p % 5) + 10 AS y1, min(i % 2 * 100.0) AS x0, max(i % 2 * 100.0) + 80 AS x1 FROM l GROUP BY k, (i - 1) // 2)
+    SELECT CAST(k AS VARCHAR) AS file_id, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM g"""
 )
 def bbox_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_quantity").alias("x0"), F.min("l_extendedprice").alias("y0"), F.max("l_quantity").alias("x1"), F.max("l_extendedprice").alias("y1"))
+    return rows.cluster_rows(_lines(spark, sf_dir)).select("file_id", "x0", "y0", "x1", "y1")
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS i FROM lineitem)
+    SELECT CAST(k AS VARCHAR) AS file_id, CAST(i AS INTEGER) AS line_no, row_number() OVER (PARTITION BY k ORDER BY i % 3, i) AS place FROM l"""
+)
+def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in three columns, in reading order."""
+    i = F.col("l_linenumber")
+    left, top = (i % 3) * 100.0 + (i % 2) * 5.0, i * 30.0
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file_id"), i.cast("int").alias("line_no"), left.alias("x0"), top.alias("y0"), (left + 80.0).alias("x1"), (top + 20.0).alias("y1")).distinct()
+    return layout.column_major(boxes, ["file_id"]).select("file_id", "line_no", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, line_no, CASE WHEN n >= 8 THEN CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot) AS INTEGER) END AS region_no FROM d")
+def receipt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts side by side on a page are told apart; a page of fewer than eight lines is not."""
+    return layout.cluster_receipts(drawn_lines(spark, sf_dir)).select("file_id", "line_no", "region_no")
+
+
+@query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, line_no, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot, k % 2 = 1 AND i >= 4) AS INTEGER) AS region_no FROM d")
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a text-layer page, and blocks within those that are set apart after the fourth line."""
+    k = F.col("file_id").cast("long") * 3 + F.floor(F.col("line_no") / 100)
+    down = F.when((k % 2 == 1) & (F.col("line_no") % 100 >= 4), 500.0).otherwise(0.0)
+    lines = drawn_lines(spark, sf_dir).withColumn("y0", F.col("y0") + down).withColumn("y1", F.col("y1") + down)
+    return layout.segment_text_lines(lines).select("file_id", "line_no", "region_no")
+
+
+@query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, CAST(slot AS INTEGER) AS region_no, CAST(CASE WHEN k % 2 = 0 THEN 8 ELSE 9 END AS BIGINT) AS n FROM d GROUP BY ALL")
+def edge_bleed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of nine lines the one that stands outside the frame goes; where it is inside, it stays."""
+    lines = drawn_lines(spark, sf_dir).withColumn("region_no", F.floor(F.col("line_no") / 100).cast("int"))
+    k = F.col("file_id").cast("long") * 3 + F.col("region_no")
+    first = lines.where("line_no % 100 = 0")
+    more = first.withColumn("line_no", F.col("line_no") + 50).withColumn("y0", F.col("y0") + 300.0).withColumn("y1", F.col("y1") + 300.0)
+    left = F.when(k % 2 == 0, F.col("x1") + 50.0).otherwise(F.col("x0") + 50.0)
+    stray = first.withColumn("line_no", F.col("line_no") + 60).withColumn("text", F.lit("x")).withColumn("x0", left).withColumn("x1", F.col("x0") + 30.0)
+    kept = layout.strip_edge_bleed(lines.unionByName(more).unionByName(stray), ["file_id", "page_no", "region_no"])
+    return kept.groupBy("file_id", "region_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT o_orderkey AS k, i AS row_no, CASE WHEN o_orderkey % 4 = 0 AND i >= 4 THEN 1 ELSE 0 END AS part FROM orders, range(8) t(i)"""
+)
+def stack_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two receipts in one region: split where both have a header, four rows and a total."""
+    k = F.col("o_orderkey")
+    head = F.when(k % 4 == 1, F.lit("Corner Shop")).otherwise(F.lit("Tax Invoice"))
+    end = F.when(k % 4 == 2, F.lit("Thank you")).otherwise(F.lit("Total 5.00"))
+    texts = F.array(F.lit("VAT invoice"), F.lit("Tea 2.00"), F.lit("Milk 3.00"), F.lit("Total 5.00"), head, F.lit("Tea 2.00"), F.when(k % 4 == 3, F.lit("Tax Invoice")).otherwise(F.lit("Milk 3.00")), end)
+    shown = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(texts).alias("row_no", "text"))
+    done = rows.split_stacked(shown, ["total"], ["o_orderkey"])
+    return done.select(k.alias("k"), F.col("row_no").cast("long").alias("row_no"), "part")
+
+
+def _receipt(spark: SparkSession, sf_dir: str, texts: list) -> DataFrame:
+    """Orders as receipts of the given rows (null: none), from their amount ``sub`` in cents."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long") % 500000 + 10000
+    shown = table(spark, sf_dir, "orders").withColumn("sub", cents)
+    return records.parse_rows(shown.select(F.col("o_orderkey").cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.lit(1).alias("region_no"), F.posexplode(F.array_compact(F.array(*texts))).alias("row_no", "text")))
+
+
+def _money(cents) -> object:
+    return F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), (cents % 100).cast("long"))
+
+
+@query(
+    """SELECT CAST(k AS VARCHAR) AS file_id, CASE k % 3 WHEN 0 THEN sub WHEN 1 THEN sub + 100 ELSE sub + sub // 10 END / 100.0::DOUBLE AS total, CASE k % 3 WHEN 2 THEN 'high' ELSE 'medium' END AS confidence,
+    CASE k % 3 WHEN 0 THEN 'by_word grand total' WHEN 1 THEN 'by_word total' ELSE 'tip_adds_up' END AS note
+    FROM (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) % 500000 + 10000 AS sub FROM orders)"""
+)
+def total_pick_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a subtotal: the better word, of equal words the larger amount, or the two that a tip makes one another."""
+    k, sub = F.col("o_orderkey") % 3, F.col("sub")
+    tip = F.floor(sub / 10)
+    texts = [
+        F.when(k == 0, F.concat(F.lit("Grand total "), _money(sub))),
+        F.when(k == 0, F.concat(F.lit("Amount "), _money(sub + 500))),
+        F.when(k != 0, F.concat(F.lit("Total "), _money(sub))),
+        F.when(k == 1, F.concat(F.lit("Total "), _money(sub + 100))),
+        F.when(k == 2, F.concat(F.lit("Tip "), _money(tip))),
+        F.when(k == 2, F.concat(F.lit("To pay "), _money(sub + tip))),
+    ]
+    done = _receipt(spark, sf_dir, texts)
+    return done.select("file_id", F.col("total_incl_tax").cast("double").alias("total"), "confidence", F.get("notes", F.lit(0)).alias("note"))
+
+
+@query(
+    """SELECT CAST(k AS VARCHAR) AS file_id, CASE k % 3 WHEN 0 THEN sub + sub // 5 WHEN 1 THEN sub * 2 ELSE sub END / 100.0::DOUBLE AS total, CASE k % 3 WHEN 2 THEN 'kw' ELSE 'tendered' END AS total_src, k % 3 = 0 AS with_tip
+    FROM (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) % 500000 + 10000 AS sub FROM orders)"""
+)
+def tendered_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payment above the total has the last word: as a tip up to 35 %, else as it stands; a smaller one changes nothing."""
+    k, sub = F.col("o_orderkey") % 3, F.col("sub")
+    paid = F.when(k == 0, sub + F.floor(sub / 5)).when(k == 1, sub * 2).otherwise(sub - 100)
+    done = _receipt(spark, sf_dir, [F.concat(F.lit("Total "), _money(sub)), F.concat(F.lit("C/Card "), _money(paid))])
+    return done.select("file_id", F.col("total_incl_tax").cast("double").alias("total"), "total_src", F.exists("notes", lambda n: n.startswith("paid_with_tip")).alias("with_tip"))
+
+
+# --- streams -----------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a stream's query says of all input that is there: totals, few enough for a table in memory."""
+    import uuid
+
+    name = f"stream_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM events GROUP BY 1")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream, summed by day: one row a day is kept in memory."""
+    done = _drained(links.amounts_by_window(_event_stream(spark, sf_dir)))
+    return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.col("amount").cast("double").alias("amount"))
 
 
 @query(

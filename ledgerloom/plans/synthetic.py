@@ -63,6 +63,26 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as invoices that all have their date."""
+    date = F.date_format(F.col("ts").cast("date"), "yyyy-MM-dd")
+    return event_records(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), date.alias("d")), "ord").withColumn("doc_kind", F.lit("invoice")).withColumn("invoice_date", F.col("d")).withColumn("date_candidates", F.array("d")).drop("d")
+
+
+def order_amounts(spark: SparkSession, sf_dir: str, kind: str = "invoice", dated: bool = True) -> DataFrame:
+    """Orders as records of one kind with their amount and, if asked, their day."""
+    date = F.date_format("o_orderdate", "yyyy-MM-dd") if dated else F.lit(None).cast("string")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ord"),
+        F.col("o_custkey").alias("batch_id"),
+        F.lit(kind).alias("doc_kind"),
+        F.round("o_totalprice", 2).cast("decimal(18,2)").alias("total_incl_tax"),
+        F.lit(None).cast("decimal(18,2)").alias("printed_total"),
+        date.alias("invoice_date"),
+        F.array().cast("array<string>").alias("date_candidates"),
+    )
+
+
 ORDER_RECORDS_SQL = """
 SELECT o_orderkey AS ord, o_custkey AS batch_id, CAST(o_custkey % 25 AS VARCHAR) AS file_id, o_orderkey % 4 AS page_no,
   CASE WHEN o_orderkey % 7 <> 0 THEN
@@ -102,3 +122,32 @@ RECEIPTS_SQL = """
 SELECT o_orderkey AS k, o_orderkey % 5 AS kind, s.sub, CAST(floor(s.sub * 15 / 100) AS BIGINT) AS tax, CAST(floor(s.sub / 10) AS BIGINT) AS tip
 FROM orders, LATERAL (SELECT CAST(round(o_totalprice * 100) AS BIGINT) % 500000 + 10000 AS sub) s
 """
+
+
+#: Rows of a drawn receipt; {} is its number.
+DRAWN = ["TAX INVOICE", "Date 07/03/2026", "Coffee beans and milk 35.00", "Subtotal 100.00", "Sales Tax 15.00", "Total 115.00", "Thank you for coming"]
+
+
+def drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of up to three receipts side by side: order k is on page k div 3, at k mod 3, some of them set lower."""
+    k = F.col("o_orderkey")
+    rows = F.posexplode(F.array(*map(F.lit, DRAWN))).alias("i", "text")
+    left, top = (k % 3) * 700.0, (k % 5) * 10.0 + F.col("i") * 40.0
+    return table(spark, sf_dir, "orders").select("o_orderkey", rows).select(
+        F.floor(k / 3).cast("string").alias("file_id"),
+        F.lit(1).alias("page_no"),
+        ((k % 3) * 100 + F.col("i")).cast("int").alias("line_no"),
+        "text",
+        left.alias("x0"),
+        top.alias("y0"),
+        (left + 400.0).alias("x1"),
+        (top + 25.0).alias("y1"),
+        F.lit(0.0).alias("angle"),
+        F.lit(0.99).alias("score"),
+    )
+
+
+DRAWN_SQL = """
+SELECT CAST(o_orderkey // 3 AS VARCHAR) AS file_id, CAST(o_orderkey % 3 * 100 + i AS INTEGER) AS line_no, o_orderkey AS k, o_orderkey % 3 AS slot, i, count(*) OVER (PARTITION BY o_orderkey // 3) AS n
+FROM orders, range(7) t(i)
+"""
