@@ -26,7 +26,7 @@ import numpy as np
 #: White space other than the space and the line feed.
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: Segments kept in a worker's memory; at the bound it starts anew.
-MEMORY_ENTRIES = 1_000_000
+MEMORY_ENTRIES = 300_000
 #: Characters sent to the tokenizer in one string.
 CHUNK_CHARS = 1 << 15
 #: Characters of a text from which on it is encoded in parts.

@@ -137,8 +137,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tokens: int
 
     The pieces, a few dozen bytes each, are checkpointed, so texts are encoded once.
     """
-    import pandas as pd
-
     spark = docs.sparkSession
     max_documents = max_documents or max_tokens
     max_attention = max_attention or max_tokens**2
@@ -149,15 +147,17 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tokens: int
     before = Window.partitionBy("window", "length").orderBy("salt")
     sizes = cut(sizes.withColumn("before", F.sum("n").over(before) - F.col("n")))  # at most max_tokens * SALTS rows a window
     counts = sizes.groupBy("window", "length").agg(F.sum("n").alias("n"))
+    # A window has a count for each length: max_tokens at most.
+    windows = counts.groupBy("window").agg(F.map_from_entries(F.collect_list(F.struct("length", "n"))).alias("counts"))
 
-    def planned(of_window: pd.DataFrame) -> pd.DataFrame:
-        rows = plan(dict(zip(of_window["length"].tolist(), of_window["n"].tolist(), strict=True)), max_tokens, max_documents, max_attention, score=score)
-        found = pd.DataFrame(rows, columns=["length", "first_item", "n_items", "first_sequence", "offset"])
-        found.insert(0, "window", of_window["window"].iloc[0])
-        return found
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["length", "first_item", "n_items", "first_sequence", "offset"]
+        for batch in batches:
+            for window, of_window in zip(batch.column("window").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                rows = plan(dict(of_window), max_tokens, max_documents, max_attention, score=score)
+                yield pa.RecordBatch.from_arrays([pa.array([window] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], names=["window", *names])
 
-    # A window has a row for each length: max_tokens at most.
-    plans = cut(counts.groupBy("window").applyInPandas(planned, "window string, length long, first_item long, n_items long, first_sequence long, offset long"))
+    plans = cut(windows.mapInArrow(planned, "window string, length long, first_item long, n_items long, first_sequence long, offset long"))
     # Windows one after another: as many rows as windows.
     used = plans.groupBy("window").agg(F.max(F.col("first_sequence") + F.col("n_items")).alias("used"))
     begin = used.withColumn("begin", F.sum("used").over(Window.orderBy("window").rowsBetween(Window.unboundedPreceding, 0)) - F.col("used")).select("window", "begin")
