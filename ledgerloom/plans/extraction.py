@@ -24,19 +24,27 @@ def regions(lines: DataFrame, settings: Settings = Settings(), text_layer: bool
     return layout.strip_edge_bleed(placed.where("region_no is not null"), REGION)
 
 
-def extract(lines: DataFrame, settings: Settings = Settings(), text_layer: bool = False) -> DataFrame:
-    """Records of all receipts on the pages of ``lines``, not yet linked."""
+def parsed(placed: DataFrame, settings: Settings = Settings(), source: str = "ocr") -> DataFrame:
+    """Records of lines with region_no, not yet linked; with the strategy of their page, if lines have one."""
     k = settings.keywords
-    clustered = rows.cluster_rows(regions(lines, settings, text_layer)).drop("members")
+    placed = cut(placed)
+    clustered = rows.cluster_rows(placed).drop("members")
     if settings.segment:
         clustered = rows.split_stacked(clustered, k["total"] + k["tendered"])
     else:
         clustered = clustered.withColumn("part", F.lit(0))
     found = records.worth_keeping(records.parse_rows(clustered, settings, [*REGION, "part"]))
+    if "strategy" in placed.columns:
+        found = found.join(placed.groupBy("file_id", "page_no").agg(F.first("strategy").alias("strategy")), ["file_id", "page_no"])
     name = F.concat_ws("#", "file_id", "page_no", "region_no", "part")
     # The input order without numbering all rows in one task.
     order = F.struct("file_id", "page_no", "region_no", "part")
-    return found.withColumn("record_id", name).withColumn("source_file", name).withColumn("ord", order).withColumn("source", F.lit("text" if text_layer else "ocr"))
+    return found.withColumn("record_id", name).withColumn("source_file", name).withColumn("ord", order).withColumn("source", F.lit(source))
+
+
+def extract(lines: DataFrame, settings: Settings = Settings(), text_layer: bool = False) -> DataFrame:
+    """Records of all receipts on the pages of ``lines``, not yet linked."""
+    return parsed(regions(lines, settings, text_layer), settings, "text" if text_layer else "ocr")
 
 
 def finish(found: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +23,21 @@ def is_supported(path: Column) -> Column:
 
 
 def input_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Supported files under a folder: path, modificationTime, length, content; by path."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.where(is_supported(F.col("path"))).orderBy("path")
+    """Supported files under a folder: path, modificationTime, length, content.
+
+    In no order: contents aren't sorted.  Records carry their file's path, and a sink
+    orders those.
+    """
+    return _every_file(spark, folder).where(is_supported(F.col("path")))
+
+
+def unsupported_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_id, error) of files of other types; their contents aren't read."""
+    return _every_file(spark, folder).where(~is_supported(F.col("path"))).select(F.col("path").alias("file_id"), F.lit("unsupported file type").alias("error"))
+
+
+def _every_file(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
 def uploads(spark: SparkSession, files: dict[str, bytes]) -> DataFrame:
@@ -66,22 +78,34 @@ def quad_angle(quad: Column) -> Column:
     return F.when(turned == -45.0, 45.0).otherwise(turned)
 
 
-def recognised_lines(pages: DataFrame, engine: Callable[[bytes], list[dict]], least_score: float = LEAST_OCR_SCORE) -> DataFrame:
+_engines: dict[str, object] = {}
+
+
+def one_per_worker(factory: Callable[[], object]) -> object:
+    """What ``factory`` (a module's function) makes, once in each worker: engines are slow to load."""
+    name = f"{factory.__module__}.{factory.__qualname__}"
+    if name not in _engines:
+        _engines[name] = factory()
+    return _engines[name]
+
+
+def recognised_lines(pages: DataFrame, engine: Callable[[bytes], list[dict]] | None = None, least_score: float = LEAST_OCR_SCORE, factory: Callable[[], Callable[[bytes], list[dict]]] | None = None) -> DataFrame:
     """Lines of pages (file_id, page_no, content) by a pluggable engine, and error rows.
 
-    ``engine`` is called in the workers, once for each page; what it returns are
-    dicts of text, x0, y0, x1, y1 and, if known, angle and score.  A page on which it
-    fails becomes one row with ``error`` and nothing else.  Scores are filtered and
-    texts repaired by Catalyst.
+    ``engine`` is called in the workers, once for each page; ``factory`` makes one there,
+    once for each worker.  What it returns are dicts of text, x0, y0, x1, y1 and, if
+    known, angle and score.  A page on which it fails becomes one row with ``error`` and
+    nothing else.  Scores are filtered and texts repaired by Catalyst.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in LINE.split(", ")] + ["error"]
+        recognise = engine or one_per_worker(factory)
         for batch in batches:
             out = []
             for file_id, page_no, content in batch[["file_id", "page_no", "content"]].itertuples(index=False):
                 try:
-                    for n, line in enumerate(engine(bytes(content) if content is not None else b"")):
+                    for n, line in enumerate(recognise(bytes(content) if content is not None else b"")):
                         out.append((file_id, page_no, n, line["text"], line["x0"], line["y0"], line["x1"], line["y1"], line.get("angle"), line.get("score"), None))
                 except Exception as e:  # one bad file doesn't stop the others
                     out.append((file_id, page_no, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
@@ -92,6 +116,57 @@ def recognised_lines(pages: DataFrame, engine: Callable[[bytes], list[dict]], le
     return found.where(good).withColumn("text", repair(F.col("text")))
 
 
+#: A page of a document with a text layer: what was read of it, or the page drawn.
+PAGE_WORDS = "array<struct<text:string,x0:double,top:double,x1:double,bottom:double>>"
+DRAWN_PAGE = f"file_id string, page_no int, layer {PAGE_WORDS}, content binary, error string"
+
+
+def document_pages(files: DataFrame, reader: Callable[[bytes], Iterable[dict]], prefer_text_layer: bool = True) -> DataFrame:
+    """(file_id, page_no, layer, content, error) of documents (path, content) by a pluggable reader.
+
+    ``reader`` gives for each page a dict of ``layer``, a function that gives its words
+    (text, x0, top, x1, bottom), and ``draw``, one that gives its image as bytes.  A page
+    whose layer says enough isn't drawn.  If one page's layer can't be read, the whole
+    document is drawn.  A document or page that fails becomes a row with ``error``.
+    """
+
+    def layer_of(page: dict) -> list[dict]:
+        return [dict(w) for w in page["layer"]()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in batch[["path", "content"]].itertuples(index=False):
+                try:
+                    pages = list(reader(bytes(content)))
+                except Exception as e:
+                    out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                try:
+                    layers = [layer_of(p) for p in pages] if prefer_text_layer else [None] * len(pages)
+                except Exception:  # an unreadable layer says nothing about the page itself
+                    layers = [None] * len(pages)
+                for n, (page, layer) in enumerate(zip(pages, layers, strict=True), 1):
+                    enough = layer is not None and sum(len(w["text"].strip()) for w in layer) >= LEAST_LAYER
+                    try:
+                        out.append((path, n, layer if enough else None, None if enough else page["draw"](), None))
+                    except Exception as e:
+                        out.append((path, n, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["file_id", "page_no", "layer", "content", "error"])
+
+    return files.select("path", "content").mapInPandas(run, DRAWN_PAGE)
+
+
+def layer_lines(pages: DataFrame) -> DataFrame:
+    """Lines (schema LINE) of the text layers of pages: words of one height are one line."""
+    from ..operators.rows import cluster_rows
+
+    words = pages.where(F.col("layer").isNotNull()).select("file_id", "page_no", F.posexplode("layer").alias("line_no", "w"))
+    boxes = words.select("file_id", "page_no", "line_no", F.col("w.text").alias("text"), F.col("w.x0").alias("x0"), F.col("w.top").alias("y0"), F.col("w.x1").alias("x1"), F.col("w.bottom").alias("y1"))
+    rows = cluster_rows(boxes, ["file_id", "page_no"]).drop("members")
+    return rows.select("file_id", "page_no", F.col("row_no").cast("int").alias("line_no"), repair(F.col("text")).alias("text"), "x0", "y0", "x1", "y1", F.lit(None).cast("double").alias("angle"), F.lit(None).cast("double").alias("score"))
+
+
 def error_records(lines: DataFrame) -> DataFrame:
     """One low record for each file that could not be read."""
     return lines.where("error is not null").groupBy("file_id").agg(F.min("error").alias("error")).select("file_id", F.col("file_id").alias("source_file"), F.lit("low").alias("confidence"), F.array("error").alias("notes"), "error")

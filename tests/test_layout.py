@@ -121,7 +121,8 @@ def test_books(spark, two):
 def test_sources(spark, tmp_path):
     for name in ("b.JPG", "a.pdf", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
-    assert [r.path[-5:] for r in files.input_files(spark, str(tmp_path)).select("path").collect()] == ["a.pdf", "b.JPG"]
+    assert sorted(r.path[-5:] for r in files.input_files(spark, str(tmp_path)).select("path").collect()) == ["a.pdf", "b.JPG"]
+    assert [r.file_id[-5:] for r in files.unsupported_files(spark, str(tmp_path)).collect()] == ["c.txt"]
     pages = spark.createDataFrame([("good", 1, bytearray(b"1")), ("bad", 1, bytearray(b"2"))], "file_id string, page_no int, content binary")
 
     def engine(content):
