@@ -191,7 +191,7 @@ class Grammar:
         self.lengths = sorted({len(s) for s in model.stems}, reverse=True)
         self.threats = frozenset(v + e for v in model.threats for e in ENDINGS) - frozenset(e for e in ENDINGS)
         self.kinds = np.array(model.kinds)
-        self.memory: dict[str, bool] = {}
+        self.memory: dict[str, tuple[int, float]] = {}
 
     def insult(self, word: str) -> float:
         """Weight of the longest stem that the word starts with; 0 if none."""
@@ -213,34 +213,36 @@ class Grammar:
             return _INSULT, w
         return (_THREAT if token in self.threats else _OTHER), 0.0
 
-    def touches(self, words: set[str]) -> bool:
-        """Whether any of the words can start a match; each different word is judged once a worker."""
+    def classes(self, tokens: list[str]) -> tuple[list[tuple[int, float]], bool]:
+        """Class and weight of each token, and whether any can start a match; each different word is judged once a task."""
         known = self.memory
         if len(known) > 500_000:
             known.clear()
-        found = False
-        for w in words:
-            hit = known.get(w)
-            if hit is None:
-                hit = known[w] = self._class(w)[0] >= _INSULT
-            found = found or hit
-        return found
+        words = set(tokens)
+        for w in words - known.keys():
+            known[w] = self._class(w)
+        if not any(known[w][0] >= _INSULT for w in words):
+            return [], False
+        return list(map(known.__getitem__, tokens)), True
 
     def matches(self, tokens: list[str]) -> list[np.ndarray]:
         """For each clause with a match the sums by kind: of stems' weights for insults, of ones for the others."""
         out: list[np.ndarray] = []
-        sums, some, state = np.zeros(len(KINDS)), False, 0
-        for token in tokens:
-            name, weight = self._class(token)
+        found, some = self.classes(tokens)
+        if not some:
+            return out
+        held: list[tuple[int, float]] = []
+        state = 0
+        for name, weight in [*found, (_END, 0.0)]:
             state, kind = AUTOMATON[state][name]
             if kind >= 0:
-                sums[kind] += weight if name == _INSULT else 1.0
-                some = True
-            if name == _END and some:
+                held.append((kind, weight if name == _INSULT else 1.0))
+            elif name == _END and held:
+                sums = np.zeros(len(KINDS))
+                for kind, weight in held:
+                    sums[kind] += weight
                 out.append(sums)
-                sums, some = np.zeros(len(KINDS)), False
-        if some:
-            out.append(sums)
+                held = []
         return out
 
     def clauses(self, low: str) -> list[float]:
@@ -252,8 +254,7 @@ class Grammar:
         low = text.lower()
         n = max(1, len(_QUICK.findall(low.encode("utf-8", "surrogatepass"))))
         # The automaton's own words decide: a sign that is glued to a word is no part of it.
-        tokens = _TOKENS.findall(low)
-        return (self.matches(tokens) if self.touches(set(tokens)) else []), n
+        return self.matches(_TOKENS.findall(low)), n
 
     def features(self, text: str) -> list[float]:
         """Logarithms of the sum and the largest of the clauses' weights, of the weight a hundred words and of the words."""
