@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of one Arrow batch sent to a Python worker: bounds its memory
 #: however long the texts are.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 #: Spark's own bound, as its configuration writes it.
 DEFAULT_BATCH_BYTES = f"{64 << 20}b"
 
@@ -21,6 +22,23 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which a worker gives unused memory back: it waits for the next stage beside those of other operators."""
+
+    def inner(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -49,7 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a machine-local one only where Spark runs on one machine."""
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not context.master.startswith("local"):
+    if not shared and not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return shared or tempfile.mkdtemp(prefix="checkpoints-")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, id_bitmap, text_key, text_of, with_maybe
+from .common import bound_batches, cut, id_bitmap, released, text_key, text_of, with_maybe
 
 #: Tries, minima of the deepest and of the shortest prefix.
 TREES, DEPTH, LEAST = 20, 6, 2
@@ -173,7 +173,7 @@ def _classes(docs: DataFrame, ngram: int, id_column: str, text_column: str) -> D
                     names=["doc_id", "text_key", "class", "signature"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, text_key binary, class binary, signature binary")
+    return rows.mapInArrow(released(run), "doc_id long, text_key binary, class binary, signature binary")
 
 
 def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def forest(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     members = nodes.select("class", F.posexplode(labels).alias("tree", "label"))
     # The order has no ties, so no range of it is hot, however common a prefix is.
     ordered = members.repartitionByRange(count, "tree", "label", "class").sortWithinPartitions("tree", "label", "class")
-    sharing = cut(ordered.select("tree", "label", "class").mapInArrow(_sharing, "tree int, label binary, class binary"))
+    sharing = cut(ordered.select("tree", "label", "class").mapInArrow(released(_sharing), "tree int, label binary, class binary"))
     prefix = lambda k: F.substring("label", F.lit(1), k * SYMBOL)
     every = sharing.withColumn("depth", F.explode(F.sequence(F.lit(LEAST), F.lit(DEPTH)))).withColumn("node", prefix(F.col("depth")))
     counts = every.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -418,10 +418,10 @@ def linked_rows(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, recall:
             yield pa.RecordBatch.from_arrays([pa.array([_name(s, "") for s in full], pa.binary()), pa.array([packed(s) for s in full], pa.binary())], names=["class", "shingles"])
 
     # Repeated rows have one class: any of them will do.
-    shingled = texts.mapInArrow(sets, "class binary, shingles binary").dropDuplicates(["class"])
+    shingled = texts.mapInArrow(released(sets), "class binary, shingles binary").dropDuplicates(["class"])
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = dealt.join(shingled, "class").withColumnRenamed("class", "node").repartition(count, "unit").sortWithinPartitions("unit")
-    results = cut(work.select("unit", "tree", "same", "side", "node", "weight", "labels", "shingles").mapInArrow(_verify(threshold), "a binary, b binary, n long"))
+    results = cut(work.select("unit", "tree", "same", "side", "node", "weight", "labels", "shingles").mapInArrow(released(_verify(threshold)), "a binary, b binary, n long"))
     counts = results.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     roots = cut(components(results.where("b is not null").select("a", "b")).select(F.col("node").alias("class"), "root").join(groups.select("class", "copy_of"), "class"))
     firsts = roots.groupBy("root").agg(F.min("copy_of").alias("first"))

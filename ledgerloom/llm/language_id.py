@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside_text, bound_batches
+from .common import beside_text, bound_batches, released
 
 DIMENSIONS = 1024
 SEED = 20_240_229
@@ -132,7 +132,7 @@ def train(labelled: DataFrame, rows_per_language: int = 500, dimensions: int = D
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions, pa.string()), pa.array(range(dimensions), pa.int32()), pa.array(np.round(v, 9))], names=["lang", "dimension", "value"])
 
     # decimals add up to the same whatever the order of tasks
-    summed = sample.mapInArrow(partial, "lang string, dimension int, value double").groupBy("lang", "dimension").agg(F.sum(F.col("value").cast("decimal(28,9)")).cast("double").alias("value"))
+    summed = sample.mapInArrow(released(partial), "lang string, dimension int, value double").groupBy("lang", "dimension").agg(F.sum(F.col("value").cast("decimal(28,9)")).cast("double").alias("value"))
     out: dict[str, list[float]] = {}
     for r in summed.collect():
         out.setdefault(r.lang, [0.0] * dimensions)[r.dimension] = r.value
@@ -171,5 +171,5 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_column: str
                     scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(released(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return found if keep else found.select(F.col("row")[id_column].alias("doc_id"), "lang_pred", "score")

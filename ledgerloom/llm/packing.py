@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, text_of
+from .common import bound_batches, cut, released, text_of
 from .encoding import by_bytes, encoder_of
 
 #: Salted groups into which the pieces of one length are dealt for numbering.
@@ -118,7 +118,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int
             ids, where = (batch.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "window"))
             yield pa.RecordBatch.from_arrays([where, ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64())], names=["window", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(run, f"window string, doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(released(run), f"window string, doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_tokens: int = 2048, max_documents: int | None = None, max_attention: int | None = None, score: str = "dot", id_column: str = "doc_id", text_column: str = "text", window: Column | None = None) -> DataFrame:

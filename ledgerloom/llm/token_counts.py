@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_of
+from .common import bound_batches, released, text_of
 from .encoding import by_bytes, encoder_of
 
 
@@ -51,4 +51,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     import pyarrow.compute  # noqa: F401  (binds pa.compute)
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(released(run), f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside_text, bound_batches, text_of
+from .common import beside_text, bound_batches, released, text_of
 
 #: Words of the grammar's classes (prior knowledge, by no means complete).
 INSULTS = "idiot moron imbecile stupid dumb pathetic worthless scum loser trash garbage clown disgusting filthy coward parasite vermin".split()
@@ -329,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, id_column:
             clauses = pa.array([[m.tolist() for m in c] for c, _ in found], pa.list_(pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), clauses, pa.array([n for _, n in found], pa.int64())], names=["toxic", "clauses", "n"])
 
-    fitted = sample.mapInArrow(matched, "toxic int, clauses array<array<double>>, n long").collect()
+    fitted = sample.mapInArrow(released(matched), "toxic int, clauses array<array<double>>, n long").collect()
     fitted.sort(key=lambda r: (r.toxic, r.n, r.clauses))
     y = np.array([float(r.toxic) for r in fitted])
     if len(y) and 0 < y.sum() < len(y):
@@ -364,5 +364,5 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             p = 1 / (1 + np.exp(-np.clip(coefficients[0] + x @ coefficients[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, pa.float64())], names=["row", "score"])
 
-    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    found = rows.mapInArrow(released(run), f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return found if keep else found.select(F.col("row")[id_column].alias("doc_id"), "score")

@@ -511,6 +511,48 @@ def test_op6_languages(spark, documents, nothing):
     assert language_id.train(nothing) == {}
 
 
+def test_op6_bundles_against_their_definition():
+    """Every trigram's letters bound one by one, and their sum."""
+    e = language_id.Encoder(256)
+    text = "Ab, ça!  x"
+    padded = [32, *[ord(c) for c in "ab"], 32, *[ord(c) for c in "ça"], 32, ord("x"), 32]
+    total = np.zeros(256)
+    for a, b, c in zip(padded, padded[1:], padded[2:]):
+        total += np.array([e.letter(a)[(i - 2) % 256] * e.letter(b)[(i - 1) % 256] * e.letter(c)[i] for i in range(256)])
+    assert (e.bundle(text) == total).all() and e.bundle("12 !") is None
+    assert language_id.Encoder(256).bundle(text).tolist() == e.bundle(text).tolist()
+
+
+def test_null_ids_repeats_clashing_columns_and_long_texts(spark):
+    """Each operator's rows on such tables: as many as there are, equal for equal texts, whatever else the table holds."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"word{i % 977} and{i % 13} idiot" if i % 5000 == 0 else f"word{i % 977}" for i in range(120_000)) + " released under the MIT license"
+    rows = [(None, "a plain text"), (None, "a plain text"), (None, None), (1, long), (2, ""), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("x") for c in ("row", "score", "lang_pred", "labels", "n_tokens", "class", "group", "salt", "piece", "window", "lang", "toxic", "key", "tie")})
+    grammar = toxicity.Model(stems={"idiot": 3.0})
+    protos = {"xx": language_id.Encoder().bundle("some words of a text").tolist()}
+    found = {
+        "toxicity": [(r.doc_id, r.score) for r in toxicity.score(docs, grammar).collect()],
+        "language": [(r.doc_id, r.lang_pred) for r in language_id.identify(docs, protos).collect()],
+        "licences": [(r.doc_id, (r.n_words, r.labels)) for r in licenses.scan_licenses(docs).collect()],
+        "tokens": [(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, BPE).collect()],
+        "fingerprint": [(r.doc_id, r.fingerprint) for r in fingerprints.fingerprint(docs).collect()],
+        "join": [(r.doc_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()],
+        "shard": [(r.doc_id, r.text_crc32) for r in sharding.shard(docs).collect()],
+    }
+    for name, got in found.items():
+        assert Counter(i for i, _ in got) == Counter(i for i, _ in rows), name
+        values = Counter(v for i, v in got if i is None)
+        assert sorted(values.values()) in ([1, 2], [3]), name
+        assert len({v for i, v in got if i == 2}) == 1, name
+    value = {name: next(v for i, v in got if i == 1) for name, got in found.items()}
+    assert value["licences"] == (120_000 + 24 * 2 + 5, "mit") and value["toxicity"] > 0.5
+    assert Counter(v for i, v in found["join"]) == {1: 2, 2: 3, 0: 1}
+    assert packing.pack(docs, BPE).where("piece = 0").count() == 6 and fingerprints.edited_fingerprints(docs).count() == 6
+
+
 def test_op7_licences(spark, documents, nothing):
     cases = {
         "Released under the MIT License.": (5, 1, 1, 1, "mit", "mit"),
