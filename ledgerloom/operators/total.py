@@ -64,10 +64,25 @@ def select_total(df: DataFrame) -> DataFrame:
     cent = F.lit("0.01").cast("decimal(18,2)")
     too_small = (ranked_value < F.col("subtotal") - cent) | (ranked_value < F.col("tax") - cent)
     by_rank = F.when(has, _choice(ranked_value, F.when(F.coalesce(too_small, F.lit(False)), "low").otherwise("medium"), _said("by_word", ranked["kw"])))
+    # Why a choice by word may be wrong, and what else there was to choose from.
+    doubts = F.array_compact(
+        F.array(
+            F.when(ranked_value < F.col("subtotal") - cent, _said("total_below_subtotal", ranked_value, F.col("subtotal"))),
+            F.when(ranked_value < F.col("tax") - cent, _said("total_below_tax", ranked_value, F.col("tax"))),
+            F.when(F.size(c) > 1, F.concat(F.lit("candidates "), F.array_join(F.transform(c, lambda x: F.concat(x["kw"], F.lit("="), x["value"].cast("string"))), ", "))),
+        )
+    )
+    df = df.withColumn("doubts", doubts)
     df = df.withColumn("chosen", F.coalesce(by_name, by_payment, by_size, by_sum, by_window, by_tip, by_rank))
     df = df.withColumn("src", F.when(F.col("chosen").isNull(), "none").when(F.col("chosen.note") == "no_total_word_paid", "tendered").when(F.col("chosen.note") == "no_total_word_largest", "fallback").otherwise("kw"))
+    by_word = F.col("chosen.note").startswith("by_word")
+    none = F.array().cast("array<string>")
     notes = F.when(F.col("chosen").isNull(), F.array(F.lit("no_amount"))).otherwise(
-        F.array_compact(F.array(F.when(e.isNotNull() & has & F.col("chosen.note").isin("tip_adds_up") | (e.isNotNull() & F.col("chosen.note").startswith("by_word")), _said("sum_unmatched", F.col("expected"))), F.col("chosen.note")))
+        F.concat(
+            F.array_compact(F.array(F.when(e.isNotNull() & has & F.col("chosen.note").isin("tip_adds_up") | (e.isNotNull() & F.col("chosen.note").startswith("by_word")), _said("sum_unmatched", F.col("expected"))))),
+            F.when(by_word, F.col("doubts")).otherwise(none),
+            F.array("chosen.note"),
+        )
     )
     df = df.withColumn("notes", notes)
     # A total after the tip row is the one written by hand.
@@ -94,4 +109,4 @@ def select_total(df: DataFrame) -> DataFrame:
     df = df.withColumn("total_incl_tax", F.when(more, paid).otherwise(F.col("v4")).cast("decimal(18,2)"))
     extra = [F.when(F.col("hand").isNotNull(), _said("handwritten_total", F.col("hand"), v)), F.when(F.col("fee_fits"), _said("fee_adds_up", fee)), F.when(more & by_tip_ratio, _said("paid_with_tip", paid)), F.when(more & ~by_tip_ratio, _said("paid_overrides", paid))]
     df = df.withColumn("notes", F.concat("notes", F.array_compact(F.array(*extra)))).withColumn("total_src", F.when(more, "tendered").otherwise(F.col("src")))
-    return df.withColumn("printed_total", F.col("printed_total").cast("decimal(18,2)")).drop("expected", "chosen", "src", "hand", "v3", "v4", "pool", "fee_fits", "c4", "paid_more")
+    return df.withColumn("printed_total", F.col("printed_total").cast("decimal(18,2)")).drop("expected", "doubts", "chosen", "src", "hand", "v3", "v4", "pool", "fee_fits", "c4", "paid_more")

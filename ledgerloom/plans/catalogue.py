@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LinkSettings
+from ..config import CARD_SLIP_WORDS, LinkSettings
 from ..functions import dates, money, text
 from ..operators import classify, consensus, layout, linkage, records, review, rows
 from ..operators.components import connected_components
@@ -382,10 +382,13 @@ def row_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("last_amount").cast("double").alias("amount"))
 
 
+_SLIP_WORDS = ", ".join(f"'{w}'" for w in CARD_SLIP_WORDS)
+
+
 @query(
-    """WITH t AS (SELECT doc_id, lower(text) AS low, text FROM documents),
-    h AS (SELECT doc_id, text, low, list_sum(list_transform(['签购单', '商户存根', '持卡人存根', '存根', '凭证号', '批次号', '授权码', '交易类型', '终端号', '商户号', 'pos', 'merchant copy', 'cardholder copy', 'customer copy', 'auth code', 'approval code', 'approval', 'approved', 'terminal id', 'batch', 'swiped', 'chip read', 'entry mode', 'rrn', 'tvr:', 'tsi:', 'aid:', 'stan', 'txn'], lambda w: CASE WHEN contains(low, w) THEN 1 ELSE 0 END)) AS hits FROM t)
-    SELECT doc_id, CASE WHEN hits >= 2 OR (hits = 1 AND regexp_matches(text, '\\*{2,}\\s*[0-9]{4}')) THEN 'card_slip' ELSE 'invoice' END AS kind,
+    f"""WITH t AS (SELECT doc_id, lower(text) AS low, text FROM documents),
+    h AS (SELECT doc_id, text, low, list_sum(list_transform([{_SLIP_WORDS}], lambda w: CASE WHEN contains(low, w) THEN 1 ELSE 0 END)) AS hits FROM t)
+    SELECT doc_id, CASE WHEN hits >= 2 OR (hits = 1 AND regexp_matches(text, '\\*{{2,}}\\s*[0-9]{{4}}')) THEN 'card_slip' ELSE 'invoice' END AS kind,
       CASE WHEN contains(text, '发票') THEN 'vat' WHEN regexp_matches(low, 'subtotal|total|tax|amount due|balance due') THEN 'western' ELSE 'unknown' END AS type FROM h"""
 )
 def doc_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,7 +524,7 @@ def total_pick_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 2, F.concat(F.lit("To pay "), _money(sub + tip))),
     ]
     done = _receipt(spark, sf_dir, texts)
-    return done.select("file_id", F.col("total_incl_tax").cast("double").alias("total"), "confidence", F.get("notes", F.lit(0)).alias("note"))
+    return done.select("file_id", F.col("total_incl_tax").cast("double").alias("total"), "confidence", F.element_at("notes", -1).alias("note"))
 
 
 @query(

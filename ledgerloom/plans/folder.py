@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..operators import layout, raster, rows
+from ..operators import consensus, layout, raster, records, review, rows
 from ..operators.lineage import cut
 from ..operators.rows import REGION
 from ..sources import files
@@ -157,3 +157,59 @@ def process_folder(spark: SparkSession, folder: str, adapters: Adapters, setting
     failed = pages.where("error is not null").select("file_id", "error").unionByName(recognised.where("error is not null").select("file_id", "error"))
     errors = files.error_records(failed.unionByName(files.unsupported_files(spark, folder)))
     return Batch(extraction.finish(found, settings), errors, observed)
+
+
+def crops(placed: DataFrame, pages: DataFrame, encode: Callable[[bytes, tuple[float, float, float, float]], bytes]) -> DataFrame:
+    """(file_id, page_no, region_no, crop): the image of each region of ``placed`` lines; null where ``encode`` fails."""
+    import pandas as pd
+
+    box = placed.groupBy(*REGION).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                try:
+                    crop = encode(bytes(r.content), (r.x0, r.y0, r.x1, r.y1))
+                except Exception:  # a record without its image is still a record
+                    crop = None
+                out.append((r.file_id, r.page_no, r.region_no, crop))
+            yield pd.DataFrame(out, columns=[*REGION, "crop"])
+
+    asked = box.join(pages.select("file_id", "page_no", "content"), layout.PAGE)
+    return asked.mapInPandas(run, "file_id string, page_no int, region_no int, crop binary")
+
+
+def force_split(enriched: DataFrame, record_id: str, region: DataFrame, parts: int, adapters: Adapters, settings: Settings = Settings()) -> DataFrame:
+    """Reviewed records with one of them replaced by the records of so many bands of its region.
+
+    ``region`` is one row: file_id, page_no, region_no, content (the page's image) and the
+    region's box x0, y0, x1, y1.  Bands run along its longer side and overlap a little;
+    each is recognised anew.  The batch is enriched again, but not linked again.  Bands in
+    which nothing is found leave the record as it was.
+    """
+    import pandas as pd
+
+    crop = adapters.crop
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                bands = review.bands(int(r.x1 - r.x0), int(r.y1 - r.y0), parts)
+                for band, (x0, y0, x1, y1) in enumerate(bands):
+                    found = crop(bytes(r.content), (r.x0 + x0, r.y0 + y0, r.x0 + x1, r.y0 + y1), 0.0, 1.0)
+                    out += [(r.file_id, r.page_no, r.region_no, band, n, x["text"], x["x0"], x["y0"], x["x1"], x["y1"], x.get("angle"), x.get("score")) for n, x in enumerate(found)]
+            yield pd.DataFrame(out, columns=[*REGION, "part", "line_no", "text", "x0", "y0", "x1", "y1", "angle", "score"])
+
+    schema = "file_id string, page_no int, region_no int, part int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, angle double, score double"
+    keys = [*REGION, "part"]
+    lines = cut(rows.usable_lines(region.mapInPandas(run, schema)))
+    found = records.worth_keeping(records.parse_rows(rows.cluster_rows(lines, keys).drop("members"), settings, keys))
+    name = F.concat_ws("#", F.lit(record_id), "part")
+    children = found.withColumn("record_id", name).withColumn("source_file", name).withColumn("ord", F.struct("file_id", "page_no", "region_no", "part"))
+    children = cut(children.select(*[c for c in children.columns if c in enriched.columns]))
+    if children.isEmpty():
+        return enriched
+    added = ["amount_default", "date_default", "date_guessed", "date_guess_src", "status", "confirm_default"]
+    return consensus.enrich_review(cut(review.replace_split(enriched.drop(*added), record_id, children)))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cents of one group of neighbouring amounts, which share a state.
+GROUP_CENTS = 100
+
 
 def distinct_records(stream: DataFrame, keys: list[str], time: str = "ts", late: str = "7 days") -> DataFrame:
     """Each key's first record; state is kept as long as late records may come."""
@@ -22,3 +29,44 @@ def amount_sessions(stream: DataFrame, keys: list[str], time: str = "ts", gap: s
     """Chains of records with the same keys (an amount in cents, say), each within ``gap`` of the one before."""
     grouped = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), *keys)
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *keys, "n")
+
+
+def linked_on_arrival(stream: DataFrame, keys: list[str], id_column: str = "record_id", time: str = "ts", cents: str = "cents", days: int = 3, late: str = "7 days") -> DataFrame:
+    """(id, ts, cents, of): each record with the earlier one that it is linked to, or null: a cent and ``days`` apart at most.
+
+    Keyed state: the records seen of one group of neighbouring amounts, kept until the
+    watermark is ``days`` past them.  A record at a group's edge is told to the group
+    beside it too, so a link across the edge isn't lost; only its own group answers.
+    Of several records it may be linked to, the first in time, then by id, is named.
+    """
+    state = "at array<long>, cents array<long>, ids array<string>"
+    out = f"{', '.join(f'`{k}` {stream.schema[k].dataType.simpleString()}' for k in keys)}{', ' if keys else ''}record_id string, ts timestamp, cents long, of string"
+    group = F.floor(F.col("cents") / GROUP_CENTS)
+    named = stream.withWatermark(time, late).select(*keys, F.col(id_column).cast("string").alias("record_id"), F.col(time).alias("ts"), F.col(cents).cast("long").alias("cents"))
+    beside = F.array_distinct(F.array(group, F.floor((F.col("cents") - 1) / GROUP_CENTS), F.floor((F.col("cents") + 1) / GROUP_CENTS)))
+    dealt = named.withColumn("own", group).withColumn("amounts", F.explode(beside))
+    span = days * 86_400_000
+
+    def answer(key: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        seen = list(zip(*held.get, strict=True)) if held.exists else []
+        rows = pd.concat(list(batches))
+        rows["at"] = rows["ts"].astype("int64") // 1_000_000 if str(rows["ts"].dtype).endswith("ns]") else rows["ts"].astype("datetime64[ms]").astype("int64")
+        found = []
+        for r in rows.sort_values(["at", "record_id"]).itertuples(index=False):
+            near = [s for s in seen if abs(s[1] - r.cents) <= 1 and abs(s[0] - r.at) <= span]
+            if r.own == key[-1]:
+                found.append((*key[:-1], r.record_id, r.ts, r.cents, min(near, key=lambda s: (s[0], s[2]))[2] if near else None))
+            seen.append((int(r.at), int(r.cents), r.record_id))
+        now = held.getCurrentWatermarkMs()
+        seen = [s for s in seen if s[0] + span >= now]
+        if seen:
+            held.update(tuple(list(x) for x in zip(*seen, strict=True)))
+            held.setTimeoutTimestamp(max(now + 1, max(s[0] for s in seen) + span + 1))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(found, columns=[*keys, "record_id", "ts", "cents", "of"])
+
+    return dealt.groupBy(*keys, "amounts").applyInPandasWithState(answer, out, state, "append", "EventTimeTimeout")

@@ -108,3 +108,32 @@ def test_unreadable_layer_draws_the_document(spark):
     rows = files.document_pages(docs, odd).orderBy("page_no").collect()
     assert [(r.page_no, bytes(r.content), r.layer) for r in rows] == [(1, b"one", None), (2, b"two", None)]
     assert files.document_pages(docs, lambda c: [{"layer": lambda: [], "draw": broken}]).select(F.col("error")).first()[0] == "KeyError: 'layer'"
+
+
+def test_forced_split_and_crops(spark, tmp_path):
+    """A record of two receipts read as one is replaced by those of its bands."""
+    two = json.dumps({"lines": drawn(priced("20.00"), 0.0) + drawn(priced("30.00"), 0.0, 300.0)}).encode()
+
+    def banded(content, box, angle, factor):
+        return [x for x in json.loads(content)["lines"] if box[1] <= (x["y0"] + x["y1"]) / 2 < box[3]]
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(two)
+    adapters = folder.Adapters(engine, crop=banded)
+    batch = folder.process_folder(spark, str(tmp_path / "in"), adapters)
+    before = batch.records.select("*").collect()
+    page = spark.createDataFrame([(before[0].file_id, 1, 1, bytearray(two), 0.0, 0.0, 400.0, 600.0)], "file_id string, page_no int, region_no int, content binary, x0 double, y0 double, x1 double, y1 double")
+    kept = spark.createDataFrame(before, batch.records.schema)
+    after = folder.force_split(kept, before[0].record_id, page, 2, adapters).collect()
+    gone = {r.record_id for r in before} - {r.record_id for r in after}
+    assert gone == {before[0].record_id}
+    assert {float(r.total_incl_tax) for r in after if r.record_id.startswith(before[0].record_id + "#")} == {20.0, 30.0}
+    assert all(r.date_default == "2026-03-07" for r in after)
+    lines = spark.createDataFrame([("f", 1, 1, 0.0, 0.0, 9.0, 9.0), ("f", 1, 2, 0.0, 0.0, 9.0, 9.0)], "file_id string, page_no int, region_no int, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([("f", 1, bytearray(b"image"))], "file_id string, page_no int, content binary")
+
+    def encode(content, box):
+        return content + b"!"
+
+    assert [bytes(r.crop) for r in folder.crops(lines, pages, encode).collect()] == [b"image!", b"image!"]
+    assert folder.crops(lines, pages, lambda content, box: 1 / 0).where("crop is null").count() == 2

@@ -77,3 +77,9 @@ def test_dates(spark):
 def test_keywords(spark):
     got = column(spark, ["Bi11 Tota1", "GRAND T0TAL", "nothing"], text.keyword_rank(F.col("t"), ["grand total", "bill total", "total"]))
     assert got == [1, 0, None]
+
+
+def test_digits_to_a_fixpoint(spark):
+    chained = "1" + ".oO" * 9 + "5"
+    expected = "1" + ".00" * 9 + "5"
+    assert column(spark, [chained, "1l5.o0", "Total lol", None], text.repair_digits(F.col("t"))) == [expected, "115.00", "Total lol", None]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.config import Settings, load
+from ledgerloom.config import Settings, TemplateSettings, load
 from ledgerloom.operators import layout, raster
 from ledgerloom.plans import extraction
 from ledgerloom.schema import LINE
@@ -115,7 +115,31 @@ def test_books(spark, two):
     from ledgerloom.operators.review import review_colour
 
     cells = workbook.read_book(workbook.review_book(review_colour(found)))
-    assert cells["A1"] == "来源文件" and cells["H2"] == "发票"
+    assert cells["A1"] == "来源文件" and cells["H2"] == "发票" and cells["L1"] == "原图（对着改）"
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (600).to_bytes(4, "big") + (400).to_bytes(4, "big")
+    assert workbook.image_size(png) == ("png", 600, 400)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + (300).to_bytes(2, "big") + (200).to_bytes(2, "big") + b"rest"
+    assert workbook.image_size(jpeg) == ("jpeg", 200, 300) and workbook.image_size(b"text") is None
+    with_crops = review_colour(found).withColumn("crop", F.when(F.col("invoice_date") == "2026-03-07", F.lit(bytearray(png))))
+    import io
+    import zipfile
+
+    book = zipfile.ZipFile(io.BytesIO(workbook.review_book(with_crops)))
+    assert book.read("xl/media/crop1.png") == png and 'ht="150"' in book.read("xl/worksheets/sheet1.xml").decode()
+    assert "<xdr:col>11</xdr:col>" in book.read("xl/drawings/drawing1.xml").decode()
+
+
+def test_books_in_tasks_and_templates(spark):
+    rows = [(f"b{i % 2}", i, f"2026-01-{i + 1:02d}", float(i) if i != 4 else None, "card_slip") for i in range(9)]
+    df = spark.createDataFrame(rows, "batch string, i int, invoice_date string, total_incl_tax double, doc_kind string")
+    template = TemplateSettings(columns={"invoice_date": ["B"], "total_incl_tax": ["D"], "doc_kind": ["F"]}, sheet="Data", header_row=1, start_row=3)
+    books = {(r.batch, r.book): (r.n, workbook.read_book(bytes(r.content))) for r in workbook.template_books(df, ["batch"], ["i"], template, most=3).collect()}
+    assert {k: n for k, (n, _) in books.items()} == {("b0", 0): 3, ("b0", 1): 2, ("b1", 0): 3, ("b1", 1): 1}
+    first = books["b0", 0][1]
+    assert (first["B3"], first["D3"], first["F3"], first["B5"]) == ("2026-01-01", "0.0", "刷卡小票", "2026-01-05") and "D5" not in first
+    own = workbook.template_book(df.where("i < 2").orderBy("i"), template)
+    again = workbook.read_book(workbook.template_book(df.where("i = 8"), TemplateSettings(columns={"invoice_date": ["B", "A"]}, sheet="none", start_row=4), source=own))
+    assert (again["B3"], again["B4"], again["A4"], again["B1"]) == ("2026-01-01", "2026-01-09", "2026-01-09", "发票日期")
 
 
 def test_sources(spark, tmp_path):
@@ -159,3 +183,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("unique_records").count() == 40
     batch = amounts_by_window(spark.table("unique_records"))
     assert batch.agg(F.sum("n")).first()[0] == 40
+
+
+def test_links_on_arrival(spark, tmp_path):
+    """A stream's links, over the edges of amount groups and batches, are those of the records before each."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"r{i:03d}", f"u{rng.randrange(2)}", 86400 * (100 + i // 6) + 3600 * (i % 6), rng.choice([99, 100, 101, 199, 200, 250, 251])) for i in range(90)]
+    df = spark.createDataFrame(rows, "record_id string, user string, s long, cents long").withColumn("ts", F.col("s").cast("timestamp")).drop("s")
+    for k in range(3):  # one file, and so one batch, after another
+        df.where((F.substring("record_id", 2, 3).cast("int") >= 30 * k) & (F.substring("record_id", 2, 3).cast("int") < 30 * (k + 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from ledgerloom.streaming.links import linked_on_arrival
+
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = linked_on_arrival(stream, ["user"], days=3, late="10 days").writeStream.format("memory").queryName("linked_records").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.record_id: r.of for r in spark.table("linked_records").collect()}
+    expected = {}
+    for i, (name, user, s, cents) in enumerate(rows):
+        near = [(b, a) for a, u, b, c in rows[:i] if u == user and abs(c - cents) <= 1 and abs(b - s) <= 3 * 86400]
+        expected[name] = min(near)[1] if near else None
+    assert got == expected and sum(v is not None for v in got.values()) > 20

@@ -56,3 +56,11 @@ def test_kinds(spark):
     got = df.select("i", classify.doc_kind(F.col("t")).alias("k"), classify.doc_type(F.col("t")).alias("y")).orderBy("i").collect()
     assert [r.k for r in got] == ["card_slip", "invoice", "card_slip", "invoice", "invoice", "invoice"]
     assert [r.y for r in got] == ["unknown", "western", "unknown", "vat", "western", "unknown"]
+
+
+def test_notes_say_why(spark):
+    texts = {"a": ["Subtotal 50.00", "Total 20.00"], "b": ["Tax 9.00", "Total 5.00", "Amount due 7.00"]}
+    df = spark.createDataFrame([(k, 1, 1, i, t) for k, rows in texts.items() for i, t in enumerate(rows)], "file_id string, page_no int, region_no int, row_no int, text string")
+    got = {r.file_id: (r.notes, r.confidence) for r in records.parse_rows(df).collect()}
+    assert "total_below_subtotal 20.00 50.00" in got["a"][0] and got["a"][1] == "low"
+    assert got["b"][0][:3] == ["total_below_tax 7.00 9.00", "candidates total=5.00, amount due=7.00", "by_word amount due"]
