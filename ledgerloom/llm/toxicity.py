@@ -218,10 +218,13 @@ class Grammar:
         known = self.memory
         if len(known) > 500_000:
             known.clear()
-        words = set(tokens)
-        for w in words - known.keys():
-            known[w] = self._class(w)
-        if not any(known[w][0] >= _INSULT for w in words):
+        some = False
+        for w in set(tokens):
+            found = known.get(w)
+            if found is None:
+                found = known[w] = self._class(w)
+            some = some or found[0] >= _INSULT
+        if not some:
             return [], False
         return list(map(known.__getitem__, tokens)), True
 
