@@ -217,8 +217,8 @@ def _group(bounds: list[tuple[int, int]], key: Column, tie: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), span, halve, lambda s: s["low"])
 
 
-def with_next(docs: DataFrame, groups: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (group, doc_id, tie, text, guest) from which every text's next one can be read in one pass.
+def with_next(docs: DataFrame, groups: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, int]:
+    """Rows (group, doc_id, tie, text, guest) from which every text's next one can be read in one pass, and the number of groups.
 
     The order is by id, null ids first, then by a hash of the text (``tie``).  Bounds are
     quantiles of the ids; an id that several of them fall on is cut further by the tie.
@@ -253,7 +253,8 @@ def with_next(docs: DataFrame, groups: int | None = None, id_column: str = "doc_
         leads.append(F.when((at >= 0) & opens, at))
     leads.append(F.when((key == F.lit(first[0])) & (tie == F.lit(first[1]) if hot else F.lit(True)), F.lit(len(bounds))))
     places = F.filter(F.array(F.struct(F.col("group").alias("group"), F.lit(False).alias("guest")), *[F.struct(x.alias("group"), F.lit(True).alias("guest")) for x in leads]), lambda p: p["group"].isNotNull())
-    return rows.withColumn("group", group).select("doc_id", "tie", "text", F.explode(places).alias("p")).select(F.col("p.group").alias("group"), F.col("p.guest").alias("guest"), "doc_id", "tie", "text")
+    dealt = rows.withColumn("group", group).select("doc_id", "tie", "text", F.explode(places).alias("p")).select(F.col("p.group").alias("group"), F.col("p.guest").alias("guest"), "doc_id", "tie", "text")
+    return dealt, len(bounds) + 1
 
 
 def edited_fingerprints(docs: DataFrame, groups: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -268,9 +269,9 @@ def edited_fingerprints(docs: DataFrame, groups: int | None = None, id_column: s
 
     spark = docs.sparkSession
     bound_batches(spark)
-    dealt = with_next(docs, groups, id_column, text_column)
-    count = groups or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    dealt = dealt.repartition(count, "group").sortWithinPartitions("group", F.col("guest").asc(), F.col("doc_id").asc_nulls_first(), "tie", "text")
+    dealt, count = with_next(docs, groups, id_column, text_column)
+    # A partition for each group: hashes would put several into one.
+    dealt = dealt.repartitionById(count, "group").sortWithinPartitions("group", F.col("guest").asc(), F.col("doc_id").asc_nulls_first(), "tie", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def lines(held: list[tuple[int | None, str]], follow: tuple[int | None, str]) -> pa.RecordBatch:

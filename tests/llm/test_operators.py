@@ -174,7 +174,7 @@ def test_op2_hot_and_null_ids(spark):
     for groups in (1, 2, 7, 16):
         got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited_fingerprints(docs, groups=groups).collect())
         assert got == expected
-    sizes = [r["count"] for r in fingerprints.with_next(docs, 16).where("not guest").groupBy("group").count().collect()]
+    sizes = [r["count"] for r in fingerprints.with_next(docs, 16)[0].where("not guest").groupBy("group").count().collect()]
     assert max(sizes) <= 60  # the equal rows of one id stay together, the others don't
 
 
