@@ -11,18 +11,23 @@ from .lineage import cut
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component): for every node of an edge the smallest node reachable from it.
 
-    Each round hands every node the smallest label around it and then that label's
-    own label, which halves long chains; a round that changes nothing is the last.
-    Nodes without edges are not here: they are their own component.
+    A round takes the smallest label of the neighbours' labels, for a node and also for
+    the node that is its label, so that whole trees hook onto others, and then halves
+    the way to a label's own label.  Rounds grow with the logarithm of the nodes, not
+    with the length of a chain; one that changes nothing is the last.  Nodes without
+    edges are not here: they are their own component.
     """
     pairs = edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
     both = cut(pairs.union(pairs.select(F.col("v"), F.col("u"))).where("u <> v").distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("component")))
     while True:
-        around = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("around"))
-        taken = labels.join(around, labels.node == around.u).select("node", F.col("component").alias("before"), F.least("component", "around").alias("component"))
-        jump = taken.select(F.col("node").alias("via"), F.col("component").alias("target"))
-        after = cut(taken.join(jump, F.col("component") == F.col("via"), "left").select("node", "before", F.least("component", F.coalesce("target", "component")).alias("component")))
+        # Every label is a node with a label of its own.
+        own = labels.select(F.col("node").alias("via"), F.col("component").alias("jumped"))
+        jump = labels.join(own, F.col("component") == F.col("via")).select("node", "component", "jumped")
+        near = both.join(jump.select("node", "jumped"), F.col("v") == F.col("node")).groupBy("u").agg(F.min("jumped").alias("near"))
+        taken = cut(jump.join(near, F.col("node") == F.col("u")).select("node", F.col("component").alias("before"), F.least("jumped", "near").alias("component"), "near"))
+        hooks = taken.groupBy(F.col("before").alias("hooked")).agg(F.min("near").alias("onto"))
+        after = cut(taken.join(hooks, F.col("node") == F.col("hooked"), "left").select("node", "before", F.least("component", F.coalesce("onto", "component")).alias("component")))
         labels = after.select("node", "component")
         if after.where("before <> component").isEmpty():
             return labels

@@ -90,6 +90,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A chain of 600 nodes in no order, and a star: as they are joined, in few rounds."""
+    import random
+
+    from ledgerloom.operators import components
+
+    names = random.Random(1).sample(range(10**9), 700)
+    edges = list(zip(names[:600], names[1:600])) + [(names[600], x) for x in names[601:]]
+    cuts = []
+    whole = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or whole(df))
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: min(names[:600]) for x in names[:600]} | {x: min(names[600:]) for x in names[600:]}
+    assert len(cuts) <= 2 + 2 * 14
+
+
 @pytest.mark.parametrize(
     ("dates", "expected"),
     [
