@@ -46,6 +46,8 @@ FIRST = 0.15
 EPSILON = 2.5
 #: Columns of a block.
 COLUMNS = 16
+#: Share of pairs below which those left are scanned one by one.
+MANY = 0.08
 #: Points of one part of a list: a longer list is dealt into parts, all of which are probed.
 PART = 8192
 #: Points of a list on average, at least; few points are one list, searched whole.
@@ -99,23 +101,30 @@ def scan(queries: np.ndarray, floors: np.ndarray, points: np.ndarray, k: int, ep
     # The squared distance at which a candidate has the floor's inner product is nq - 2 floor + np_.
     reach = np.where(np.isfinite(floors), nq - 2 * floors, np.float32(np.inf)).astype(np.float32)
     who = what = partial = None
-    ends = [*range(COLUMNS, d, COLUMNS), d]
+    slack = 1e-5 * (1 + np_)
+    whole = np.zeros((len(q), len(p)), dtype=np.float32)
+    alive = np.ones(whole.shape, dtype=bool)
     at = 0
-    for end in ends:
+    for end in [*range(COLUMNS, d, COLUMNS), d]:
         a, b = q[:, at:end], p[:, at:end]
+        limit = (1 + epsilon / math.sqrt(end)) ** 2 * end / d if end < d else 1.0
         if who is None:
-            # The first block for all pairs at once.
-            whole = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
-            limit = (1 + epsilon / math.sqrt(end)) ** 2 * end / d if end < d else 1.0
-            keep = whole <= np.maximum(limit * (reach[:, None] + np_[None, :]), 0) + 1e-5 * (1 + np_[None, :])
-            who, what = np.nonzero(keep)
-            partial = whole[who, what]
+            # As long as many are left, a block of columns is one product of matrices for all pairs.
+            whole += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+            alive &= whole <= np.maximum(limit * (reach[:, None] + np_[None, :]), 0) + slack[None, :]
+            if end == d and len(p) > k:
+                # All pairs have their value: what is below a query's k-th goes before anything is sorted.
+                value = np.where(alive, (nq[:, None] + np_[None, :] - whole) / 2, -np.inf)
+                last = np.partition(value, len(p) - k, axis=1)[:, len(p) - k]
+                alive &= value >= (last - 1e-4 * (1 + np.abs(last)))[:, None]
+            if end == d or np.count_nonzero(alive) < MANY * alive.size:
+                who, what = np.nonzero(alive)
+                partial = whole[who, what]
         else:
             for i in range(0, len(who), 1 << 18):
                 step = a[who[i : i + (1 << 18)]] - b[what[i : i + (1 << 18)]]
                 partial[i : i + (1 << 18)] += np.einsum("ij,ij->i", step, step)
-            limit = (1 + epsilon / math.sqrt(end)) ** 2 * end / d if end < d else 1.0
-            keep = partial <= np.maximum(limit * (reach[who] + np_[what]), 0) + 1e-5 * (1 + np_[what])
+            keep = partial <= np.maximum(limit * (reach[who] + np_[what]), 0) + slack[what]
             who, what, partial = who[keep], what[keep], partial[keep]
         at = end
     value = (nq[who] + np_[what] - partial) / 2
