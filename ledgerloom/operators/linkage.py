@@ -116,6 +116,16 @@ def link_pairs(records: DataFrame, tolerance: int = 0, id_column: str = "ord", s
     return across.unionByName(inside)
 
 
+def near_equal(rows: DataFrame, days: int, id_column: str, cents: str, day: str, scope: list[str]) -> DataFrame:
+    """(a, b), a < b: rows of one scope a cent and so many days apart at most, whatever else they say.
+
+    Neighbouring cents are enumerated, so it is an equi-join.
+    """
+    left = rows.select(F.col(id_column).alias("a"), *scope, F.col(day).alias("da"), F.explode(F.array(*[F.col(cents) + k for k in (-1, 0, 1)])).alias("cents"))
+    right = rows.select(F.col(id_column).alias("b"), *scope, F.col(day).alias("db"), F.col(cents).alias("cents"))
+    return left.join(right, [*scope, "cents"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("da", "db")) <= days)).select("a", "b")
+
+
 def _note(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 

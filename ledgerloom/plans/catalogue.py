@@ -56,11 +56,7 @@ def link_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     AND abs(CAST(round(a.value * 100) AS BIGINT) - CAST(round(b.value * 100) AS BIGINT)) <= 1 AND abs(date_diff('day', CAST(a.ts AS DATE), CAST(b.ts AS DATE))) <= 3"""
 )
 def link_pairs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near_pairs(spark, sf_dir)
-
-
-def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user a cent and three days apart at most: what is one transaction at that tolerance."""
+    # What is one transaction at a tolerance of three days.
     return linkage.link_pairs(dated_records(spark, sf_dir), 3, "ord", ["batch_id"]).where("verdict = 'dup'").select("a", "b")
 
 
@@ -72,7 +68,8 @@ def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT component, count(*) AS members, round(max(value), 2) AS best_value, min(event_id) AS survivor FROM c JOIN events ON node = event_id GROUP BY component"""
 )
 def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = connected_components(_near_pairs(spark, sf_dir))
+    amounts = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("d"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    groups = connected_components(linkage.near_equal(amounts, 3, "event_id", "cents", "d", ["user_id"]))
     e = table(spark, sf_dir, "events").select("event_id", "value")
     return (
         e.join(groups, e.event_id == groups.node, "left")
