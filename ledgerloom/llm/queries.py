@@ -89,6 +89,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=1024)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_sample
+
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_sample(_documents(spark, sf_dir), target, percent=25, seed=7, max_n=2, buckets=10_000, least_words=20)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the texts, by a hash of the id, the words from one on repeat a stretch of the words there.
+
+    The words are numbered from 0.  A null id and a text without words stay as they are.
+    """
+    mark = F.crc32(F.col("doc_id").cast("string"))
+    words, n = F.col("words"), F.size("words")
+    g = F.floor(mark / 10)
+    a = F.pmod(g, F.greatest(n, F.lit(1)))
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    repeated = F.transform(words, lambda _, i: F.element_at(words, (F.when(i < a, i).otherwise(a + F.pmod(i - a, p)) + 1).cast("int")))
+    chosen = (F.pmod(mark, F.lit(10)) == 0) & (n > 0)
+    split = F.when(F.pmod(mark, F.lit(10)) == 0, F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return docs.select("doc_id", "text", split.alias("words")).select("doc_id", F.when(chosen, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import longest_run, periodic_runs
+
+    found = periodic_runs(with_repeats(_documents(spark, sf_dir)), least=12)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    text = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", longest_run(F.col("runs"))).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(_documents(spark, sf_dir), radius=2, shingle=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -101,6 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
 
