@@ -72,9 +72,11 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         step = min(length, depth - length)
         ahead = np.zeros_like(rank)
         ahead[:-step] = rank[step:]
-        rank = 1 + np.unique(rank * (int(rank.max(initial=0)) + 1) + ahead, return_inverse=True)[1]
+        rank = rank * (max(int(rank.max(initial=0)), int(ahead.max(initial=0))) + 1) + ahead
         length += step
-    order = np.argsort(rank, kind="stable")
+        if length < depth:  # small numbers again, from 1
+            rank = 1 + np.unique(rank, return_inverse=True)[1]
+    order = np.argsort(rank)
     padded = np.append(symbols, np.zeros(depth, dtype=symbols.dtype))
     lcp = np.zeros(len(order), dtype=np.int64)
     going = np.ones(max(0, len(order) - 1), dtype=bool)
@@ -105,9 +107,9 @@ def occurrences(symbols: np.ndarray, own: int, dictionary: list[bytes], max_n: i
         opens = lcp[kept] < n
         heads = at[opens]
         if n == 1:
-            found = map(zlib.crc32, (dictionary[i] for i in (symbols[heads] - 1).tolist()))
+            found = map(zlib.crc32, map(dictionary.__getitem__, (symbols[heads] - 1).tolist()))
         else:
-            found = map(zlib.crc32, (tails[i] for i in (symbols[heads + n - 1] - 1).tolist()), hashes[heads].tolist())
+            found = map(zlib.crc32, map(tails.__getitem__, (symbols[heads + n - 1] - 1).tolist()), hashes[heads].tolist())
         run = np.fromiter(found, dtype=np.int64, count=len(heads))
         hashes[at] = run[np.cumsum(opens) - 1]
         first = at[at < own]

@@ -47,7 +47,7 @@ def repeated_factors(words: np.ndarray, texts: np.ndarray, level: int) -> tuple[
     for k in range(level):
         name = (name ^ words[starts + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         name ^= name >> np.uint64(29)
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     same = name[order][1:] == name[order][:-1]
     shared = np.zeros(len(starts), dtype=bool)
     shared[order[1:]] |= same
