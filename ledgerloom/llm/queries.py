@@ -53,7 +53,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, source_counts, tempered
 
     docs = _documents(spark, sf_dir)
-    # Target weights: the roots of the sources' sizes, in thousandths.
+    # Target weights: the roots of the sources' sizes.
     return mix(docs, tempered(source_counts(docs)))
 
 
