@@ -12,7 +12,7 @@ from ..functions import dates, money, text
 from ..operators import classify, consensus, layout, linkage, records, review, rows
 from ..operators.components import connected_components
 from ..streaming import links
-from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, RECEIPTS_SQL, dated_records, drawn_lines, event_records, order_amounts, order_records, receipt_rows, table
+from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, PIECED_SQL, RECEIPTS_SQL, dated_records, drawn_lines, event_records, order_amounts, order_records, pieced_lines, receipt_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -456,6 +456,12 @@ def receipt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cluster_receipts(drawn_lines(spark, sf_dir)).select("file_id", "line_no", "region_no")
 
 
+@query(f"WITH d AS ({PIECED_SQL}) SELECT file_id, line_no, CASE WHEN i <> 12 THEN CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot) AS INTEGER) END AS region_no FROM d")
+def receipt_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips are joined along x, the foot to what is above it, scraps to the receipt above; strays belong to none."""
+    return layout.cluster_receipts(pieced_lines(spark, sf_dir)).select("file_id", "line_no", "region_no")
+
+
 @query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, line_no, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot, k % 2 = 1 AND i >= 4) AS INTEGER) AS region_no FROM d")
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of a text-layer page, and blocks within those that are set apart after the fourth line."""

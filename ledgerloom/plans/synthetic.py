@@ -151,3 +151,52 @@ DRAWN_SQL = """
 SELECT CAST(o_orderkey // 3 AS VARCHAR) AS file_id, CAST(o_orderkey % 3 * 100 + i AS INTEGER) AS line_no, o_orderkey AS k, o_orderkey % 3 AS slot, i, count(*) OVER (PARTITION BY o_orderkey // 3) AS n
 FROM orders, range(7) t(i)
 """
+
+
+#: What is printed in the pieces of a receipt: (piece, text, left, top, width).
+PIECES = [
+    ("names", "TAX INVOICE", 0, 0, 200),
+    ("names", "Date 07/03/2026", 0, 40, 200),
+    ("names", "Coffee beans", 0, 80, 200),
+    ("names", "Milk and sugar", 0, 120, 200),
+    ("names", "Sales Tax", 0, 160, 200),
+    ("amounts", "35.00", 300, 80, 90),
+    ("amounts", "65.00", 300, 120, 90),
+    ("amounts", "15.00", 300, 160, 90),
+    ("foot", "Total 115.00", 10, 290, 380),
+    ("foot", "Paid by card 115.00", 10, 330, 380),
+    ("foot", "Thank you for coming", 10, 370, 380),
+    ("scrap", "x", 40, 520, 20),
+    ("stray", "zz", 560, 900, 20),
+]
+
+
+def pieced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of up to three receipts that are printed in pieces: order k is on page k div 3, at k mod 3.
+
+    Names and amounts stand in strips side by side, the foot is set off by more than
+    lines of one group may be, every second receipt has a scrap below, every fifth
+    a stray sign far from all.
+    """
+    k, slot = F.col("o_orderkey"), F.col("o_orderkey") % 3
+    piece = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("piece", "text", "x", "y", "w"), p, strict=True)]) for p in PIECES])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(piece).alias("i", "p")).where(((F.col("p.piece") != "scrap") | (k % 2 == 0)) & ((F.col("p.piece") != "stray") | (k % 5 == 0)))
+    left, top = slot * 1000.0 + F.col("p.x"), (k % 7) * 9.0 + F.col("p.y")
+    return rows.select(
+        F.floor(k / 3).cast("string").alias("file_id"),
+        F.lit(1).alias("page_no"),
+        (slot * 100 + F.col("i")).cast("int").alias("line_no"),
+        F.col("p.text").alias("text"),
+        left.alias("x0"),
+        top.alias("y0"),
+        (left + F.col("p.w")).alias("x1"),
+        (top + 25.0).alias("y1"),
+        F.lit(0.0).alias("angle"),
+        F.lit(0.99).alias("score"),
+    )
+
+
+PIECED_SQL = f"""
+SELECT CAST(o_orderkey // 3 AS VARCHAR) AS file_id, CAST(o_orderkey % 3 * 100 + i AS INTEGER) AS line_no, o_orderkey % 3 AS slot, i
+FROM orders, range({len(PIECES)}) t(i) WHERE (i <> 11 OR o_orderkey % 2 = 0) AND (i <> 12 OR o_orderkey % 5 = 0)
+"""
