@@ -100,7 +100,8 @@ def _reader(pattern: str, kind: str) -> Callable[[Column], Column]:
 def without_dates(text: Column) -> Column:
     """The text with everything that looks like a date or a time of day masked, so that only other numbers stay."""
     plain = F.when(may_hold_date(text), let(text, _without_patterns)).otherwise(text)
-    return F.regexp_replace(plain, TIME, MASK)
+    clock = lambda t: F.contains(t, F.lit(":")) | F.contains(t, F.lit(";"))
+    return let(plain, lambda t: F.when(clock(t), F.regexp_replace(t, TIME, MASK)).otherwise(t))
 
 
 def _without_patterns(text: Column) -> Column:

@@ -25,26 +25,46 @@ _SIGNED = "(?iuU)([-*])?" + AMOUNT
 TOKEN = "struct<value:decimal(18,2),fragment:string,currency:string,no_separator:boolean>"
 
 
-#: The parts of a matched token: its sign or code, and its number.
-_CODE, _NUMBER = r"(?U)^[-*]?([^\d\s]*)", r"(?U)\d[\d,]*(?:\.\d{1,2})?"
+#: White space as the patterns know it, and all that stands in a match beside digits, points and commas.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_LETTERS = "".join(sorted({c for code in CURRENCIES for c in code + code.lower()})) + "\u017f"  # a long s is an s, whatever its case
 _NO_TOKENS = f"array<{TOKEN}>"
+#: Words of which one stands in every row of identifiers, in lower case.
+_ID_WORDS = ["terminal", "merchant", "auth", "approval", "batch", "ref", "card", "account", "tel", "phone", "inv"]
+
+
+def _without(text: Column, signs: str) -> Column:
+    return F.translate(text, signs, "")
 
 
 def _currency(match: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in CURRENCIES.items() for x in kv])
-    code = F.upper(F.regexp_extract(match, _CODE, 1))
+    code = F.upper(F.call_function("translate", match, _without(match, _LETTERS), F.lit("")))
     return F.when(code != "", F.coalesce(F.try_element_at(known, code), code)).when(F.contains(match, F.lit("元")), F.lit("¥"))
 
 
 def _value(match: Column) -> Column:
-    return F.replace(F.regexp_extract(match, _NUMBER, 0), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+    return _without(match, "-*,元" + _LETTERS + _WHITE).try_cast("decimal(18,2)")
+
+
+def _no_separator(match: Column) -> Column:
+    return ~(F.contains(match, F.lit(".")) | F.contains(match, F.lit(",")))
+
+
+def is_id_row(text: Column) -> Column:
+    """Whether a row holds identifiers: the pattern is tried only where one of its words stands, or signs beyond ASCII."""
+    low = F.lower(text)
+    may = F.octet_length(text) != F.length(text)
+    for w in _ID_WORDS:
+        may = may | F.contains(low, F.lit(w))
+    return may & text.rlike(ID_ROW)
 
 
 def tokens(text: Column) -> Column:
     """array of every money token: value, fragment, currency, whether it has no separator."""
     read = F.transform(
         F.regexp_extract_all(text, F.lit(_PLAIN), F.lit(0)),
-        lambda m: F.struct(_value(m).alias("value"), F.trim(m).alias("fragment"), _currency(m).alias("currency"), (~m.rlike("[.,]")).alias("no_separator")),
+        lambda m: F.struct(_value(m).alias("value"), F.trim(m).alias("fragment"), _currency(m).alias("currency"), _no_separator(m).alias("no_separator")),
     )
     found = F.when(text.rlike(r"(?U)\d"), F.filter(read, lambda t: t["value"].isNotNull()))
     return F.coalesce(found, F.when(text.isNotNull(), F.array().cast(_NO_TOKENS)))
@@ -58,7 +78,7 @@ def amounts(text: Column) -> Column:
     ones that look like a year.
     """
     none = F.array().cast(_NO_TOKENS)
-    found = F.when(~text.rlike(r"(?U)\d") | text.rlike(ID_ROW), none).otherwise(let(let(repair_digits(text), without_dates), _kept))
+    found = F.when(~text.rlike(r"(?U)\d") | is_id_row(text), none).otherwise(let(let(repair_digits(text), without_dates), _kept))
     return F.coalesce(found, none)
 
 
@@ -67,10 +87,10 @@ def _kept(masked: Column) -> Column:
     unsigned = F.filter(F.regexp_extract_all(masked, F.lit(_SIGNED), F.lit(0)), lambda m: ~F.substring(m, 1, 1).isin("-", "*"))
     read = F.transform(
         unsigned,
-        lambda m: F.struct(_value(m).alias("value"), F.regexp_replace(m, r"(?U)^\s+|\s+$", "").alias("fragment"), _currency(m).alias("currency"), (~m.rlike("[.,]")).alias("no_separator")),
+        lambda m: F.struct(_value(m).alias("value"), F.btrim(m, F.lit(_WHITE)).alias("fragment"), _currency(m).alias("currency"), _no_separator(m).alias("no_separator")),
     )
     # Six digits and more are beyond 99999, unless they begin with zeros.
-    long = lambda t: F.length(F.regexp_replace(t["fragment"], r"(?U)\D", "")) >= 6
+    long = lambda t: F.length(_without(t["fragment"], "-*.,元" + _LETTERS + _WHITE)) >= 6
     bare = lambda t: t["no_separator"] & t["currency"].isNull()
     return F.filter(read, lambda t: t["value"].isNotNull() & ~(t["no_separator"] & long(t)) & ~(bare(t) & ((t["value"] >= 10000) | t["value"].between(2000, 2099))))
 

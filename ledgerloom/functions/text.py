@@ -64,11 +64,17 @@ def _colon_for_point(text: Column) -> Column:
     return F.when((head != "") & (F.regexp_replace(head, ",", "").try_cast("long") > 23), F.concat(head, F.lit("."), F.regexp_extract(text, COLON_FOR_POINT, 2))).otherwise(text)
 
 
+#: A stretch of digits, signs and letters that stand for digits, from its first digit or sign.
+_STRETCH = r"[\d.,][\d.,oOlI]*"
+
+
 def repair_digits(text: Column) -> Column:
     """Letters inside numbers read as digits; a repair may make its neighbour's, so it is done until nothing changes.
 
-    Each further round sets one letter right at least that follows a digit, a sign or such
-    a letter: as many rounds as there are such letters are enough.
+    A round changes nothing outside stretches of digits, signs and such letters, and each
+    further one sets a letter of each right in which anything is left.  Of several letters
+    in a row the first two at most are ever set right: twice as many rounds as the
+    stretch with most such rows has are enough.
     """
 
     def once(t: Column) -> Column:
@@ -76,8 +82,9 @@ def repair_digits(text: Column) -> Column:
             t = F.regexp_replace(t, pattern, digit)
         return t
 
-    letters = F.regexp_count(text, F.lit(r"(?<=[\d.,oOlI])[oOlI]"))
-    return F.when(letters > 0, F.aggregate(F.sequence(F.lit(1), letters), text, lambda t, _: once(t))).otherwise(text)
+    rows = F.transform(F.regexp_extract_all(text, F.lit(_STRETCH), F.lit(0)), lambda s: F.regexp_count(s, F.lit("[oOlI]+")))
+    rounds = F.sequence(F.lit(1), F.greatest(2 * F.array_max(rows), F.lit(1)))
+    return F.when(text.rlike(r"[\d.,][oOlI]"), F.aggregate(rounds, text, lambda t, _: once(t))).otherwise(text)
 
 
 def canonical(text: Column) -> Column:

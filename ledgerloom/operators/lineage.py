@@ -1,4 +1,4 @@
-"""Reliable cutting of lineage for iterative operators."""
+"""Reliable cutting of lineage for iterative operators, and dealing of small inputs."""
 
 from __future__ import annotations
 
@@ -17,3 +17,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer tasks: for rows that cost far more to analyse than to move.
+
+    A table that is read in as many tasks as there are cores, or more, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from ..config import CARD_SLIP_WORDS, LinkSettings
 from ..functions import dates, money, text
 from ..operators import classify, consensus, layout, linkage, records, review, rows
 from ..operators.components import connected_components
+from ..operators.lineage import spread
 from ..streaming import links
 from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, PIECED_SQL, RECEIPTS_SQL, dated_records, drawn_lines, event_records, order_amounts, order_records, pieced_lines, receipt_rows, table
 
@@ -261,7 +262,7 @@ def date_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def date_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(F.lit("Date "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" till 3"))
-    found = table(spark, sf_dir, "orders").select("o_orderkey", F.get(dates.extract(shown), F.lit(0)).alias("d"))
+    found = spread(table(spark, sf_dir, "orders")).select("o_orderkey", F.get(dates.extract(shown), F.lit(0)).alias("d"))
     return found.select("o_orderkey", F.col("d.primary").alias("primary_date"), F.get("d.candidates", F.lit(1)).alias("other_date"))
 
 
@@ -276,7 +277,7 @@ def date_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderkey") % 6 == 4, F.regexp_replace(F.date_format(d, "d MMM. yyyy"), "o", "0"))
         .otherwise(F.date_format(d, "yyyy/M/d"))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(dates.primaries(F.concat(F.lit("x "), shown, F.lit(" 11:24"))), ",").alias("found"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", F.array_join(dates.primaries(F.concat(F.lit("x "), shown, F.lit(" 11:24"))), ",").alias("found"))
 
 
 @query(
@@ -296,7 +297,7 @@ def month_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def money_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(F.lit("Item R"), F.format_number(F.round("l_extendedprice", 2).cast("decimal(18,2)"), 2), F.lit(" on 2026-03-07 at 12:54"))
-    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", money.amounts(shown).alias("a"))
+    found = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", money.amounts(shown).alias("a"))
     return found.select("l_orderkey", "l_linenumber", money.last(F.col("a")).cast("double").alias("amount"), F.get("a", F.lit(0))["currency"].alias("currency"), F.size("a").alias("n"))
 
 
@@ -315,7 +316,7 @@ def money_reject_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderkey") % 8 == 6, F.concat(F.lit("Number "), n + 10000))
         .otherwise(F.concat(F.lit("Seats "), n))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", money.last(money.amounts(shown)).cast("double").alias("amount"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", money.last(money.amounts(shown)).cast("double").alias("amount"))
 
 
 @query("SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'ZAR' WHEN 1 THEN '$' WHEN 2 THEN '€' ELSE '¥' END AS currency FROM customer")
@@ -397,7 +398,7 @@ def doc_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, regexp_matches(lower(text), 'terminal|merchant\\s*(id|no)|auth|approval|batch|ref(erence)?\\s*(no|#)|card\\s*(no|#)|account|tel|phone|inv(oice)?\\s*no|tax\\s*inv\\s*no') AS is_id_row FROM documents"""
 )
 def id_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(money.ID_ROW).alias("is_id_row"))
+    return table(spark, sf_dir, "documents").select("doc_id", money.is_id_row(F.col("text")).alias("is_id_row"))
 
 
 # --- geometry and aggregates -------------------------------------------------

@@ -83,3 +83,47 @@ def test_digits_to_a_fixpoint(spark):
     chained = "1" + ".oO" * 9 + "5"
     expected = "1" + ".00" * 9 + "5"
     assert column(spark, [chained, "1l5.o0", "Total lol", None], text.repair_digits(F.col("t"))) == [expected, "115.00", "Total lol", None]
+
+
+def test_money_of_odd_rows(spark):
+    """Signs, codes, white space and digits of any kind, against the pattern's own groups in Python."""
+    import random
+    import re
+    from decimal import Decimal
+
+    rng = random.Random(6)
+    parts = ["R", "RMB", "usd", "ZAR", "$", "¥", "元", "-", "*", " ", "\t", "\u3000", ".", ",", "0", "12", "1,234", "12.50", "9999", "x", "Card", "\u0663"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(3000)]
+
+    def by_hand(row):
+        out = []
+        for m in re.finditer(money.AMOUNT, row, re.IGNORECASE):
+            code = money.CURRENCIES.get((m[1] or "").upper(), (m[1] or "").upper()) or ("¥" if m[3] else None)
+            out.append((Decimal(m[2].replace(",", "")).quantize(Decimal("0.01")), m[0].strip(" "), code, not re.search("[.,]", m[0])))
+        return out
+
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = {r.t: [tuple(x) for x in r.a] for r in df.select("t", money.tokens(F.col("t")).alias("a")).collect()}
+    assert all(got[r] == by_hand(r) for r in rows)
+
+
+def test_digit_repair_counts_rounds_by_stretches(spark):
+    """Ordinary words ask for no rounds, however long the text; a chain of repairs for as many as it has."""
+    import re
+    import time
+
+    long = "hello cool Illinois loo, oOl. " * 20_000 + "R1o.oO.oO.o5 and 3,l2"
+
+    def by_hand(t):
+        while True:
+            before = t
+            for pattern, digit in text.LETTERS_IN_NUMBERS:
+                t = re.sub(pattern, digit, t)
+            if t == before:
+                return t
+
+    rows = [long, "1.oO.oO.o", "5.oIo5", "1o1l1", "oo1", None, "12.oo", "o.o.o.1l.o"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    began = time.time()
+    assert [r[0] for r in df.select(text.repair_digits(F.col("t"))).collect()] == [None if r is None else by_hand(r) for r in rows]
+    assert time.time() - began < 30
