@@ -1,191 +1,295 @@
-"""Receipts on a page image by its ink: thresholds, stroke removal and recursive cuts."""
+"""Receipts on page images by their ink, as rows: bands, runs of ink, components and running sums.
+
+1. A page is dealt in bands of BAND pixel rows, each with as many rows around it as a
+   pixel's surroundings reach.  A task tells the ink of a band and joins its runs (a row's
+   stretches of ink) to components within the band.
+2. A run on a border stands in two bands.  It names a component of each, and these
+   pairs are edges: connected components of all pages make strokes whole again.
+3. Long thin lines and large sparse scribbles are strokes; their runs go, and what is left
+   is opened, band by band.
+4. Cuts: how much ink each pixel column and row of a part has is a running sum over run
+   ends, and a sum over rows; gaps are what lies between inked stretches.  All parts of
+   all pages are cut at once, level by level.
+5. A page's few boxes are joined by their own rules.
+
+No call sees a whole image: a task holds a band.
+"""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected_components
+from .layout import column_major
+from .lineage import cut
 
-# Windows and sizes at 200 dpi.
-WINDOW, DARKER = 31, 15
-LARGE, SPARSE, THIN, LONG = 80, 0.15, 12, 100
-LEAST_WIDTH, LEAST_HEIGHT, LEAST_INK, SMALL_HEIGHT = 80, 60, 800, 250
+# Windows, sizes and shares at 200 dpi.
+LIMITS = {
+    "window": 31,
+    "darker": 15,
+    # strokes
+    "large": 80,
+    "sparse": 0.15,
+    "thin": 12,
+    "long": 100,
+    # cuts
+    "gap_share": 0.7,
+    "noise": 3.0,
+    "noise_share": 0.008,
+    "least_part": 10,
+    "deepest": 6,
+    # boxes
+    "least_width": 80,
+    "least_height": 60,
+    "least_ink": 800,
+    "small_height": 250,
+    "column_share": 0.6,
+}
+#: Pixel rows of a band.
+BAND = 256
+_HALO = LIMITS["window"] // 2 + 1
+KEYS = ["file_id", "page_no"]
+_COMPONENT = "struct<label:long,x0:int,y0:int,x1:int,y1:int,area:long>"
 
 
-def reading_order(boxes: np.ndarray) -> list[int]:
-    """Boxes by column from the left, each from the top; columns share more than half of the narrower width."""
-    column = np.full(len(boxes), -1)
-    spans: list[tuple[float, float]] = []
-    for i in np.argsort(boxes[:, 0], kind="stable"):
-        a, b = np.array(spans).reshape(-1, 2).T
-        shared = np.minimum(b, boxes[i, 2]) - np.maximum(a, boxes[i, 0])
-        fits = np.flatnonzero(shared > 0.5 * np.minimum(b - a, boxes[i, 2] - boxes[i, 0]))
-        column[i] = fits[0] if len(fits) else len(spans)
-        if len(fits):
-            spans[fits[0]] = (min(a[fits[0]], boxes[i, 0]), max(b[fits[0]], boxes[i, 2]))
-        else:
-            spans.append((boxes[i, 0], boxes[i, 2]))
-    left = np.array([s[0] for s in spans])
-    return np.lexsort((boxes[:, 1], column, left[column])).tolist() if len(boxes) else []
+def ink_of(grey: np.ndarray) -> np.ndarray:
+    """Pixels darker than the mean of the window around them; the outermost half window is only surroundings."""
+    n = LIMITS["window"]
+    total = np.pad(grey.astype(np.int64).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    around = total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]
+    r = n // 2
+    return grey[r:-r, r:-r] <= np.floor(around / n**2 + 0.5) - LIMITS["darker"]
 
 
-def ink_of(grey: np.ndarray) -> np.ndarray:
-    """Pixels darker than the mean around them by more than DARKER."""
-    r = WINDOW // 2
-    padded = np.pad(grey.astype(np.int64), r + 1, mode="edge")[:-1, :-1]
-    total = padded.cumsum(axis=0).cumsum(axis=1)
-    total = np.pad(total, ((1, 0), (1, 0)))[1:, 1:]
-    h, w = grey.shape
-    around = total[WINDOW : WINDOW + h, WINDOW : WINDOW + w] - total[:h, WINDOW : WINDOW + w] - total[WINDOW : WINDOW + h, :w] + total[:h, :w]
-    return grey <= np.floor(around / WINDOW**2 + 0.5) - DARKER
-
-
-def labels_of(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ink along rows (row, first, last + 1) with their component and its name, 8-connected."""
-    padded = np.pad(ink, ((0, 0), (1, 1))).astype(np.int8)
-    row, edge = np.nonzero(np.diff(padded, axis=1))
+def runs_of(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of ink along rows (row, first, last + 1) and the first run of the component that each is of; corners touch."""
+    row, edge = np.nonzero(np.diff(np.pad(ink, ((0, 0), (1, 1))).astype(np.int8), axis=1))
     row, first, last = row[::2], edge[::2], edge[1::2]
-    parent = np.arange(len(row))
+    # Runs of neighbouring rows that touch: a run's partners are a range of the row above.
+    begin = np.searchsorted(row, np.arange(ink.shape[0] + 1))
+    width = ink.shape[1] + 2
+    low = np.searchsorted(row * width + last, (row - 1) * width + first)
+    high = np.searchsorted(row * width + first, (row - 1) * width + last, side="right")
+    low, high = np.clip(low, begin[np.maximum(row - 1, 0)], begin[row]), np.clip(high, begin[np.maximum(row - 1, 0)], begin[row])
+    count = np.where(row > 0, np.maximum(high - low, 0), 0)
+    own = np.repeat(np.arange(len(row)), count)
+    other = np.repeat(low, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    # Smallest label over edges, halving the way to it, until nothing changes.
+    label = np.arange(len(row))
+    while len(own):
+        least = np.minimum(label[own], label[other])
+        new = label.copy()
+        np.minimum.at(new, label[own], least)
+        np.minimum.at(new, label[other], least)
+        new = new[new]
+        new = np.minimum(new, new[label])
+        if (new == label).all():
+            break
+        label = new
+    return row, first, last, label
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    begin = np.searchsorted(row, np.arange(ink.shape[0] + 1))
-    for y in range(1, ink.shape[0]):
-        i, j = begin[y - 1], begin[y]
-        while i < begin[y] and j < begin[y + 1]:
-            if first[i] <= last[j] and first[j] <= last[i]:
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            if last[i] < last[j]:
-                i += 1
-            else:
-                j += 1
-    root = np.array([find(i) for i in range(len(row))], dtype=int)
-    return row, first, last, root, np.unique(root)
-
-
-def without_strokes(ink: np.ndarray) -> np.ndarray:
-    """Ink without long thin lines and large sparse scribbles, then opened by 2 x 2."""
-    row, first, last, root, names = labels_of(ink)
-    out = ink.copy()
-    if len(names):
-        k = np.searchsorted(names, root)
-        low = lambda v: np.minimum.reduceat(v[order], starts)
-        high = lambda v: np.maximum.reduceat(v[order], starts)
-        order = np.argsort(k, kind="stable")
-        starts = np.searchsorted(k[order], np.arange(len(names)))
-        width, height = high(last) - low(first), high(row) - low(row) + 1
-        area = np.add.reduceat((last - first)[order], starts)
-        sparse = ((width > LARGE) | (height > LARGE)) & (area < SPARSE * width * height)
-        line = (np.minimum(width, height) <= THIN) & (np.maximum(width, height) >= LONG)
-        for i in np.flatnonzero((sparse | line)[k]):
-            out[row[i], first[i] : last[i]] = False
-    p = np.pad(out, 1)
-    eroded = p[:-1, :-1] & p[1:, :-1] & p[:-1, 1:] & p[1:, 1:]
-    return (eroded[:-1, :-1] | eroded[1:, :-1] | eroded[:-1, 1:] | eroded[1:, 1:])[: ink.shape[0], : ink.shape[1]]
-
-
-def gaps_of(profile: np.ndarray, noise: float, least: int) -> list[tuple[int, int]]:
-    """Stretches inside the inked extent with at most ``noise`` ink, ``least`` long at least."""
-    inked = np.flatnonzero(profile > noise)
-    if not len(inked):
-        return []
-    jump = np.flatnonzero(np.diff(inked) > least)
-    return [(int(inked[i]) + 1, int(inked[i + 1])) for i in jump]
-
-
-def cut_boxes(ink: np.ndarray, least_x: int, least_y: int, deepest: int = 6) -> list[tuple[int, int, int, int]]:
-    """Boxes (x0, y0, x1, y1) by cutting at all gaps along the axis with the widest gap, again and again."""
-    out, todo = [], [(0, 0, ink.shape[1], ink.shape[0], 0)]
-    while todo:
-        x0, y0, x1, y1, depth = todo.pop()
-        part = ink[y0:y1, x0:x1]
-        columns, rows = part.sum(axis=0), part.sum(axis=1)
-        if not columns.any():
-            continue
-        cx, cy = np.flatnonzero(columns), np.flatnonzero(rows)
-        x0, x1, y0, y1 = x0 + int(cx[0]), x0 + int(cx[-1]) + 1, y0 + int(cy[0]), y0 + int(cy[-1]) + 1
-        columns, rows = columns[cx[0] : cx[-1] + 1], rows[cy[0] : cy[-1] + 1]
-        gx = gaps_of(columns, max(3.0, 0.008 * (y1 - y0)), least_x)
-        gy = gaps_of(rows, max(3.0, 0.008 * (x1 - x0)), least_y)
-        if depth >= deepest or not (gx or gy):
-            out.append((x0, y0, x1, y1))
-            continue
-        wide = lambda gaps: max((b - a for a, b in gaps), default=0)
-        along_x = wide(gx) >= wide(gy)
-        cuts = gx if along_x else gy
-        edges = list(zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), (x1 - x0) if along_x else (y1 - y0)], strict=True))
-        for a, b in edges:
-            if b - a >= 10:
-                todo.append((x0 + a, y0, x0 + b, y1, depth + 1) if along_x else (x0, y0 + a, x1, y0 + b, depth + 1))
-    return out
-
-
-def _hull(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.minimum(a[:2], b[:2]), np.maximum(a[2:], b[2:])])
-
-
-def merge_vertical(boxes: list[np.ndarray], gap: float) -> list[np.ndarray]:
-    """Boxes of one column joined while they are no further apart than ``gap``."""
-    boxes = sorted(boxes, key=lambda b: (b[0], b[1]))
-    i = 0
-    while i < len(boxes):
-        a = boxes[i]
-        j = next((j for j in range(i + 1, len(boxes)) if min(a[2], boxes[j][2]) - max(a[0], boxes[j][0]) >= 0.6 * min(a[2] - a[0], boxes[j][2] - boxes[j][0]) and max(a[1], boxes[j][1]) - min(a[3], boxes[j][3]) <= gap), None)
-        if j is None:
-            i += 1
-        else:
-            boxes[i] = _hull(a, boxes.pop(j))
-            boxes.sort(key=lambda b: (b[0], b[1]))
-            i = 0
-    return boxes
-
-
-def absorb_small(boxes: list[np.ndarray], gap: float) -> list[np.ndarray]:
-    """Boxes too low for a receipt joined to the nearest one that isn't, if it is within ``gap``."""
-    i = 0
-    while i < len(boxes):
-        s = boxes[i]
-        if s[3] - s[1] < SMALL_HEIGHT:
-            near = [(max(0, max(s[0], b[0]) - min(s[2], b[2])) + max(0, max(s[1], b[1]) - min(s[3], b[3])), j) for j, b in enumerate(boxes) if j != i and b[3] - b[1] >= SMALL_HEIGHT]
-            if near and min(near)[0] <= gap:
-                j = min(near)[1]
-                boxes[j] = _hull(s, boxes[j])
-                boxes.pop(i)
-                i = 0
-                continue
-        i += 1
-    return boxes
-
-
-def receipts_on(image: np.ndarray, dilate: int = 25, merge_gap: int = 70) -> list[tuple[int, int, int, int]]:
-    """Boxes (x0, y0, x1, y1) of receipts on an RGB image, in reading order."""
-    grey = np.floor(image[..., :3] @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(np.int64)
-    ink = without_strokes(ink_of(grey))
-    found = [np.array(b) for b in cut_boxes(ink, int(dilate * 0.7), merge_gap)]
-    found = [b for b in found if b[2] - b[0] > LEAST_WIDTH and b[3] - b[1] > LEAST_HEIGHT and ink[b[1] : b[3], b[0] : b[2]].sum() > LEAST_INK]
-    found = absorb_small(merge_vertical(found, merge_gap), merge_gap * 2)
-    return [tuple(int(v) for v in found[i]) for i in reading_order(np.array(found).reshape(-1, 4))]
-
-
-def segment_images(pages: DataFrame, dpi: int = 200) -> DataFrame:
-    """(file_id, page_no, region_no, x0, y0, x1, y1) of pages with height, width and RGB pixels."""
-    scale = dpi / 200
+def _band_rows(pages: DataFrame) -> DataFrame:
+    """Bands of pages (height, width, pixels) with the rows around them."""
+    stride = F.expr("cast(length(pixels) / height as int)")
+    bands = pages.select(*KEYS, "height", "width", "pixels", stride.alias("stride"), F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / BAND).cast("int"))).alias("band"))
+    top = F.greatest(F.col("band") * BAND - _HALO, F.lit(0))
+    bottom = F.least((F.col("band") + 1) * BAND + _HALO, F.col("height"))
+    return bands.withColumn("top", top).withColumn("rows", bottom - top).select(*KEYS, "band", "height", "width", "top", "rows", F.expr("substring(pixels, top * stride + 1, rows * stride)").alias("pixels"))
+
+
+def _read_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands -> their runs (label, row, first, last; also of one row on each side), their components and the runs that stand in two bands."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            band, height, width, top, rows = (one.column(c)[0].as_py() for c in ("band", "height", "width", "top", "rows"))
+            image = np.frombuffer(one.column("pixels")[0].as_buffer(), dtype=np.uint8).reshape(rows, width, -1)
+            grey = image[..., 0] if image.shape[2] == 1 else np.floor(image[..., :3] @ np.array([0.299, 0.587, 0.114]) + 0.5)
+            first_row, end = band * BAND, min(height, (band + 1) * BAND)
+            # One row more on each side, where the page has it; beyond the page its edge goes on.
+            begin, stop, r = max(0, first_row - 1), min(height, end + 1), LIMITS["window"] // 2
+            padded = np.pad(grey, ((max(0, r - (begin - top)), max(0, stop + r - (top + rows))), (r, r)), mode="edge")
+            skip = max(0, begin - r - top)
+            ink = ink_of(padded[skip : skip + stop - begin + 2 * r])
+            row, first, last, label = runs_of(ink)
+            row = row + begin
+            name = label + (band << 32)
+            core = (row >= first_row) & (row < end)
+            names, at = np.unique(name[core], return_inverse=True)
+            low, high = np.full((len(names), 2), 1 << 30), np.zeros((len(names), 2), dtype=np.int64)
+            for k, (a, b) in enumerate(((first, last), (row, row + 1))):
+                np.minimum.at(low[:, k], at, a[core])
+                np.maximum.at(high[:, k], at, b[core])
+            area = np.bincount(at, weights=(last - first)[core], minlength=len(names)).astype(np.int64)
+            components = [dict(zip(("label", "x0", "y0", "x1", "y1", "area"), x, strict=True)) for x in zip(names.tolist(), low[:, 0].tolist(), low[:, 1].tolist(), high[:, 0].tolist(), high[:, 1].tolist(), area.tolist(), strict=True)]
+            border = ~core | ((row == first_row) & (begin < first_row)) | ((row == end - 1) & (stop > end))
+            shared = [{"y": y, "x": x, "label": n} for y, x, n in zip(row[border].tolist(), first[border].tolist(), name[border].tolist(), strict=True)]
+            runs = np.stack([name, row, first, last]).astype("<i8").tobytes()
+            kinds = [pa.list_(pa.struct([("label", pa.int64()), *[(c, pa.int32()) for c in ("x0", "y0", "x1", "y1")], ("area", pa.int64())])), pa.list_(pa.struct([("y", pa.int32()), ("x", pa.int32()), ("label", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays(
+                [*(one.column(c) for c in (*KEYS, "band", "height", "width")), pa.array([runs], pa.binary()), pa.array([components], kinds[0]), pa.array([shared], kinds[1])],
+                names=[*KEYS, "band", "height", "width", "runs", "components", "shared"],
+            )
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands' runs without those of strokes, opened by squares of two pixels -> runs (y, x0, x1) of the bands' own rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            band, height, width, strokes = (one.column(c)[0].as_py() for c in ("band", "height", "width", "strokes"))
+            name, row, first, last = np.frombuffer(one.column("runs")[0].as_buffer(), dtype="<i8").reshape(4, -1)
+            kept = ~np.isin(name, np.array(strokes or [], dtype=np.int64))
+            top, end = band * BAND, min(height, (band + 1) * BAND)
+            # A frame of one pixel, in which the neighbouring bands' rows stand.
+            step = np.zeros((end - top + 2, width + 3), dtype=np.int8)
+            np.add.at(step, (row[kept] - top + 1, first[kept] + 1), 1)
+            np.add.at(step, (row[kept] - top + 1, last[kept] + 1), -1)
+            ink = step.cumsum(axis=1)[:, :-1].astype(bool)
+            square = ink[:-1, :-1] & ink[1:, :-1] & ink[:-1, 1:] & ink[1:, 1:]
+            framed = np.pad(square, 1)
+            open_ = (framed[:-1, :-1] | framed[1:, :-1] | framed[:-1, 1:] | framed[1:, 1:])[1:-1, 1:-1]
+            y, edge = np.nonzero(np.diff(np.pad(open_, ((0, 0), (1, 1))).astype(np.int8), axis=1))
+            n = len(y) // 2
+            where = pa.array(np.zeros(n, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*(one.column(c).take(where) for c in KEYS), pa.array((y[::2] + top).astype(np.int32)), pa.array(edge[::2].astype(np.int32)), pa.array(edge[1::2].astype(np.int32))], names=[*KEYS, "y", "x0", "x1"])
+
+
+def ink_runs(pages: DataFrame) -> DataFrame:
+    """(file_id, page_no, y, x0, x1): the ink of pages as runs, without strokes and specks."""
+    ids = [f"{k} {pages.schema[k].dataType.simpleString()}" for k in KEYS]
+    shapes = ", ".join([*ids, "band int", "height int", "width int", "runs binary", f"components array<{_COMPONENT}>", "shared array<struct<y:int,x:int,label:long>>"])
+    bands = cut(_band_rows(pages).repartition(*KEYS, "band").mapInArrow(_read_bands, shapes))
+    shared = bands.select(*KEYS, F.explode("shared").alias("s")).select(*KEYS, "s.*")
+    meets = shared.groupBy(*KEYS, "y", "x").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    node = lambda c: F.struct(*KEYS, F.col(c).alias("label"))
+    whole = connected_components(meets.select(node("a").alias("a"), node("b").alias("b")))
+    whole = whole.select(*[F.col(f"node.{k}").alias(k) for k in [*KEYS, "label"]], F.col("component.label").alias("whole"))
+    parts = bands.select(*KEYS, "band", F.explode("components").alias("c")).select(*KEYS, "band", "c.*")
+    # One row for each component of a band; most are of one band.
+    named = parts.join(whole, [*KEYS, "label"], "left").withColumn("whole", F.coalesce("whole", "label"))
+    sizes = named.groupBy(*KEYS, "whole").agg((F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"), F.sum("area").alias("area"))
+    sparse = (F.greatest("w", "h") > LIMITS["large"]) & (F.col("area") < LIMITS["sparse"] * F.col("w") * F.col("h"))
+    line = (F.least("w", "h") <= LIMITS["thin"]) & (F.greatest("w", "h") >= LIMITS["long"])
+    strokes = named.join(sizes.where(sparse | line).select(*KEYS, "whole"), [*KEYS, "whole"]).groupBy(*KEYS, "band").agg(F.collect_list("label").alias("strokes"))
+    left = bands.drop("components", "shared").join(strokes, [*KEYS, "band"], "left")
+    return left.mapInArrow(_opened, ", ".join([*ids, "y int", "x0 int", "x1 int"]))
+
 
-    @F.pandas_udf("array<struct<x0:int,y0:int,x1:int,y1:int>>")
-    def boxes(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-        def one(p: bytes, h: int, w: int) -> list[dict]:
-            image = np.frombuffer(p, dtype=np.uint8).reshape(h, w, -1)
-            return [dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in receipts_on(image, max(8, int(25 * scale)), int(70 * scale))]
+def _gaps(inked: DataFrame, part: list[str], least: int) -> DataFrame:
+    """Inked stretches (part, begin, finish), some of them adjoining -> the gaps between them that are long enough."""
+    before = F.max("finish").over(Window.partitionBy(*part).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    return inked.withColumn("from", before).where(F.col("begin") - F.col("from") >= least).select(*part, F.col("from").alias("gap_from"), F.col("begin").alias("gap_to"))
+
+
+def cut_parts(runs: DataFrame, least_x: int, least_y: int) -> DataFrame:
+    """Boxes (file_id, page_no, x0, y0, x1, y1, ink) by cutting parts at all gaps of the axis with the widest one, level by level."""
+    part = [*KEYS, "part"]
+    live, done = cut(runs.withColumn("part", F.lit("0"))), []
+    for depth in range(LIMITS["deepest"] + 1):
+        length = F.col("x1") - F.col("x0")
+        boxes = live.groupBy(*part).agg(*[F.min(c).alias(f"b{c}") for c in ("x0", "y")], F.max("x1").alias("bx1"), (F.max("y") + 1).alias("by1"), F.sum(length.cast("long")).alias("ink"))
+        boxes = cut(boxes)
+        noise = lambda a, b: F.greatest(F.lit(LIMITS["noise"]), LIMITS["noise_share"] * (F.col(b) - F.col(a)))
+        # Columns: a running sum over the ends of runs.
+        ends = live.select(*part, F.explode(F.array(F.struct(F.col("x0").alias("at"), F.lit(1).alias("step")), F.struct(F.col("x1").alias("at"), F.lit(-1).alias("step")))).alias("e")).groupBy(*part, F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
+        along = Window.partitionBy(*part).orderBy("at")
+        columns = ends.withColumn("n", F.sum("step").over(along)).withColumn("finish", F.lead("at").over(along)).withColumnRenamed("at", "begin").join(boxes, part).where(F.col("n") > noise("by", "by1"))
+        rows = live.groupBy(*part, F.col("y").alias("begin")).agg(F.sum(length).alias("n")).join(boxes, part).where(F.col("n") > noise("bx0", "bx1")).withColumn("finish", F.col("begin") + 1)
+        widths = lambda df, least, axis: _gaps(df.select(*part, "begin", "finish"), part, least).withColumn("axis", F.lit(axis))
+        gaps = cut(widths(columns, least_x, "x").unionByName(widths(rows, least_y, "y")))
+        widest = gaps.groupBy(*part).agg(F.max(F.struct((F.col("gap_to") - F.col("gap_from")).alias("wide"), (F.col("axis") == "x").alias("x"))).alias("best")).select(*part, F.when(F.col("best.x"), "x").otherwise("y").alias("axis"))
+        cuts = gaps.join(widest, [*part, "axis"]).groupBy(*part, "axis").agg(F.array_sort(F.collect_list(F.struct("gap_from", "gap_to"))).alias("gaps"))  # a few for a part
+        if depth == LIMITS["deepest"] or gaps.isEmpty():
+            done.append(boxes)
+            break
+        done.append(boxes.join(cuts, part, "left_anti"))
+        # Pieces between the gaps; what stands in a gap, or in a sliver, is noise.
+        low, high = F.when(F.col("axis") == "x", F.col("bx0")).otherwise(F.col("by")), F.when(F.col("axis") == "x", F.col("bx1")).otherwise(F.col("by1"))
+        begins, ends_ = F.concat(F.array(low), F.transform("gaps", lambda g: g["gap_to"])), F.concat(F.transform("gaps", lambda g: g["gap_from"]), F.array(high))
+        pieces = F.filter(F.arrays_zip(begins.alias("a"), ends_.alias("b")), lambda p: p["b"] - p["a"] >= LIMITS["least_part"])
+        pieces = cuts.join(boxes, part).withColumn("pieces", pieces).select(*part, "axis", "pieces")
+        split = live.join(pieces, part).select(*part, "axis", "y", "x0", "x1", F.posexplode("pieces").alias("k", "p"))
+        x = F.col("axis") == "x"
+        inside = F.when(x, (F.col("x0") < F.col("p.b")) & (F.col("x1") > F.col("p.a"))).otherwise((F.col("y") >= F.col("p.a")) & (F.col("y") < F.col("p.b")))
+        clipped = split.where(inside).withColumn("x0", F.when(x, F.greatest("x0", "p.a")).otherwise(F.col("x0"))).withColumn("x1", F.when(x, F.least("x1", "p.b")).otherwise(F.col("x1")))
+        live = cut(clipped.select(*KEYS, "y", "x0", "x1", F.concat_ws(".", "part", "k").alias("part")))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found.select(*KEYS, F.col("bx0").alias("x0"), F.col("by").alias("y0"), F.col("bx1").alias("x1"), F.col("by1").alias("y1"), "ink")
+
+
+def _hull(a: tuple, b: tuple) -> tuple:
+    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+
+
+def joined_columns(boxes: list[tuple], gap: float) -> list[tuple]:
+    """Boxes one above the other, no further apart than ``gap``, as one: of all such pairs the one furthest left and up goes first."""
+    live, queue = set(boxes), []
+
+    def offer(a: tuple, b: tuple) -> None:
+        a, b = min(a, b), max(a, b)
+        if min(a[2], b[2]) - max(a[0], b[0]) >= LIMITS["column_share"] * min(a[2] - a[0], b[2] - b[0]) and max(a[1], b[1]) - min(a[3], b[3]) <= gap:
+            heapq.heappush(queue, (a, b))
+
+    for i, a in enumerate(boxes):
+        for b in boxes[:i]:
+            offer(a, b)
+    while queue:
+        a, b = heapq.heappop(queue)
+        if a in live and b in live:
+            live -= {a, b}
+            both = _hull(a, b)
+            for c in live - {both}:
+                offer(both, c)
+            live.add(both)
+    return sorted(live)
+
+
+def joined_scraps(boxes: list[tuple], gap: float) -> list[tuple]:
+    """Boxes too low for a receipt as part of the nearest one that isn't, within ``gap``; the first one that has such goes first."""
+    box = np.array(boxes, dtype=np.int64).reshape(-1, 4)
+    while True:
+        small = box[:, 3] - box[:, 1] < LIMITS["small_height"]
+        s, h = np.flatnonzero(small), np.flatnonzero(~small)
+        far = sum(np.maximum(0, np.maximum(box[s, None, k], box[None, h, k]) - np.minimum(box[s, None, k + 2], box[None, h, k + 2])) for k in (0, 1))
+        if not far.size or not (far.min(axis=1) <= gap).any():
+            return [tuple(b) for b in box.tolist()]
+        i = int(np.argmax(far.min(axis=1) <= gap))
+        host = h[far[i].argmin()]
+        box[host] = _hull(tuple(box[host]), tuple(box[s[i]]))
+        box = np.delete(box, s[i], axis=0)
+
+
+def segment_images(pages: DataFrame, dpi: int = 200, dilate: int = 25, merge_gap: int = 70) -> DataFrame:
+    """(file_id, page_no, region_no, x0, y0, x1, y1): receipts of pages with height, width and pixels (grey or RGB bytes), in reading order.
+
+    Pages without pixels or of no height have none; pages are told apart by file_id and page_no.
+    """
+    scale = dpi / 200
+    gap = int(merge_gap * scale)
+    # Images move once, as bands.
+    runs = ink_runs(pages.where(F.col("pixels").isNotNull() & (F.col("height") > 0) & (F.col("width") > 0)))
+    boxes = cut_parts(runs, int(max(8, int(dilate * scale)) * LIMITS["gap_share"]), gap)
+    wide = (F.col("x1") - F.col("x0") > LIMITS["least_width"]) & (F.col("y1") - F.col("y0") > LIMITS["least_height"]) & (F.col("ink") > LIMITS["least_ink"])
 
-        return pd.Series([one(*x) for x in zip(pixels, height, width, strict=True)])
+    def joined(own: pd.DataFrame) -> pd.DataFrame:
+        found = joined_scraps(joined_columns(list(own[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), gap), 2 * gap)
+        out = pd.DataFrame(found, columns=["x0", "y0", "x1", "y1"])
+        for k in reversed(KEYS):
+            out.insert(0, k, own[k].iloc[0])
+        return out
 
-    found = pages.where(F.col("pixels").isNotNull()).select("file_id", "page_no", F.posexplode(boxes("pixels", "height", "width")).alias("n", "b"))
-    return found.select("file_id", "page_no", (F.col("n") + 1).alias("region_no"), "b.*")
+    kinds = ", ".join([f"{k} {pages.schema[k].dataType.simpleString()}" for k in KEYS] + [f"{c} int" for c in ("x0", "y0", "x1", "y1")])
+    # A page's boxes are few.
+    settled = boxes.where(wide).select(*KEYS, "x0", "y0", "x1", "y1").groupBy(*KEYS).applyInPandas(joined, kinds)
+    return column_major(settled, KEYS).select(*KEYS, F.col("place").alias("region_no"), "x0", "y0", "x1", "y1")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import CARD_SLIP_WORDS, LinkSettings
 from ..functions import dates, money, text
-from ..operators import classify, consensus, layout, linkage, records, review, rows
+from ..operators import classify, consensus, layout, linkage, raster, records, review, rows
 from ..operators.components import connected_components
 from ..operators.lineage import spread
 from ..streaming import links
-from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, PIECED_SQL, RECEIPTS_SQL, dated_records, drawn_lines, event_records, order_amounts, order_records, pieced_lines, receipt_rows, table
+from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, PIECED_SQL, RECEIPTS_SQL, dated_records, drawn_lines, drawn_pages, event_records, order_amounts, order_records, pieced_lines, receipt_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -472,6 +472,15 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.segment_text_lines(lines).select("file_id", "line_no", "region_no")
 
 
+@query(
+    """SELECT CAST(s_suppkey AS VARCHAR) AS file_id, r AS region_no, CASE r WHEN 1 THEN 40 ELSE 420 END AS x0, CASE r WHEN 1 THEN 20 ELSE 30 END AS y0,
+    CASE r WHEN 1 THEN 314 ELSE 694 END AS x1, CASE WHEN r = 1 THEN 296 WHEN s_suppkey % 2 = 1 THEN 456 ELSE 282 END AS y1 FROM supplier, (VALUES (1), (2)) t(r)"""
+)
+def ink_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts found by the ink of page images: folds are no ink, a foot that is set off goes to the receipt above."""
+    return raster.segment_images(spread(drawn_pages(spark, sf_dir))).drop("page_no")
+
+
 @query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, CAST(slot AS INTEGER) AS region_no, CAST(CASE WHEN k % 2 = 0 THEN 8 ELSE 9 END AS BIGINT) AS n FROM d GROUP BY ALL")
 def edge_bleed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of nine lines the one that stands outside the frame goes; where it is inside, it stays."""

@@ -200,3 +200,20 @@ PIECED_SQL = f"""
 SELECT CAST(o_orderkey // 3 AS VARCHAR) AS file_id, CAST(o_orderkey % 3 * 100 + i AS INTEGER) AS line_no, o_orderkey % 3 AS slot, i
 FROM orders, range({len(PIECES)}) t(i) WHERE (i <> 11 OR o_orderkey % 2 = 0) AND (i <> 12 OR o_orderkey % 5 = 0)
 """
+
+
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grey image for each supplier: two receipts of small strokes; every third page has a fold between them, every second a foot set off below the right one."""
+    k, width, height = F.col("s_suppkey"), 760, 480
+    white = lambda n: F.lit("FF" * n)
+    strokes = F.lit(("00" * 8 + "FF" * 6) * 19 + "00" * 8)
+    line = lambda y, top, n: (y >= top) & (y < top + 24 * n) & (F.pmod(y - top, F.lit(24)) < 12)
+
+    def row(y):
+        left = F.when(line(y, 20, 12), strokes).otherwise(white(274))
+        right = F.when(line(y, 30, 11) | ((k % 2 == 1) & line(y, 372, 4)), strokes).otherwise(white(274))
+        fold = F.when(k % 3 == 0, F.lit("FF" * 51 + "00" * 3 + "FF" * 52)).otherwise(white(106))
+        return F.concat(white(40), left, fold, right, white(66))
+
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), row), ""))
+    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.lit(height).alias("height"), F.lit(width).alias("width"), pixels.alias("pixels"))

@@ -1,11 +1,10 @@
 """Layout on drawn pages, the whole plan, sinks, sources and streams."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import Settings, TemplateSettings, load
-from ledgerloom.operators import layout, raster
+from ledgerloom.operators import layout
 from ledgerloom.plans import extraction
 from ledgerloom.schema import LINE
 from ledgerloom.sources import files, workbook
@@ -55,7 +54,6 @@ def test_order_and_gaps(spark):
     boxes = [(100.0, 0.0, 180.0, 10.0), (0.0, 50.0, 80.0, 60.0), (0.0, 0.0, 80.0, 10.0), (110.0, 50.0, 170.0, 60.0)]
     df = spark.createDataFrame([("f", k, *b) for k, b in enumerate(boxes)], "file_id string, k int, x0 double, y0 double, x1 double, y1 double")
     assert [r.k for r in layout.column_major(df, ["file_id"]).orderBy("place").collect()] == [2, 1, 0, 3]
-    assert raster.reading_order(np.array(boxes)) == [2, 1, 0, 3]
     spans = spark.createDataFrame([("f", 0.0, 10.0), ("f", 50.0, 60.0), ("f", 52.0, 70.0)], "file_id string, x0 double, x1 double")
     found = lambda most: [(r.begin, r.finish) for r in layout.quiet_stretches(spans, ["file_id"], "x", F.lit(most)).orderBy("begin").collect()]
     assert found(0) == [(10.0, 50.0)] and found(1) == [(0.0, 52.0)]
@@ -90,19 +88,6 @@ def test_many_pages_at_once(spark):
     assert {v for k, v in together.items() if k[0] == "f0"} == {None}
 
 
-def test_ink(spark):
-    image = np.full((900, 1200, 3), 255, dtype=np.uint8)
-    for left in (50, 650):
-        for y in range(50, 750, 24):
-            for x in range(left, left + 400, 14):
-                image[y : y + 12, x : x + 8] = 0
-    image[:, 598:601] = 0  # a fold between the receipts
-    boxes = raster.receipts_on(image)
-    assert len(boxes) == 2 and boxes[0][0] < 60 and boxes[1][0] > 640
-    pages = spark.createDataFrame([("f", 1, 900, 1200, bytearray(image.tobytes()))], "file_id string, page_no int, height int, width int, pixels binary")
-    assert [r.region_no for r in raster.segment_images(pages).orderBy("region_no").collect()] == [1, 2]
-
-
 def test_whole_plan(two):
     done = extraction.finish(extraction.extract(two)).orderBy("invoice_date").collect()
     assert [(r.invoice_date, float(r.total_incl_tax), r.confidence, r.status) for r in done] == [("2026-03-07", 115.0, "high", "ok"), ("2026-03-08", 115.01, "high", "ok")]
