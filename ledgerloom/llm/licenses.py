@@ -57,6 +57,12 @@ IDENTIFIERS = {
     "CC-BY-NC-4.0": "cc-by-nc",
 }
 
+#: A tag with its expression, and the operators and names in one.
+_TAG = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)")
+_NAMES = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+_JOINS = frozenset(["and", "or"])
+_ENDINGS = re.compile(r"(?i)(\+|-only|-or-later)$")
+
 #: Public licence texts and notices: (label, mandatory key phrase, text).  Disclaimers, which licences share, are left out.
 NOTICES = [
     ("mit", "the mit license", "released under the MIT License"),
@@ -136,6 +142,31 @@ def words_of(text: str) -> list[bytes]:
     return _WORDS.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
+def tagged_labels(text: str, identifiers: dict[str, str]) -> set[str] | None:
+    """Labels of all names in the SPDX expressions of a text, exceptions after WITH left out; null if it has no tag.
+
+    A name counts as a whole: BSD-3-Clause-Clear isn't BSD-3-Clause.  An expression
+    ends where two names stand without an operator between them.
+    """
+    known = {name.lower(): label for name, label in identifiers.items()}
+    out: set[str] | None = None
+    for expression in _TAG.findall(text):
+        out = set() if out is None else out
+        wanted, exception = True, False
+        for name in _NAMES.findall(expression.lower()):
+            if name in _JOINS or name == "with":
+                wanted, exception = True, name == "with"
+            elif not wanted:
+                break
+            else:
+                wanted = False
+                bare = _ENDINGS.sub("", name.rstrip("."))
+                if not exception and bare in known:
+                    out.add(known[bare])
+                exception = False
+    return out
+
+
 def templates_of(notices: list[tuple[str, str, str]], identifiers: dict[str, str]) -> list[tuple[str, list[bytes], list[bytes]]]:
     """(label, key phrase, words) of the notices and of a tag for each identifier."""
     tags = [(label, f"identifier {name}", f"SPDX-License-Identifier: {name}") for name, label in identifiers.items()]
@@ -171,8 +202,9 @@ def in_order(template: list[bytes], window: list[bytes]) -> int:
 class Index:
     """Postings of template words with their IDF over files."""
 
-    def __init__(self, templates: list[tuple[str, list[bytes], list[bytes]]], base: dict[str, str], idf: dict[bytes, float] | None = None) -> None:
+    def __init__(self, templates: list[tuple[str, list[bytes], list[bytes]]], base: dict[str, str], idf: dict[bytes, float] | None = None, identifiers: dict[str, str] | None = None) -> None:
         self.templates = templates
+        self.identifiers = IDENTIFIERS if identifiers is None else identifiers
         self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for t, (_, key, words) in enumerate(templates):
             if not any(words[i : i + len(key)] == key for i in range(len(words))):
@@ -225,7 +257,7 @@ class Index:
         present = self.vocabulary.intersection(words)
         base = [(phrase, label) for (phrase, label), needed in zip(self.base, self.needed, strict=True) if needed <= present or needed <= set(words)]
         live = {t for t, key in enumerate(self.keys) if key <= present}
-        if not base and not live:
+        if not base and not live and b"spdx" not in present:
             return Scan(len(words), 0, None, None, [], [], 0.0)
         places: dict[bytes, list[int]] = defaultdict(list)
         wanted = present | {phrase[0] for phrase, _ in base}
@@ -240,11 +272,18 @@ class Index:
                 starts += hits
                 found.add(label)
         labels, best = set(found), 1.0 if found else 0.0
+        tags: set[str] = set()
         for t, start in sorted(self.alignments({w: places[w] for w in present}, live)):
             score = self.verified(words, t, start)
             if score >= LEAST_SCORE:
-                labels.add(self.templates[t][0])
+                label, key, _ = self.templates[t]
+                (tags if key[0] == b"identifier" else labels).add(label)
                 best = max(best, score)
+        if b"spdx" in present:
+            # A tag's names are read from its expression, of which a template knows only a beginning.
+            named = tagged_labels(text, self.identifiers)
+            labels |= tags if named is None else named
+            best = max(best, 1.0 if named else 0.0)
         return Scan(len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(found), sorted(labels), best)
 
 
@@ -286,7 +325,7 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str, str]] | None =
     idf = file_idf(docs, frozenset(w for _, _, words in templates for w in words), text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates, base, idf)
+        index = Index(templates, base, idf, identifiers)
         for batch in batches:
             found = [index.scan(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -56,6 +56,8 @@ STEM_LENGTHS = (3, 9)
 LEAST_TOXIC, LEAST_LIFT, LEAST_Z = 5, 2.5, 5.0
 
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
+#: Typographic apostrophes, which are read as the plain one.
+_APOSTROPHES = str.maketrans({"\u2019": "'", "\u02bc": "'"})
 #: Words as they are counted for a text's length.
 _QUICK = re.compile(rb"[a-z\x80-\xff']+")
 
@@ -250,14 +252,17 @@ class Grammar:
 
     def clauses(self, low: str) -> list[float]:
         """Weights of the matched clauses of a lower-cased text."""
-        return [float(m @ self.kinds) for m in self.matches(_TOKENS.findall(low))]
+        return [float(m @ self.kinds) for m in self.matches(self.tokens(low))]
+
+    def tokens(self, low: str) -> list[str]:
+        return _TOKENS.findall(low if low.isascii() else low.translate(_APOSTROPHES))
 
     def read(self, text: str) -> tuple[list[np.ndarray], int]:
         """The matches of each clause, and the number of words."""
         low = text.lower()
         n = max(1, len(_QUICK.findall(low.encode("utf-8", "surrogatepass"))))
         # The automaton's own words decide: a sign that is glued to a word is no part of it.
-        return self.matches(_TOKENS.findall(low)), n
+        return self.matches(self.tokens(low)), n
 
     def features(self, text: str) -> list[float]:
         """Logarithms of the sum and the largest of the clauses' weights, of the weight a hundred words and of the words."""

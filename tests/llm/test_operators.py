@@ -361,6 +361,7 @@ def test_op4_grammar():
     assert weigh("killing you") == weigh("i will kill you") > weigh("i will never kill you") > 0
     assert weigh("i will kill or, not, hurt you") == weigh("i will kill you")  # a negated verb takes no plain one back
     assert len(g.clauses("idiot. idiot")) == 2
+    assert weigh("you aren\u2019t an idiot.") == weigh("you aren't an idiot.") < weigh("you are an idiot.")
 
 
 def brute_matches(classes):
@@ -589,6 +590,10 @@ def test_op7_licences(spark, documents, nothing):
         "licensed under the GNU General Public License, version 3.": (9, 0, None, None, "", "gpl-3"),
         "ünder the mit license": (4, 0, None, None, "", "mit"),
         "// SPDX-License-Identifier: GPL-3.0-only": (7, 0, None, None, "", "gpl-3"),
+        "SPDX-License-Identifier: MIT OR Apache-2.0": (8, 0, None, None, "", "apache-2,mit"),
+        "SPDX-License-Identifier: (Apache-2.0 OR MIT)\nno": (9, 0, None, None, "", "apache-2,mit"),
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause": (17, 0, None, None, "", "bsd-3,gpl-2"),
+        "SPDX-License-Identifier: BSD-3-Clause-Clear": (7, 0, None, None, "", ""),
         "Licensed under GPLv3, see there": (5, 0, None, None, "", "gpl-3"),
         "This is not the MIT license": (6, 0, None, None, "", ""),
         "not released under the MIT license": (6, 1, 2, 2, "mit", "mit"),
