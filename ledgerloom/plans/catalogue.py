@@ -380,6 +380,7 @@ def row_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("last_amount").cast("double").alias("amount"))
 
 
+# Fixed values, in the SQL of doc_kind and id_row_filter: what marks a card, the kinds of invoices and rows of identifiers.
 _SLIP_WORDS = ", ".join(f"'{w}'" for w in CARD_SLIP_WORDS)
 
 

@@ -20,17 +20,19 @@ from . import extraction
 class Adapters:
     """What this engine has no libraries for; each runs in the workers.
 
-    engine: lines of an image.  reader: pages of a document (see
+    engine: lines of an image; or factory: a module's function that makes such an
+    engine, called once in each worker.  reader: pages of a document (see
     ``files.document_pages``).  decode: (height, width, RGB bytes) of an image, for
     pages on which receipts are told apart by their ink.  crop: the image of a part (x0,
     y0, x1, y1) of an image, turned by an angle and enlarged by a factor, and the
     engine's lines of it in the page's pixels, for a second, finer recognition.
     """
 
-    engine: Callable[[bytes], list[dict]]
+    engine: Callable[[bytes], list[dict]] | None = None
     reader: Callable[[bytes], Iterable[dict]] | None = None
     decode: Callable[[bytes], tuple[int, int, bytes]] | None = None
     crop: Callable[[bytes, tuple[float, float, float, float], float, float], list[dict]] | None = None
+    factory: Callable[[], Callable[[bytes], list[dict]]] | None = None
 
 
 @dataclass
@@ -111,13 +113,13 @@ def placed_lines(lines: DataFrame, pages: DataFrame, adapters: Adapters, setting
 
     def decoded(batches):
         for batch in batches:
-            out = []
             for file_id, page_no, content in batch[["file_id", "page_no", "content"]].itertuples(index=False):
                 try:
-                    out.append((file_id, page_no, *decode(bytes(content))))
+                    page = (file_id, page_no, *decode(bytes(content)))
                 except Exception:  # such a page is one region
-                    pass
-            yield pd.DataFrame(out, columns=["file_id", "page_no", "height", "width", "pixels"])
+                    continue
+                # One page's pixels at a time.
+                yield pd.DataFrame([page], columns=["file_id", "page_no", "height", "width", "pixels"])
 
     drawn = pages.join(rest.select(*layout.PAGE).distinct(), layout.PAGE, "left_semi").select("file_id", "page_no", "content")
     boxes = raster.segment_images(drawn.mapInPandas(decoded, "file_id string, page_no int, height int, width int, pixels binary"), settings.dpi)
@@ -147,7 +149,7 @@ def process_folder(spark: SparkSession, folder: str, adapters: Adapters, setting
         read = documents.select(F.col("path").alias("file_id"), F.lit(None).cast("int").alias("page_no"), F.lit(None).cast(files.PAGE_WORDS).alias("layer"), F.lit(None).cast("binary").alias("content"), F.lit("no reader for documents").alias("error"))
     pages = cut(_seen(images.unionByName(read), "pages", observed))
     to_read = pages.where("error is null and layer is null")
-    recognised = cut(_seen(files.recognised_lines(to_read, adapters.engine), "lines", observed))
+    recognised = cut(_seen(files.recognised_lines(to_read, adapters.engine, factory=adapters.factory), "lines", observed))
     ocr = placed_lines(recognised.where("error is null").drop("error"), to_read, adapters, settings)
     text = rows.usable_lines(files.layer_lines(pages))
     text = layout.segment_text_lines(text).where("region_no is not null") if settings.segment else text.withColumn("region_no", F.lit(1))
@@ -198,7 +200,10 @@ def force_split(enriched: DataFrame, record_id: str, region: DataFrame, parts: i
             for r in batch.itertuples(index=False):
                 bands = review.bands(int(r.x1 - r.x0), int(r.y1 - r.y0), parts)
                 for band, (x0, y0, x1, y1) in enumerate(bands):
-                    found = crop(bytes(r.content), (r.x0 + x0, r.y0 + y0, r.x0 + x1, r.y0 + y1), 0.0, 1.0)
+                    try:
+                        found = crop(bytes(r.content), (r.x0 + x0, r.y0 + y0, r.x0 + x1, r.y0 + y1), 0.0, 1.0)
+                    except Exception:  # a band that can't be read has no lines
+                        continue
                     out += [(r.file_id, r.page_no, r.region_no, band, n, x["text"], x["x0"], x["y0"], x["x1"], x["y1"], x.get("angle"), x.get("score")) for n, x in enumerate(found)]
             yield pd.DataFrame(out, columns=[*REGION, "part", "line_no", "text", "x0", "y0", "x1", "y1", "angle", "score"])
 

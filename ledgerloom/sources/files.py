@@ -134,13 +134,13 @@ def document_pages(files: DataFrame, reader: Callable[[bytes], Iterable[dict]],
         return [dict(w) for w in page["layer"]()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file_id", "page_no", "layer", "content", "error"]
         for batch in batches:
-            out = []
             for path, content in batch[["path", "content"]].itertuples(index=False):
                 try:
                     pages = list(reader(bytes(content)))
                 except Exception as e:
-                    out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+                    yield pd.DataFrame([(path, None, None, None, f"{type(e).__name__}: {e}")], columns=names)
                     continue
                 try:
                     layers = [layer_of(p) for p in pages] if prefer_text_layer else [None] * len(pages)
@@ -149,10 +149,11 @@ def document_pages(files: DataFrame, reader: Callable[[bytes], Iterable[dict]],
                 for n, (page, layer) in enumerate(zip(pages, layers, strict=True), 1):
                     enough = layer is not None and sum(len(w["text"].strip()) for w in layer) >= LEAST_LAYER
                     try:
-                        out.append((path, n, layer if enough else None, None if enough else page["draw"](), None))
+                        row = (path, n, layer if enough else None, None if enough else page["draw"](), None)
                     except Exception as e:
-                        out.append((path, n, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["file_id", "page_no", "layer", "content", "error"])
+                        row = (path, n, None, None, f"{type(e).__name__}: {e}")
+                    # One drawn page at a time.
+                    yield pd.DataFrame([row], columns=names)
 
     return files.select("path", "content").mapInPandas(run, DRAWN_PAGE)
 

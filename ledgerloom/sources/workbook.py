@@ -202,28 +202,45 @@ def template_books(records: DataFrame, keys: list[str], order: list[str], templa
     return needed.groupBy(*keys, "book").applyInPandas(make, f"{kinds}, book int, n int, content binary")
 
 
+def _review_sheet(records: Iterable[dict]) -> bytes:
+    letters = [chr(65 + i) for i in range(len(REVIEW_COLUMNS) + 1)]
+    images: list[tuple[int, int, bytes]] = []
+    written = [_row(1, [(c, h, 1) for c, h in zip(letters, [*[HEADERS[f] for f in REVIEW_COLUMNS], CROP_HEADER], strict=True)])]
+    for n, r in enumerate(records, 2):
+        notes = r["notes"] if r["notes"] is not None else []
+        values = [KINDS.get(r[f], "") if f == "doc_kind" else "; ".join(notes) if f == "notes" else r[f] for f in REVIEW_COLUMNS]
+        height = None
+        if r.get("crop") and (size := image_size(bytes(r["crop"]))):
+            images.append((len(REVIEW_COLUMNS), n - 1, bytes(r["crop"])))
+            height = max(CROP_HEIGHT, size[2] * min(1.0, CROP_WIDTH / max(size[1], 1)) * 0.75)
+        written.append(_row(_bounded(n, 1), [(c, v, _FILLS.get(r["colour"], 0)) for c, v in zip(letters, values, strict=False)], height))
+    return _book("复核", written, images)
+
+
 def review_book(records: DataFrame) -> bytes:
-    """The review sheet: eleven fields and the crop, red and yellow rows by the ``colour`` column.
+    """The review sheet of a few records as one file: eleven fields and the crop, red and yellow rows by the ``colour`` column.
 
     A ``crop`` column holds PNG or JPEG bytes; null or others leave the place empty.
+    Rows come through the driver; ``review_books`` makes as many sheets as are needed, in tasks.
     """
-    letters = [chr(65 + i) for i in range(len(REVIEW_COLUMNS) + 1)]
-    images: list[tuple[int, int, bytes]] = []
-    with_crop = "crop" in records.columns
-
-    def rows() -> Iterable[str]:
-        yield _row(1, [(c, h, 1) for c, h in zip(letters, [*[HEADERS[f] for f in REVIEW_COLUMNS], CROP_HEADER], strict=True)])
-        for n, r in enumerate(records.select(*REVIEW_COLUMNS, "colour", *(["crop"] if with_crop else [])).toLocalIterator(), 2):
-            style = _FILLS.get(r.colour, 0)
-            values = [KINDS.get(r[f], "") if f == "doc_kind" else "; ".join(r[f] or []) if f == "notes" else r[f] for f in REVIEW_COLUMNS]
-            height = None
-            if with_crop and r.crop and (size := image_size(bytes(r.crop))):
-                images.append((len(REVIEW_COLUMNS), n - 1, bytes(r.crop)))
-                height = max(CROP_HEIGHT, size[2] * min(1.0, CROP_WIDTH / max(size[1], 1)) * 0.75)
-            yield _row(_bounded(n, 1), [(c, v, style) for c, v in zip(letters, values, strict=False)], height)
-
-    written = list(rows())
-    return _book("复核", written, images)
+    shown = records.select(*REVIEW_COLUMNS, "colour", *(["crop"] if "crop" in records.columns else []))
+    return _review_sheet(r.asDict() for r in shown.toLocalIterator())
+
+
+def review_books(records: DataFrame, keys: list[str], order: list[str], most: int = 500) -> DataFrame:
+    """(keys, book, n, content): review sheets of at most ``most`` records of one batch each, made in tasks, by ``order``."""
+    fields = [*REVIEW_COLUMNS, "colour", *(["crop"] if "crop" in records.columns else [])]
+    placed = records.withColumn("book_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn("book", F.floor(F.col("book_row") / most).cast("int"))
+    kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
+
+    def make(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("book_row")
+        plain = lambda v: v if isinstance(v, (bytes, bytearray)) or hasattr(v, "__len__") else None if v is None or v != v else v
+        content = _review_sheet({f: plain(v) for f, v in zip(fields, values, strict=True)} for values in batch[fields].itertuples(index=False, name=None))
+        return batch[[*keys, "book"]].head(1).reset_index(drop=True).assign(n=len(batch), content=content)
+
+    needed = placed.select(*dict.fromkeys([*keys, "book", "book_row", *fields]))
+    return needed.groupBy(*keys, "book").applyInPandas(make, f"{kinds}, book int, n int, content binary")
 
 
 def read_book(data: bytes) -> dict[str, str]:

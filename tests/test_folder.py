@@ -125,6 +125,8 @@ def test_forced_split_and_crops(spark, tmp_path):
     page = spark.createDataFrame([(before[0].file_id, 1, 1, bytearray(two), 0.0, 0.0, 400.0, 600.0)], "file_id string, page_no int, region_no int, content binary, x0 double, y0 double, x1 double, y1 double")
     kept = spark.createDataFrame(before, batch.records.schema)
     after = folder.force_split(kept, before[0].record_id, page, 2, adapters).collect()
+    failing = folder.Adapters(engine, crop=lambda *a: 1 / 0)
+    assert folder.force_split(kept, before[0].record_id, page, 2, failing).count() == len(before)
     gone = {r.record_id for r in before} - {r.record_id for r in after}
     assert gone == {before[0].record_id}
     assert {float(r.total_incl_tax) for r in after if r.record_id.startswith(before[0].record_id + "#")} == {20.0, 30.0}
