@@ -32,6 +32,8 @@ class LinkSettings:
     enabled: bool = True
     mode: str = "skip"
     date_tolerance_days: int = 0
+    #: Readings that a note names; of more, the rest is a number.
+    most_named: int = 100
 
     def __post_init__(self) -> None:
         if self.mode not in ("skip", "mark"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SUSPECT_GAP_DAYS, TIP_RATIO_PERCENT, LinkSettings
@@ -62,6 +62,11 @@ def _classes(keys: DataFrame, scope: list[str]) -> DataFrame:
     return found.select("id", "n", "reading", "reading.*")
 
 
+def _band(cents: str) -> Column:
+    """Amounts of one band differ by less than the ratio of a tip; those that may be a bill and its slip are of one band or two neighbouring ones."""
+    return F.floor(F.log(F.greatest(F.col(cents), F.lit(1)).cast("double")) / F.log(F.lit(TIP_RATIO_PERCENT / 100)))
+
+
 def _class_pairs(classes: DataFrame, tolerance: int, scope: list[str]) -> DataFrame:
     """(a, b, verdict, gap) of classes a < b with a verdict, by three exact blockings."""
     days = max(tolerance, SUSPECT_GAP_DAYS)
@@ -76,14 +81,81 @@ def _class_pairs(classes: DataFrame, tolerance: int, scope: list[str]) -> DataFr
     # Equal amounts, one without a date: on either side.
     undated = left.where(F.size("l_dates") == 0).withColumn("cents", around("l_cents", 1)).join(right.withColumn("cents", F.col("r_cents")), [*scope, "cents"]).drop("cents")
     undated_right = left.where(F.size("l_dates") > 0).withColumn("cents", around("l_cents", 1)).join(right.where(F.size("r_dates") == 0).withColumn("cents", F.col("r_cents")), [*scope, "cents"]).drop("cents")
-    # Unequal amounts of different kinds: at most one band of the ratio apart.
-    band = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / F.log(F.lit(TIP_RATIO_PERCENT / 100)))
-    banded = left_day.withColumn("own", band("l_cents")).withColumn("band", around("own", 1)).drop("own")
-    unequal = banded.join(right_day.withColumn("band", band("r_cents")), [*scope, "day", "band"]).where((F.col("l_kind") != F.col("r_kind")) & (F.abs(F.col("l_cents") - F.col("r_cents")) > 1)).drop("day", "band")
-    every = dated.unionByName(undated).unionByName(undated_right).unionByName(unequal).where(F.col("l_id") < F.col("r_id"))
+    # Unequal amounts of different kinds, on near days: a tip on the card by band of the ratio, one in cash by the printed total.
+    bills, slips = left_day.where("l_kind = 'invoice'"), right_day.where("r_kind = 'card_slip'")
+    on_card = bills.withColumn("band", F.explode(F.array(_band("l_cents"), _band("l_cents") + 1))).join(slips.withColumn("band", _band("r_cents")), [*scope, "day", "band"]).drop("day", "band")
+    in_cash = bills.where("l_printed is not null").withColumn("cents", around("l_printed", 1)).join(slips.withColumn("cents", F.col("r_cents")), [*scope, "cents", "day"]).drop("cents", "day")
+    unequal = on_card.unionByName(in_cash).where(F.abs(F.col("l_cents") - F.col("r_cents")) > 1)
+    every = dated.unionByName(undated).unionByName(undated_right).where(F.col("l_id") < F.col("r_id")).unionByName(unequal)
     judged = every.withColumn("verdict", verdict(tolerance)).where(F.col("verdict").isNotNull())
     # A pair may meet on several days or cents.
-    return judged.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "verdict", gap_days(F.col("l_dates"), F.col("r_dates")).alias("gap")).distinct()
+    return judged.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), "verdict", gap_days(F.col("l_dates"), F.col("r_dates")).alias("gap")).distinct()
+
+
+def duplicate_edges(classes: DataFrame, tolerance: int, scope: list[str]) -> DataFrame:
+    """(a, b): edges whose components are those of all pairs of classes with the verdict dup, but no more than a few for each class.
+
+    Classes of one day and amount are one transaction, so each is tied to the smallest of
+    its cell only, and cells to the cells beside them.  Undated bills and slips of about
+    one amount are tied to one of the other kind, and that one to all of these.  The
+    slips that a bill with its tip may stand for are one range of sorted amounts: a sweep
+    ties the bill to the first slip of its range, and a slip to the next one if a range
+    holds both.  Sweeps run by scope, day and band over different amounts, not records.
+    """
+    known = classes
+    for c in scope:
+        known = known.where(F.col(c).isNotNull())
+    known = known.select(*scope, "id", "kind", "cents", "printed", "dates")
+    cell = [*scope, "day", "cents"]
+    dated = known.withColumn("day", F.explode("dates")).drop("dates")
+    only = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("id")))
+    cells = cut(dated.groupBy(*cell).agg(F.min("id").alias("least"), only("invoice").alias("bill"), only("card_slip").alias("slip")))
+    own = dated.join(cells, cell).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    steps = [(0, k) for k in range(1, tolerance + 1)] + [(1, k) for k in range(-tolerance, tolerance + 1)]
+    beside = F.explode(F.array(*[F.struct(F.lit(c).alias("cents"), F.lit(k).alias("days")) for c, k in steps]))
+    shifted = cells.withColumn("step", beside).select(*scope, F.date_add("day", F.col("step.days")).alias("day"), (F.col("cents") + F.col("step.cents")).alias("cents"), F.col("least").alias("a"))
+    next_to = shifted.join(cells, cell).select("a", F.col("least").alias("b"))
+    # Without a date: bills and slips only.
+    around = lambda c: F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)]))
+    either = known.where(F.col("kind").isin("invoice", "card_slip")).withColumn("other", F.when(F.col("kind") == "invoice", "card_slip").otherwise("invoice"))
+    first = lambda rows, name: rows.groupBy(*scope, "cents", F.col("kind").alias("other")).agg(F.min("id").alias(name))
+    bare = either.where(F.size("dates") == 0)
+    asking = lambda rows: rows.select(*scope, "other", F.col("id").alias("a"), around("cents").alias("cents"))
+    to_bare = asking(either).join(first(bare, "b"), [*scope, "cents", "other"]).select("a", "b")
+    from_bare = asking(bare).join(first(either, "b"), [*scope, "cents", "other"]).select("a", "b")
+    # A tip on the card: slips from a cent more up to the ratio.
+    days = F.explode(F.array(*[F.date_add("day", F.lit(k)) for k in range(-tolerance, tolerance + 1)]))
+    ranges = cells.where("bill is not null and cents > 0").select(*scope, days.alias("day"), (F.col("cents") + 1).alias("at"), F.floor(F.col("cents") * TIP_RATIO_PERCENT / 100).cast("long").alias("upto"), F.col("bill").alias("id")).where("at <= upto")
+    ranges = ranges.withColumn("band", F.explode(F.sequence(_band("at"), _band("upto")))).withColumn("is_slip", F.lit(False))
+    points = cells.where("slip is not null").select(*scope, "day", F.col("cents").alias("at"), F.lit(None).cast("long").alias("upto"), F.col("slip").alias("id"), _band("cents").alias("band"), F.lit(True).alias("is_slip"))
+    swept = Window.partitionBy(*scope, "day", "band")
+    rising, falling = swept.orderBy("at", "is_slip"), swept.orderBy(F.desc("at"), F.desc("is_slip"))
+    following = F.last(F.when(F.col("is_slip"), F.struct("at", "id")), ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.when(F.col("is_slip"), F.max("upto").over(rising.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.col("upto"))
+    on_card = ranges.unionByName(points).withColumn("following", following).withColumn("reach", reach).where(F.col("following.at") <= F.col("reach")).select(F.col("id").alias("a"), F.col("following.id").alias("b"))
+    # A tip in cash: the slip says what is printed.
+    bills = dated.where("kind = 'invoice' and printed is not null").withColumn("total", F.col("cents")).withColumn("day", days).withColumn("cents", around("printed"))
+    fits = (F.col("cents") < F.col("total")) & (F.col("total") * 100 <= F.col("cents") * TIP_RATIO_PERCENT)
+    in_cash = bills.where(fits).join(cells.where("slip is not null").select(*cell, "slip"), cell).select(F.col("id").alias("a"), F.col("slip").alias("b"))
+    every = own.unionByName(next_to).unionByName(to_bare).unionByName(from_bare).unionByName(on_card).unionByName(in_cash)
+    return every.where("a <> b").distinct()
+
+
+def transactions(records: DataFrame, tolerance: int = 0, id_column: str = "ord", scope: list[str] | None = None) -> DataFrame:
+    """(id, component): the smallest id of the records that are one transaction with this one, by any chain of dup verdicts.
+
+    No pairs are written, so records without a scope may all fall on one day.  Records
+    without a total, and those with no other one, are alone and their own component.
+    """
+    scope = scope or []
+    keys = _keys(records, id_column, scope)
+    classes = cut(_classes(keys, scope))
+    found = connected_components(duplicate_edges(classes, tolerance, scope)).select(F.col("node").alias("class"), "component")
+    joint = classes.join(found, F.col("id") == F.col("class"), "left").select("reading", F.coalesce("component", F.when(F.size("dates") > 0, F.col("id"))).alias("component"))
+    reading = F.struct(*scope, "kind", "cents", "printed", F.array_sort("dates").alias("dates"))
+    placed = keys.select("id", reading.alias("reading")).join(joint, "reading").select("id", "component")
+    every = records.select(F.col(id_column).alias("id")).join(placed, "id", "left")
+    return every.select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _within(classes: DataFrame) -> tuple[Column, Column]:
@@ -130,6 +202,14 @@ def _note(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _first_of(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The ``most`` rows of each key that come first: tasks keep no more than these of a key before they meet, and salted groups no more again."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(order), F.lit(64)))
+    for by in ([key, "salt"], [key]):
+        salted = salted.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("place") <= most).drop("place")
+    return salted.drop("salt")
+
+
 def priority() -> Column:
     """Order of a group's members: the smallest survives."""
     rank = lambda c, names: F.coalesce(*[F.when(F.col(c) == n, F.lit(i)) for i, n in enumerate(names)], F.lit(names.index("card_slip") if "card_slip" in names else 2))
@@ -143,7 +223,8 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
     Adds ``component`` (smallest ord of the group), ``is_primary`` and slip_verified.
     Suspected pairs are noted and lose confidence first, so that this counts in the
     choice of survivors.  A group takes its largest total and a slip's date.  Notes
-    name each reading once, with the number of further records that read alike.
+    name each reading once, with the number of further records that read alike; beyond
+    ``settings.most_named`` readings the first are named and the rest's records counted.
     """
     if not settings.enabled:
         return records.withColumn("component", F.col("ord")).withColumn("is_primary", F.lit(True)).withColumn("slip_verified", F.lit(False))
@@ -152,8 +233,8 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
     keys = _keys(records, "ord", scope).select(F.col("id").alias("ord"), reading.alias("reading"))
     files = records.select("ord", "source_file")
     classes = cut(_classes(_keys(records, "ord", scope), scope))
-    pairs = cut(_class_pairs(classes, settings.date_tolerance_days, scope))
-    found = connected_components(pairs.where("verdict = 'dup'")).select(F.col("node").alias("id"), "component")
+    pairs = cut(_class_pairs(classes, settings.date_tolerance_days, scope).where("verdict <> 'dup'"))
+    found = connected_components(duplicate_edges(classes, settings.date_tolerance_days, scope)).select(F.col("node").alias("id"), "component")
     # Records of a dated reading are one transaction; those of an undated one only by way of another class.
     joint = classes.join(found, "id", "left").withColumn("joined", (F.size("dates") > 0) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "id"))
     ends = keys.join(files, "ord").groupBy("reading").agg(F.min_by("source_file", "ord").alias("first_file"), F.max_by("source_file", "ord").alias("last_file"))
@@ -163,12 +244,16 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
     # Suspects within one group have been confirmed otherwise; classes not joined are groups of one each.
     side = lambda i: joint.select(F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("joined").alias(f"j{i}"), F.col("n").alias(f"n{i}"), F.col("first_file").alias(f"f{i}"))
     apart = ~(F.col("ja") & F.col("jb") & (F.col("ca") == F.col("cb")))
-    open_pairs = pairs.where("verdict <> 'dup'").join(side("a"), "a").join(side("b"), "b").where(apart)
+    open_pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(apart)
     told = lambda own, peer: open_pairs.select(F.col(own).alias("class"), F.col(peer).alias("peer"), "verdict", "gap", F.col(f"f{peer}").alias("file"), F.col(f"n{peer}").alias("n"))
     both = told("a", "b").unionByName(told("b", "a"))
     more = F.when(F.col("n") > 1, F.concat(F.lit("+"), (F.col("n") - 1).cast("string")))
-    # One note for each reading that is suspected, with the number of further records that read so.
-    suspected = both.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("peer", F.concat_ws(" ", "verdict", F.col("gap").cast("string"), "file", more).alias("text")))), lambda s: s["text"]).alias("others"))
+    # One note for each of the first readings that are suspected, with the number of further records that read so.
+    readings = both.select("class", "peer", F.concat_ws(" ", "verdict", F.col("gap").cast("string"), "file", more).alias("text"), "n")
+    named = _first_of(readings, "class", "peer", settings.most_named).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("peer", "text", "n"))).alias("named"))
+    rest = readings.groupBy("class").agg(F.count(F.lit(1)).alias("readings"), F.sum("n").alias("peers"))
+    further = F.when(F.col("readings") > F.size("named"), F.array(F.concat(F.lit("suspect +"), (F.col("peers") - F.aggregate("named", F.lit(0).cast("long"), lambda x, s: x + s["n"])).cast("string")))).otherwise(F.array().cast("array<string>"))
+    suspected = named.join(rest, "class").select("class", F.concat(F.transform("named", lambda s: s["text"]), further).alias("others"))
     alike = joint.where((F.col("n") > 1) & ~F.col("joined")).select(F.col("id").alias("class"), "first_file", "last_file", "n")
     suspected = suspected.join(alike, "class", "full")
     peer = F.when(F.col("ord") == F.col("class"), F.col("last_file")).otherwise(F.col("first_file"))
@@ -182,12 +267,16 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
     slip = F.col("doc_kind") == "card_slip"
     # Members that read alike are told once, with their number: a list grows with the readings of a group, not with its records.
     alike = noted.groupBy("component", "class", "doc_kind").agg(F.min("priority").alias("first"), F.max("priority").alias("last"), F.min_by("source_file", "priority").alias("file"), F.max_by("source_file", "priority").alias("other"), F.count(F.lit(1)).alias("n"))
-    lists = alike.groupBy("component").agg(F.count(F.lit(1)).alias("readings"), F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("first", "file", "other", "doc_kind", "n"))).alias("every")).where("all > 1")
+    # The survivor's own reading comes first, so it is always among those that are named.
+    told_of = _first_of(alike.select("component", "first", "file", "other", "doc_kind", "n"), "component", "first", settings.most_named + 1)
+    lists = told_of.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("first", "file", "other", "doc_kind", "n"))).alias("every"), F.sum("n").alias("told"))
+    lists = lists.join(alike.groupBy("component").agg(F.count(F.lit(1)).alias("readings"), F.sum("n").alias("all")).where("all > 1"), "component")
     shown = lambda name, kind, n: F.concat(name, F.lit("("), F.coalesce(kind, F.lit("")), F.lit(")"), F.when(n > 1, F.concat(F.lit(" +"), (n - 1).cast("string"))).otherwise(F.lit("")))
     head = F.get("every", F.lit(0))
-    rest = F.transform(F.slice("every", F.lit(2), F.greatest(F.col("readings") - 1, F.lit(0)).cast("int")), lambda m: shown(m["file"], m["doc_kind"], m["n"]))
+    others = F.transform(F.slice("every", F.lit(2), F.greatest(F.size("every") - 1, F.lit(0))), lambda m: shown(m["file"], m["doc_kind"], m["n"]))
     own = F.when(head["n"] > 1, F.array(shown(head["other"], head["doc_kind"], head["n"] - 1))).otherwise(none)
-    lists = lists.select("component", F.array_join(F.concat(own, rest), ", ").alias("merged"), head["file"].alias("primary_file"))
+    left_out = F.when(F.col("readings") > F.size("every"), F.array(F.concat(F.lit("+"), (F.col("all") - F.col("told")).cast("string")))).otherwise(none)
+    lists = lists.select("component", F.array_join(F.concat(own, others, left_out), ", ").alias("merged"), head["file"].alias("primary_file"))
     facts = noted.groupBy("component").agg(
         F.min("priority").alias("first"),
         F.count(F.lit(1)).alias("members"),

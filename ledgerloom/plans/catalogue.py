@@ -79,6 +79,20 @@ def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH RECURSIVE o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderdate AS d, CASE WHEN o_custkey % 2 = 0 THEN 'invoice' ELSE 'card_slip' END AS kind FROM orders),
+    p AS (SELECT a.k AS a, b.k AS b FROM o a JOIN o b ON a.d = b.d AND a.k <> b.k
+      WHERE abs(a.cents - b.cents) <= 1 OR (a.kind <> b.kind AND greatest(a.cents, b.cents) * 100 <= least(a.cents, b.cents) * 135 AND (a.cents < b.cents) = (a.kind = 'invoice'))),
+    w AS (SELECT k AS node, k AS here FROM o UNION SELECT w.node, p.b FROM w JOIN p ON w.here = p.a)
+    SELECT node AS ord, min(here) AS component FROM w GROUP BY node"""
+)
+def transactions_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of odd customers as slips of the others' bills, without a scope: all that fall on one day may be joined by tips."""
+    kind = F.when(F.col("batch_id") % 2 == 0, "invoice").otherwise("card_slip")
+    found = linkage.transactions(order_amounts(spark, sf_dir).withColumn("doc_kind", kind))
+    return found.select(F.col("id").alias("ord"), "component")
+
+
 _SURVIVORS = f"""
 WITH RECURSIVE {_PAIRS}, {_EDGES}, {_REACH},
 s AS (SELECT DISTINCT x.node FROM (SELECT a AS node, b AS peer FROM v WHERE verdict LIKE 'suspect%' UNION ALL SELECT b, a FROM v WHERE verdict LIKE 'suspect%') x

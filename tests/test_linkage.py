@@ -180,3 +180,68 @@ def F_lit(spark):
     from pyspark.sql import functions as F
 
     return F.lit(1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_transactions_without_pairs(spark, seed):
+    """Components of the few edges are those of all pairs that are dup by the verdict itself."""
+    import random
+
+    rng = random.Random(seed)
+    days = [None, "2026-03-05", "2026-03-06", "2026-03-09", "2026-03-12", "2026-02-31"]
+    kinds = [inv, inv, slip, lambda t, d, **m: inv(t, d, **m | {"doc_kind": None})]
+    amount = lambda: rng.choice([100, 100.01, 100.02, 110, 134.99, 135, 136]) if rng.random() < 0.3 else rng.randrange(1, 90_000) / 100
+    rows = []
+    for _ in range(70):
+        total, day = amount(), rng.choice(days)
+        printed = rng.choice([None, None, total, amount(), round(total / 1.2, 2)])
+        several = {"date_candidates": rng.sample(days[1:], 2)} if rng.random() < 0.2 else {}
+        rows.append(rng.choice(kinds)(total, day, printed_total=printed, **several))
+    rows += [inv(None, "2026-03-05"), slip(0, "2026-03-05"), inv(0, "2026-03-05"), inv(-5, "2026-03-06")]
+    df = make(spark, rows)
+    for tolerance in (0, 2):
+        keys = linkage._keys(df, "ord", [])
+        left, right = keys.toDF(*[f"l_{c}" for c in keys.columns]), keys.toDF(*[f"r_{c}" for c in keys.columns])
+        brute = left.join(right, left.l_id < right.r_id).where(linkage.verdict(tolerance) == "dup").select("l_id", "r_id").collect()
+        root = list(range(len(rows)))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in brute:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        found = {r.id: r.component for r in linkage.transactions(df, tolerance).collect()}
+        assert found == {x: top(x) for x in range(len(rows))}
+
+
+def test_a_day_of_many_amounts_has_few_edges(spark):
+    """60,000 bills and slips of different amounts on one day: about one edge each, where pairs would be hundreds of millions."""
+    from pyspark.sql import functions as F
+
+    few = make(spark, [inv(100, "2026-03-07"), slip(100, "2026-03-07")])
+    many = few.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29999)))).withColumn("ord", F.col("ord") + 2 * F.col("k"))
+    many = many.withColumn("total_incl_tax", (F.lit(100000) + F.col("k") * 7 + F.col("ord") % 2 * 3).cast("decimal(18,2)") / 100).drop("k")
+    classes = linkage._classes(linkage._keys(many, "ord", []), [])
+    assert linkage.duplicate_edges(classes, 0, []).count() <= 4 * 60_000
+    assert {r.component for r in linkage.transactions(many).select("component").distinct().collect()} == {0}
+
+
+def test_bounded_notes(spark):
+    """A reading with 3,000 suspected peers, and a group of 3,000 readings: the first are named, the rest counted."""
+    from pyspark.sql import functions as F
+
+    few = make(spark, [inv(55), inv(55, "2026-03-07"), inv(80, "2026-03-07")])
+    many = few.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2999)))).where("ord > 0 or k = 0")
+    many = many.withColumn("date_candidates", F.when(F.col("ord") == 1, F.array(F.date_add(F.lit("2026-03-07"), F.col("k")).cast("string"))).otherwise(F.col("date_candidates")))
+    many = many.withColumn("printed_total", F.when(F.col("ord") == 2, F.col("k").cast("decimal(18,2)")))
+    many = many.withColumn("ord", F.col("ord") * 10000 + F.col("k")).withColumn("source_file", F.concat(F.lit("s"), F.col("ord").cast("string"))).drop("k")
+    done = linkage.deduplicate(many, LinkSettings(mode="mark", most_named=5))
+    lone = done.where("ord = 0").first()
+    assert lone.notes == [f"suspect -1 s{10000 + k}" for k in range(5)] + ["suspect +2995"]
+    head = done.where("ord = 20000").first()
+    assert head.notes == ["merged " + ", ".join(f"s{20000 + k}(invoice)" for k in range(1, 6)) + ", +2994"]
+    plan = linkage._first_of(many.select("ord", "doc_kind"), "doc_kind", "ord", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
