@@ -11,8 +11,8 @@ from ..config import CARD_SLIP_WORDS, LinkSettings
 from ..functions import dates, money, text
 from ..operators import classify, consensus, layout, linkage, raster, records, review, rows
 from ..operators.components import connected_components
-from ..operators.lineage import spread
-from ..streaming import links
+from ..operators.lineage import shared_folder, spread
+from ..streaming import groups, links
 from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, PIECED_SQL, RECEIPTS_SQL, dated_records, drawn_lines, drawn_pages, event_records, order_amounts, order_records, pieced_lines, receipt_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -593,6 +593,46 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.col("amount").cast("double").alias("amount"))
 
 
+def _amount_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _event_stream(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return links.links_by_day(events, ["user_id"], "event_id", days=3)
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query(
+    """WITH e AS (SELECT event_id AS id, user_id AS u, ts, CAST(ts AS DATE) AS d, CAST(round(value * 100) AS BIGINT) AS c FROM events),
+    f AS (SELECT u, c, d, arg_min(id, (ts, CAST(id AS VARCHAR))) AS first, min(ts) AS ts FROM e GROUP BY u, c, d)
+    SELECT e.id AS record_id, f.first AS of, abs(date_diff('day', e.d, f.d)) AS gap FROM e JOIN f ON e.u = f.u AND abs(e.c - f.c) <= 1 AND abs(date_diff('day', e.d, f.d)) <= 3
+    WHERE (f.ts, CAST(f.first AS VARCHAR)) < (e.ts, CAST(e.id AS VARCHAR))"""
+)
+def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream, each linked on arrival; links go to a table in the shared folder."""
+    folder = _stream_folder(spark)
+    sink = _amount_links(spark, sf_dir).writeStream.format("parquet").option("path", f"{folder}/links").option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/links").select(F.col("record_id").cast("long").alias("record_id"), F.col("of").cast("long").alias("of"), F.col("gap").cast("long").alias("gap"))
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id
+    AND abs(CAST(round(a.value * 100) AS BIGINT) - CAST(round(b.value * 100) AS BIGINT)) <= 1 AND abs(date_diff('day', CAST(a.ts AS DATE), CAST(b.ts AS DATE))) <= 3),
+    w AS (SELECT DISTINCT a AS node, a AS here FROM p UNION SELECT w.node, p.b FROM w JOIN p ON w.here = p.a)
+    SELECT node, min(here) AS component FROM w GROUP BY node"""
+)
+def stream_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links on arrival, joined to components batch by batch: those of the whole table."""
+    folder = _stream_folder(spark)
+    stored = groups.StoredComponents(spark, f"{folder}/components")
+    sink = _amount_links(spark, sf_dir).writeStream.foreachBatch(lambda df, n: stored.add(df, n, "record_id", "of"))
+    sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stored.current(spark)
+
+
 @query(
     """WITH v AS (SELECT l_suppkey, l_discount AS a, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY ALL),
     s AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY a) AS so_far, sum(w) OVER (PARTITION BY l_suppkey) AS t FROM v)

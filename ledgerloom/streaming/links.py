@@ -1,4 +1,4 @@
-"""Streams of records: exact duplicates dropped within a watermark, sums by window, sessions of one amount."""
+"""Streams of records: exact duplicates dropped within a watermark, sums by window, sessions of one amount, links on arrival."""
 
 from __future__ import annotations
 
@@ -70,3 +70,59 @@ def linked_on_arrival(stream: DataFrame, keys: list[str], id_column: str = "reco
         yield pd.DataFrame(found, columns=[*keys, "record_id", "ts", "cents", "of"])
 
     return dealt.groupBy(*keys, "amounts").applyInPandasWithState(answer, out, state, "append", "EventTimeTimeout")
+
+
+def links_by_day(stream: DataFrame, keys: list[str], id_column: str = "record_id", time: str = "ts", cents: str = "cents", days: int = 3, late: str = "7 days") -> DataFrame:
+    """(keys, record_id, ts, cents, of, gap): each record with the first one seen of every day and amount that it is linked to.
+
+    Linked: a cent and so many calendar days apart at most.  Records of one amount and
+    day are linked to one another, so the first of them stands for all: components of
+    these links are those of all pairs, and state and work for a record grow with days,
+    not with the records of a hot amount.  An amount's first of a day is kept until the
+    watermark is past the last day that may be linked to it.  Of one batch the first in
+    time, then by id, comes first.  Rows without an id, a time or an amount have no
+    links; rows behind the watermark are counted by ``dropped_late``.
+    """
+    state = "cents array<long>, days array<int>, ids array<string>"
+    out = f"{', '.join(f'`{k}` {stream.schema[k].dataType.simpleString()}' for k in keys)}{', ' if keys else ''}record_id string, ts timestamp, cents long, of string, gap int"
+    group = F.floor(F.col("cents") / GROUP_CENTS)
+    named = stream.withWatermark(time, late).select(*keys, F.col(id_column).cast("string").alias("record_id"), F.col(time).alias("ts"), F.col(cents).cast("long").alias("cents"), F.unix_date(F.to_date(time)).alias("day"))
+    beside = F.array_distinct(F.array(group, F.floor((F.col("cents") - 1) / GROUP_CENTS), F.floor((F.col("cents") + 1) / GROUP_CENTS)))
+    dealt = named.where("record_id is not null and ts is not null and cents is not null").withColumn("own", group).withColumn("amounts", F.explode(beside))
+    day_ms = 86_400_000
+    # A record is told to the group beside its own too, but only its own keeps it: a day and amount is kept, and answered for, in one place.
+    near = [(c, d) for c in (-1, 0, 1) for d in range(-days, days + 1)]
+
+    def answer(key: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        first = {(c, d): i for c, d, i in zip(*held.get, strict=True)} if held.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["ts", "record_id"])
+        found = []
+        for record, ts, amount, day, own in zip(rows["record_id"], rows["ts"], rows["cents"].tolist(), rows["day"].tolist(), rows["own"].tolist(), strict=True):
+            for c, d in near:
+                of = first.get((amount + c, day + d))
+                if of is not None and of != record:
+                    found.append((*key[:-1], record, ts, amount, of, abs(d)))
+            if own == key[-1]:
+                first.setdefault((amount, day), record)
+        now = held.getCurrentWatermarkMs()
+        # A day more: days are those of the session's time zone.
+        kept = {cell: i for cell, i in first.items() if (cell[1] + days + 2) * day_ms > now}
+        if kept:
+            held.update(([c for c, _ in kept], [d for _, d in kept], list(kept.values())))
+            held.setTimeoutTimestamp((max(d for _, d in kept) + days + 2) * day_ms)
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(found, columns=[*keys, "record_id", "ts", "cents", "of", "gap"])
+
+    return dealt.groupBy(*keys, "amounts").applyInPandasWithState(answer, out, state, "append", "EventTimeTimeout")
+
+
+def dropped_late(progress: list) -> int:
+    """Rows behind the watermark that stateful operators have left out, by a query's ``recentProgress``.
+
+    A record is told to two groups if its amount is at the edge of one, and is counted for each.
+    """
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in progress for o in p["stateOperators"])
