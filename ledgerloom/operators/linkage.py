@@ -262,7 +262,8 @@ def deduplicate(records: DataFrame, settings: LinkSettings = LinkSettings(), sco
     suspected = placed.join(suspected, "class").select("ord", F.concat(F.coalesce("others", none), F.coalesce(same, none)).alias("suspects"))
     noted = grouped.join(suspected, "ord", "left").withColumn("notes", F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.coalesce("suspects", F.array().cast("array<string>"))))
     noted = noted.withColumn("confidence", F.when(F.col("suspects").isNotNull() & (F.col("confidence") != "low"), "medium").otherwise(F.col("confidence")))
-    noted = noted.withColumn("priority", priority())
+    # Groups, their notes and their facts are taken of the same rows: joined once.
+    noted = cut(noted.withColumn("priority", priority()))
     cents = F.round(F.col("total_incl_tax") * 100).cast("long")
     slip = F.col("doc_kind") == "card_slip"
     # Members that read alike are told once, with their number: a list grows with the readings of a group, not with its records.
