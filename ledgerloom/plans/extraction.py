@@ -33,9 +33,10 @@ def parsed(placed: DataFrame, settings: Settings = Settings(), source: str = "oc
         clustered = rows.split_stacked(clustered, k["total"] + k["tendered"])
     else:
         clustered = clustered.withColumn("part", F.lit(0))
-    found = records.worth_keeping(records.parse_rows(clustered, settings, [*REGION, "part"]))
+    found = records.parse_rows(clustered, settings, [*REGION, "part"])
     if "strategy" in placed.columns:
         found = found.join(placed.groupBy("file_id", "page_no").agg(F.first("strategy").alias("strategy")), ["file_id", "page_no"])
+    found = records.worth_keeping(cut(found))
     name = F.concat_ws("#", "file_id", "page_no", "region_no", "part")
     # The input order without numbering all rows in one task.
     order = F.struct("file_id", "page_no", "region_no", "part")

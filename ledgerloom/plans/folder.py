@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -14,6 +14,7 @@ from ..operators.lineage import cut
 from ..operators.rows import REGION
 from ..sources import files
 from . import extraction
+from .progress import Feed
 
 
 @dataclass(frozen=True)
@@ -52,32 +53,60 @@ def _seen(df: DataFrame, name: str, observed: dict[str, Observation]) -> DataFra
     return df.observe(observed[name], F.count(F.lit(1)).alias(name))
 
 
+def page_boxes(lines: DataFrame) -> DataFrame:
+    """(file_id, page_no, region_no, x0, y0, x1, y1, n): the box of each region's lines and their number."""
+    return lines.groupBy(*REGION).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+def imaged(boxes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(file_id, page_no, boxes, content): each page's image once, with all of its boxes in order of their regions.
+
+    However many regions a page has, its image is moved and handed over once.
+    """
+    listed = boxes.groupBy(*layout.PAGE).agg(F.array_sort(F.collect_list(F.struct(*[c for c in boxes.columns if c not in layout.PAGE]))).alias("boxes"))
+    return listed.join(pages.select("file_id", "page_no", "content"), layout.PAGE)
+
+
+def _for_each_box(work: Callable[[bytes, dict], list[tuple]], added: str) -> tuple[Callable, str]:
+    """A function of Arrow batches of ``imaged``, and its schema: file_id, page_no, region_no and what ``work`` gives of every box, a page at a time."""
+    import pyarrow as pa
+
+    schema = f"file_id string, page_no int, region_no int, {added}"
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    fields = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page = batch.slice(i, 1).to_pylist()[0]
+                content = page["content"] if page["content"] is not None else b""
+                out = [(page["file_id"], page["page_no"], b["region_no"], *row) for b in page["boxes"] for row in work(content, b)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+
+    return run, schema
+
+
 def _finer(lines: DataFrame, pages: DataFrame, crop: Callable, settings: Settings) -> DataFrame:
     """Lines of receipts recognised again, each from its own straightened and enlarged part of the page.
 
     A second reading that finds fewer than three lines, or half of the first one's, is
     not taken.
     """
-    import pandas as pd
-
-    box = lines.groupBy(*REGION).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"))
     angle, factor = layout.deskew_angle(lines, REGION, settings.dpi / 200), layout.upscale_factor(lines, REGION)
-    asked = box.join(angle, REGION).join(factor, REGION).join(pages.select("file_id", "page_no", "content"), layout.PAGE)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                try:
-                    found = crop(bytes(r.content), (r.x0, r.y0, r.x1, r.y1), r.angle, r.factor)
-                except Exception:  # the first reading stays
-                    found = []
-                if len(found) >= max(3, 0.5 * r.n):
-                    out += [(r.file_id, r.page_no, r.region_no, n, x["text"], x["x0"], x["y0"], x["x1"], x["y1"], x.get("angle"), x.get("score")) for n, x in enumerate(found)]
-            yield pd.DataFrame(out, columns=[*REGION, "line_no", "text", "x0", "y0", "x1", "y1", "angle", "score"])
-
-    schema = "file_id string, page_no int, region_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, angle double, score double"
-    again = cut(rows.usable_lines(asked.mapInPandas(run, schema)))
+    asked = imaged(page_boxes(lines).join(angle, REGION).join(factor, REGION), pages)
+
+    def read(content: bytes, b: dict) -> list[tuple]:
+        try:
+            found = crop(content, (b["x0"], b["y0"], b["x1"], b["y1"]), b["angle"], b["factor"])
+        except Exception:  # the first reading stays
+            return []
+        if len(found) < max(3, 0.5 * b["n"]):
+            return []
+        real = lambda v: None if v is None else float(v)
+        return [(n, x["text"], *[real(x.get(k)) for k in ("x0", "y0", "x1", "y1", "angle", "score")]) for n, x in enumerate(found)]
+
+    again = cut(rows.usable_lines(asked.mapInArrow(*_for_each_box(read, "line_no int, text string, x0 double, y0 double, x1 double, y1 double, angle double, score double"))))
     first = lines.join(again.select(*REGION).distinct(), REGION, "left_anti")
     return first.unionByName(again.select(*first.columns))
 
@@ -132,11 +161,12 @@ def placed_lines(lines: DataFrame, pages: DataFrame, adapters: Adapters, setting
     return done.unionByName(by_ink.select(*done.columns)).unionByName(one.select(*done.columns))
 
 
-def process_folder(spark: SparkSession, folder: str, adapters: Adapters, settings: Settings = Settings()) -> Batch:
+def process_folder(spark: SparkSession, folder: str, adapters: Adapters, settings: Settings = Settings(), notify: Callable[[int, int, str], None] | None = None) -> Batch:
     """All files under a folder as one batch: records linked, repaired and enriched, and an error record for each file that failed.
 
     One bad file, page or type stops nothing.  ``Batch.counts`` tells files, pages, lines
-    and records once a sink has taken the records.
+    and records once a sink has taken the records.  While pages are recognised, ``notify``
+    is called in the driver with pages done, pages to read and a file's name.
     """
     observed: dict[str, Observation] = {}
     source = _seen(files.input_files(spark, folder), "files", observed)
@@ -149,7 +179,12 @@ def process_folder(spark: SparkSession, folder: str, adapters: Adapters, setting
         read = documents.select(F.col("path").alias("file_id"), F.lit(None).cast("int").alias("page_no"), F.lit(None).cast(files.PAGE_WORDS).alias("layer"), F.lit(None).cast("binary").alias("content"), F.lit("no reader for documents").alias("error"))
     pages = cut(_seen(images.unionByName(read), "pages", observed))
     to_read = pages.where("error is null and layer is null")
-    recognised = cut(_seen(files.recognised_lines(to_read, adapters.engine, factory=adapters.factory), "lines", observed))
+    read_by = lambda counted: cut(_seen(files.recognised_lines(to_read, adapters.engine, factory=adapters.factory, counted=counted), "lines", observed))
+    if notify is None:
+        recognised = read_by(None)
+    else:
+        with Feed(spark, to_read.count(), notify) as feed:
+            recognised = read_by(feed.pages)
     ocr = placed_lines(recognised.where("error is null").drop("error"), to_read, adapters, settings)
     text = rows.usable_lines(files.layer_lines(pages))
     text = layout.segment_text_lines(text).where("region_no is not null") if settings.segment else text.withColumn("region_no", F.lit(1))
@@ -163,23 +198,14 @@ def process_folder(spark: SparkSession, folder: str, adapters: Adapters, setting
 
 def crops(placed: DataFrame, pages: DataFrame, encode: Callable[[bytes, tuple[float, float, float, float]], bytes]) -> DataFrame:
     """(file_id, page_no, region_no, crop): the image of each region of ``placed`` lines; null where ``encode`` fails."""
-    import pandas as pd
-
-    box = placed.groupBy(*REGION).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                try:
-                    crop = encode(bytes(r.content), (r.x0, r.y0, r.x1, r.y1))
-                except Exception:  # a record without its image is still a record
-                    crop = None
-                out.append((r.file_id, r.page_no, r.region_no, crop))
-            yield pd.DataFrame(out, columns=[*REGION, "crop"])
+    def cut_out(content: bytes, b: dict) -> list[tuple]:
+        try:
+            return [(encode(content, (b["x0"], b["y0"], b["x1"], b["y1"])),)]
+        except Exception:  # a record without its image is still a record
+            return [(None,)]
 
-    asked = box.join(pages.select("file_id", "page_no", "content"), layout.PAGE)
-    return asked.mapInPandas(run, "file_id string, page_no int, region_no int, crop binary")
+    return imaged(page_boxes(placed), pages).mapInArrow(*_for_each_box(cut_out, "crop binary"))
 
 
 def force_split(enriched: DataFrame, record_id: str, region: DataFrame, parts: int, adapters: Adapters, settings: Settings = Settings()) -> DataFrame:
@@ -210,10 +236,10 @@ def force_split(enriched: DataFrame, record_id: str, region: DataFrame, parts: i
     schema = "file_id string, page_no int, region_no int, part int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, angle double, score double"
     keys = [*REGION, "part"]
     lines = cut(rows.usable_lines(region.mapInPandas(run, schema)))
-    found = records.worth_keeping(records.parse_rows(rows.cluster_rows(lines, keys).drop("members"), settings, keys))
+    found = records.worth_keeping(cut(records.parse_rows(rows.cluster_rows(lines, keys).drop("members"), settings, keys)))
     name = F.concat_ws("#", F.lit(record_id), "part")
     children = found.withColumn("record_id", name).withColumn("source_file", name).withColumn("ord", F.struct("file_id", "page_no", "region_no", "part"))
-    children = cut(children.select(*[c for c in children.columns if c in enriched.columns]))
+    children = children.select(*[c for c in children.columns if c in enriched.columns])
     if children.isEmpty():
         return enriched
     added = ["amount_default", "date_default", "date_guessed", "date_guess_src", "status", "confirm_default"]

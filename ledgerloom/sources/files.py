@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,13 +90,14 @@ def one_per_worker(factory: Callable[[], object]) -> object:
     return _engines[name]
 
 
-def recognised_lines(pages: DataFrame, engine: Callable[[bytes], list[dict]] | None = None, least_score: float = LEAST_OCR_SCORE, factory: Callable[[], Callable[[bytes], list[dict]]] | None = None) -> DataFrame:
+def recognised_lines(pages: DataFrame, engine: Callable[[bytes], list[dict]] | None = None, least_score: float = LEAST_OCR_SCORE, factory: Callable[[], Callable[[bytes], list[dict]]] | None = None, counted: Accumulator | None = None) -> DataFrame:
     """Lines of pages (file_id, page_no, content) by a pluggable engine, and error rows.
 
     ``engine`` is called in the workers, once for each page; ``factory`` makes one there,
     once for each worker.  What it returns are dicts of text, x0, y0, x1, y1 and, if
     known, angle and score.  A page on which it fails becomes one row with ``error`` and
-    nothing else.  Scores are filtered and texts repaired by Catalyst.
+    nothing else.  Scores are filtered and texts repaired by Catalyst.  ``counted`` is
+    told (1, file_id) of each page (see ``plans.progress``).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,6 +111,8 @@ def recognised_lines(pages: DataFrame, engine: Callable[[bytes], list[dict]] | N
                         out.append((file_id, page_no, n, line["text"], line["x0"], line["y0"], line["x1"], line["y1"], line.get("angle"), line.get("score"), None))
                 except Exception as e:  # one bad file doesn't stop the others
                     out.append((file_id, page_no, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                if counted is not None:
+                    counted.add((1, file_id))
             yield pd.DataFrame(out, columns=names)
 
     found = pages.select("file_id", "page_no", "content").mapInPandas(run, LINE + ", error string")

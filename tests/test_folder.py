@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import folder
+from ledgerloom.plans.progress import Feed
 from ledgerloom.sources import files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
@@ -69,7 +70,11 @@ def test_folder(spark, tmp_path):
     }
     for name, content in put.items():
         (tmp_path / "in" / name).write_bytes(content)
-    batch = folder.process_folder(spark, str(tmp_path / "in"), folder.Adapters(engine, reader, decode, crop))
+    heard = []
+    batch = folder.process_folder(spark, str(tmp_path / "in"), folder.Adapters(engine, reader, decode, crop), notify=lambda *told: heard.append(told))
+    done = [d for d, _, _ in heard]
+    assert done == sorted(set(done)) and done[-1] == 5 and {t for _, t, _ in heard} == {5}
+    assert all(name.endswith((".png", ".jpg", ".pdf")) for _, _, name in heard)
     got = {(r.file_id[-5:], r.page_no, float(r.total_incl_tax)): r.strategy for r in batch.records.collect()}
     assert got == {
         ("a.png", 1, 116.0): "receipts",
@@ -139,3 +144,26 @@ def test_forced_split_and_crops(spark, tmp_path):
 
     assert [bytes(r.crop) for r in folder.crops(lines, pages, encode).collect()] == [b"image!", b"image!"]
     assert folder.crops(lines, pages, lambda content, box: 1 / 0).where("crop is null").count() == 2
+
+
+def test_an_image_moves_once_with_all_its_boxes(spark):
+    """Bytes handed over don't grow with a page's regions; pages without an image, and regions without a page, stop nothing."""
+    region = "file_id string, page_no int, region_no int, x0 double, y0 double, x1 double, y1 double"
+    lines = spark.createDataFrame([("f", p, r, float(r), 0.0, float(r + 1), 9.0) for p in (1, 2) for r in range(1, 301)] + [("lost", 1, 1, 0.0, 0.0, 1.0, 1.0)], region)
+    pages = spark.createDataFrame([("f", 1, bytearray(b"one")), ("f", 2, None), ("g", 1, bytearray(b"unused"))], "file_id string, page_no int, content binary")
+    asked = folder.imaged(folder.page_boxes(lines), pages).collect()
+    assert sorted((r.page_no, r.content, len(r.boxes)) for r in asked if r.content) == [(1, b"one", 300)] and len(asked) == 2
+    got = {(r.page_no, r.region_no): r.crop for r in folder.crops(lines, pages, lambda content, box: content + str(int(box[0])).encode()).collect()}
+    assert len(got) == 600 and all(got[1, r] == b"one%d" % r and got[2, r] == b"%d" % r for r in range(1, 301))
+    assert folder.crops(lines.limit(0), pages, lambda content, box: content).count() == 0
+
+
+def test_feed_never_says_more_than_there_is(spark):
+    heard = []
+    with Feed(spark, 3, lambda *told: heard.append(told), seconds=0.01) as feed:
+        feed.pages.add((2, "a"))
+        feed.pages.add((2, ""))
+    assert heard[-1] == (3, 3, "a") and [d for d, _, _ in heard] == sorted({d for d, _, _ in heard})
+    with Feed(spark, 0, lambda *told: heard.append("none")):
+        pass
+    assert "none" not in heard
