@@ -45,7 +45,9 @@ class Batch:
     observed: dict[str, Observation] = field(default_factory=dict)
 
     def counts(self) -> dict[str, int]:
-        return {k: v for o in self.observed.values() for k, v in o.get.items()}
+        """images, documents and document_pages, files and pages of both sorts, lines and records."""
+        seen = {k: v for o in self.observed.values() for k, v in o.get.items()}
+        return seen | {"files": seen["images"] + seen["documents"], "pages": seen["images"] + seen["document_pages"]}
 
 
 def _seen(df: DataFrame, name: str, observed: dict[str, Observation]) -> DataFrame:
@@ -169,17 +171,18 @@ def process_folder(spark: SparkSession, folder: str, adapters: Adapters, setting
     is called in the driver with pages done, pages to read and a file's name.
     """
     observed: dict[str, Observation] = {}
-    source = _seen(files.input_files(spark, folder), "files", observed)
-    is_document = F.lower("path").endswith(".pdf")
-    images = source.where(~is_document).select(F.col("path").alias("file_id"), F.lit(1).alias("page_no"), F.lit(None).cast(files.PAGE_WORDS).alias("layer"), "content", F.lit(None).cast("string").alias("error"))
-    documents = source.where(is_document)
+    images = files.input_files(spark, folder, [k for k in files.EXTENSIONS if k != "pdf"]).select(F.col("path").alias("file_id"), F.lit(1).alias("page_no"), F.lit(None).cast(files.PAGE_WORDS).alias("layer"), "content", F.lit(None).cast("string").alias("error"))
+    documents = _seen(files.input_files(spark, folder, ["pdf"]), "documents", observed)
     if adapters.reader is not None:
         read = files.document_pages(documents, adapters.reader, settings.prefer_text_layer)
     else:
         read = documents.select(F.col("path").alias("file_id"), F.lit(None).cast("int").alias("page_no"), F.lit(None).cast(files.PAGE_WORDS).alias("layer"), F.lit(None).cast("binary").alias("content"), F.lit("no reader for documents").alias("error"))
-    pages = cut(_seen(images.unionByName(read), "pages", observed))
-    to_read = pages.where("error is null and layer is null")
-    read_by = lambda counted: cut(_seen(files.recognised_lines(to_read, adapters.engine, factory=adapters.factory, counted=counted), "lines", observed))
+    # Drawn pages are written, because drawing is costly; images are read again where they are needed.
+    pages = cut(_seen(read, "document_pages", observed))
+    drawn = pages.where("error is null and layer is null")
+    to_read = images.unionByName(drawn)
+    noticed = _seen(images, "images", observed).unionByName(drawn)
+    read_by = lambda counted: cut(_seen(files.recognised_lines(noticed, adapters.engine, factory=adapters.factory, counted=counted), "lines", observed))
     if notify is None:
         recognised = read_by(None)
     else:

@@ -23,13 +23,15 @@ def is_supported(path: Column) -> Column:
     return F.lower(path).rlike(r"\.(" + "|".join(EXTENSIONS) + ")$")
 
 
-def input_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Supported files under a folder: path, modificationTime, length, content.
+def input_files(spark: SparkSession, folder: str, kinds: list[str] = EXTENSIONS) -> DataFrame:
+    """Files of such types under a folder: path, modificationTime, length, content.
 
-    In no order: contents aren't sorted.  Records carry their file's path, and a sink
-    orders those.
+    Types are told by the listing, in whatever case, so contents of others are never
+    read.  In no order: contents aren't sorted.  Records carry their file's path, and a
+    sink orders those.
     """
-    return _every_file(spark, folder).where(is_supported(F.col("path")))
+    either = ["".join(f"[{c}{c.upper()}]" for c in kind) for kind in kinds]
+    return _every_file(spark, folder, "*.{" + ",".join(either) + "}")
 
 
 def unsupported_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +39,8 @@ def unsupported_files(spark: SparkSession, folder: str) -> DataFrame:
     return _every_file(spark, folder).where(~is_supported(F.col("path"))).select(F.col("path").alias("file_id"), F.lit("unsupported file type").alias("error"))
 
 
-def _every_file(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def _every_file(spark: SparkSession, folder: str, named: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", named).load(folder)
 
 
 def uploads(spark: SparkSession, files: dict[str, bytes]) -> DataFrame:

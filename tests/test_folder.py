@@ -89,6 +89,17 @@ def test_folder(spark, tmp_path):
     assert errors == {"e.pdf": "ValueError: no document", "f.png": "OSError: broken", "g.txt": "unsupported file type"}
     counts = batch.counts()
     assert (counts["files"], counts["pages"], counts["records"]) == (6, 7, 7)
+    assert (counts["images"], counts["documents"], counts["document_pages"]) == (4, 2, 3)
+
+
+def test_contents_of_other_types_are_not_read(spark, tmp_path):
+    for name in ("a.PNG", "b.pdf", "c.PdF", "d.txt", "e.tiff", "pdf", "f.pdf.bak"):
+        (tmp_path / name).write_bytes(name.encode())
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+    assert names(files.input_files(spark, str(tmp_path), ["pdf"])) == ["b.pdf", "c.PdF"]
+    assert names(files.input_files(spark, str(tmp_path))) == ["a.PNG", "b.pdf", "c.PdF", "e.tiff"]
+    assert names(files.unsupported_files(spark, str(tmp_path)).withColumnRenamed("file_id", "path")) == ["d.txt", "f.pdf.bak", "pdf"]
+    assert names(files.input_files(spark, str(tmp_path), ["webp"])) == []
 
 
 def made_engine():
