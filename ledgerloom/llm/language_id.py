@@ -23,8 +23,8 @@ SEED = 20_240_229
 UNKNOWN = "und"
 #: Trigram vectors held by a worker (1 KB each); at the bound it starts anew.
 MEMORY_TRIGRAMS = 60_000
-#: Letters beyond the basic plane share these many symbols of its private area.
-_HIGH = 6400
+#: Bits of a code point: a trigram is three of them in one number.
+_BITS = 21
 
 
 def _letter_table() -> np.ndarray:
@@ -38,6 +38,11 @@ def _letter_table() -> np.ndarray:
     return out
 
 
+def _high_symbol(c: str) -> int:
+    """The same for a letter beyond the basic plane: its own code point, in lower case."""
+    return (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 32
+
+
 class Encoder:
     """Texts as bundles of trigram vectors."""
 
@@ -61,14 +66,14 @@ class Encoder:
         high = points >= 1 << 16
         symbols = self.table[np.where(high, 32, points)]
         if high.any():
-            letter = np.array([chr(p).isalpha() for p in points[high].tolist()])
-            symbols[high] = np.where(letter, np.uint64(0xE000) + points[high].astype(np.uint64) % np.uint64(_HIGH), np.uint64(32))
+            different, place = np.unique(points[high], return_inverse=True)
+            symbols[high] = np.array([_high_symbol(chr(p)) for p in different.tolist()], dtype=np.uint64)[place]
         symbols = np.concatenate(([32], symbols, [32])).astype(np.uint64)
         space = symbols == 32
         symbols = symbols[~(space & np.append(False, space[:-1]))]
         if len(symbols) < 3:
             return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        codes = (symbols[:-2] << np.uint64(32)) | (symbols[1:-1] << np.uint64(16)) | symbols[2:]
+        codes = (symbols[:-2] << np.uint64(2 * _BITS)) | (symbols[1:-1] << np.uint64(_BITS)) | symbols[2:]
         return np.unique(codes, return_counts=True)
 
     def _known(self, codes: list[int]) -> list[int]:
@@ -84,7 +89,7 @@ class Encoder:
                 self.vectors = grown
             for c in new:
                 i = self.rows[c] = len(self.rows)
-                a, b, d = c >> 32, (c >> 16) & 0xFFFF, c & 0xFFFF
+                a, b, d = c >> 2 * _BITS, (c >> _BITS) & (1 << _BITS) - 1, c & (1 << _BITS) - 1
                 self.vectors[i] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(d)
             rows = list(map(self.rows.get, codes))
         return rows
@@ -106,20 +111,30 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / norm if norm else v
 
 
+def drawn(labelled: DataFrame, rows_per_language: int = 500, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> DataFrame | None:
+    """(lang, text) of about ``rows_per_language`` rows of each language; None if no row has a language and a text."""
+    rows = labelled.where(F.col(language_column).isNotNull() & F.col(text_column).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(language_column).cast("string")).agg(F.count(F.lit(1))).collect()}
+    if not counts:
+        return None
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
+    draw = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < F.element_at(share, F.col(language_column).cast("string"))).select(F.col(language_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
+
+
 def train(labelled: DataFrame, rows_per_language: int = 500, dimensions: int = DIMENSIONS, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> dict[str, list[float]]:
-    """Prototypes from about ``rows_per_language`` rows of each language, drawn by a hash of the id.
+    """Prototypes from about ``rows_per_language`` rows of each language, drawn by a hash of id and text.
 
     A language with no more rows than that is taken whole.  What reaches the driver
-    is one count and one vector for each language.
+    is one count and one vector for each language.  Rows whose text or language is null
+    take no part, and texts without a letter add nothing; null ids are drawn by their
+    texts; rows equal in both are drawn or left together.  Of an empty table there are
+    no prototypes.
     """
     bound_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(language_column).isNotNull() & F.col(text_column).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(language_column).cast("string")).agg(F.count(F.lit(1))).collect()}
-    if not counts:
+    sample = drawn(labelled, rows_per_language, id_column, text_column, language_column)
+    if sample is None:
         return {}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    draw = F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < F.element_at(share, F.col(language_column).cast("string"))).select(F.col(language_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dimensions), {}

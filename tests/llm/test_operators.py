@@ -528,6 +528,19 @@ def test_op5_shuffled_tables_odd_columns_and_repeats(spark, monkeypatch):
     assert len({(r[3], r[4]) for r in whole}) == len(rows)
 
 
+def test_op6_letters_beyond_the_basic_plane_and_null_ids(spark):
+    """Scripts there don't collide, capitals are their small letters, signs are no letters; null ids are drawn by text."""
+    e = language_id.Encoder(256)
+    far = lambda p: e.trigrams("".join(map(chr, (p, p + 1, p + 2))))[0].tolist()
+    assert len({tuple(far(p)) for p in (0x20000, 0x20000 + 6400, 0x20000 + 12800)}) == 3
+    assert far(0x10400) == far(0x10428) != far(0x10400 + 6400)
+    assert e.bundle("\U0001f600\U0001f601") is None and far(0x20000)[1] == (0x20000 << 42) | (0x20001 << 21) | 0x20002
+    assert e.trigrams("ab \U0001f600 c")[0].tolist() == e.trigrams("AB c")[0].tolist()
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "concat('text ', conv(id, 10, 36), ' some words') text", "'en' lang")
+    assert 300 < language_id.drawn(rows, 400).count() < 500
+    assert language_id.drawn(rows.limit(0)) is None and list(language_id.train(rows, 400, 64)) == ["en"]
+
+
 def test_op6_languages(spark, documents, nothing):
     data = [(i, ("the thing and the other hand " if i % 2 else "die schöne und große ungen ") * 5, "en" if i % 2 else "de") for i in range(40)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
