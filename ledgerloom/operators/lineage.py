@@ -19,9 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder."""
+    """``df`` checkpointed in the shared folder, to be joined by sorting.
+
+    A checkpoint keeps the estimate of its plan, which starts from compressed files and knows
+    nothing of exploded rows: by that, tables of any size would be sent through the driver.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint().hint("merge")
 
 
 def spread(df: DataFrame) -> DataFrame:
