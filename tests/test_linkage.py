@@ -53,6 +53,18 @@ def test_verdicts(spark, name):
     assert [r.verdict for r in found] == ([expected] if expected else [])
 
 
+def test_near_rows_meet_in_one_or_two_bands(spark):
+    from pyspark.sql import functions as F
+
+    for width, reach in ((7, 3), (linkage.CENTS_BAND, 1)):
+        found = spark.range(-40, 40).select("id", linkage._bands(F.col("id"), width, reach).alias("bands"), linkage._bands(F.col("id"), width, 0).alias("own")).collect()
+        own = {r.id: r.own[0] for r in found}
+        for r in found:
+            assert len(r.own) == 1 and len(r.bands) <= 2
+            assert set(r.bands) >= {own[k] for k in range(r.id - reach, r.id + reach + 1) if k in own}
+        assert sum(len(r.bands) for r in found) < 2 * len(found)
+
+
 def test_blocking_is_complete(spark):
     import random
 
