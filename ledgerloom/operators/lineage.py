@@ -28,10 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint().hint("merge")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it comes in fewer tasks: for rows that cost far more to analyse than to move.
+def spread(df: DataFrame, *keys: str, rows: int = 50_000) -> DataFrame:
+    """``df`` in tasks of about so many rows, and over all cores: for rows that cost far more to analyse than to read.
 
-    A table that is read in as many tasks as there are cores, or more, stays as it is.
+    With ``keys``, rows of one key stay together, so windows and groups by these keys move
+    nothing again.  The number of tasks grows with the rows, so what a task holds doesn't.
+    Rows are counted first: give it a table, or what is written, not a costly plan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    count = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    if keys:
+        return df.repartition(count, *keys)
+    return df.repartition(count) if df.rdd.getNumPartitions() < count else df

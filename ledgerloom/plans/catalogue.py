@@ -469,13 +469,13 @@ def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, line_no, CASE WHEN n >= 8 THEN CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot) AS INTEGER) END AS region_no FROM d")
 def receipt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts side by side on a page are told apart; a page of fewer than eight lines is not."""
-    return layout.cluster_receipts(drawn_lines(spark, sf_dir)).select("file_id", "line_no", "region_no")
+    return layout.cluster_receipts(spread(drawn_lines(spark, sf_dir), *layout.PAGE)).select("file_id", "line_no", "region_no")
 
 
 @query(f"WITH d AS ({PIECED_SQL}) SELECT file_id, line_no, CASE WHEN i <> 12 THEN CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot) AS INTEGER) END AS region_no FROM d")
 def receipt_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strips are joined along x, the foot to what is above it, scraps to the receipt above; strays belong to none."""
-    return layout.cluster_receipts(pieced_lines(spark, sf_dir)).select("file_id", "line_no", "region_no")
+    return layout.cluster_receipts(spread(pieced_lines(spark, sf_dir), *layout.PAGE)).select("file_id", "line_no", "region_no")
 
 
 @query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, line_no, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot, k % 2 = 1 AND i >= 4) AS INTEGER) AS region_no FROM d")
@@ -484,7 +484,7 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("file_id").cast("long") * 3 + F.floor(F.col("line_no") / 100)
     down = F.when((k % 2 == 1) & (F.col("line_no") % 100 >= 4), 500.0).otherwise(0.0)
     lines = drawn_lines(spark, sf_dir).withColumn("y0", F.col("y0") + down).withColumn("y1", F.col("y1") + down)
-    return layout.segment_text_lines(lines).select("file_id", "line_no", "region_no")
+    return layout.segment_text_lines(spread(lines, *layout.PAGE, rows=200_000)).select("file_id", "line_no", "region_no")
 
 
 @query(
@@ -493,7 +493,7 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ink_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts found by the ink of page images: folds are no ink, a foot that is set off goes to the receipt above."""
-    return raster.segment_images(spread(drawn_pages(spark, sf_dir))).drop("page_no")
+    return raster.segment_images(drawn_pages(spark, sf_dir)).drop("page_no")
 
 
 @query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, CAST(slot AS INTEGER) AS region_no, CAST(CASE WHEN k % 2 = 0 THEN 8 ELSE 9 END AS BIGINT) AS n FROM d GROUP BY ALL")
@@ -505,7 +505,8 @@ def edge_bleed(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = first.withColumn("line_no", F.col("line_no") + 50).withColumn("y0", F.col("y0") + 300.0).withColumn("y1", F.col("y1") + 300.0)
     left = F.when(k % 2 == 0, F.col("x1") + 50.0).otherwise(F.col("x0") + 50.0)
     stray = first.withColumn("line_no", F.col("line_no") + 60).withColumn("text", F.lit("x")).withColumn("x0", left).withColumn("x1", F.col("x0") + 30.0)
-    kept = layout.strip_edge_bleed(lines.unionByName(more).unionByName(stray), ["file_id", "page_no", "region_no"])
+    keys = ["file_id", "page_no", "region_no"]
+    kept = layout.strip_edge_bleed(spread(lines.unionByName(more).unionByName(stray), *keys, rows=200_000), keys)
     return kept.groupBy("file_id", "region_no").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -519,7 +520,7 @@ def stack_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.when(k % 4 == 2, F.lit("Thank you")).otherwise(F.lit("Total 5.00"))
     texts = F.array(F.lit("VAT invoice"), F.lit("Tea 2.00"), F.lit("Milk 3.00"), F.lit("Total 5.00"), head, F.lit("Tea 2.00"), F.when(k % 4 == 3, F.lit("Tax Invoice")).otherwise(F.lit("Milk 3.00")), end)
     shown = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(texts).alias("row_no", "text"))
-    done = rows.split_stacked(shown, ["total"], ["o_orderkey"])
+    done = rows.split_stacked(spread(shown, "o_orderkey", rows=200_000), ["total"], ["o_orderkey"])
     return done.select(k.alias("k"), F.col("row_no").cast("long").alias("row_no"), "part")
 
 

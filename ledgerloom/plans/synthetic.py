@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -96,7 +98,7 @@ FROM orders
 
 def receipt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as the rows of a receipt: subtotal, tax, total and, for some, tip, written total or card."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long") % 500000 + 10000
     money = lambda c: F.format_string("%d.%02d", F.floor(c / 100).cast("long"), (c % 100).cast("long"))
     kind = F.col("o_orderkey") % 5
@@ -216,4 +218,5 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(white(40), left, fold, right, white(66))
 
     pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), row), ""))
-    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.lit(height).alias("height"), F.lit(width).alias("width"), pixels.alias("pixels"))
+    # Dealt before they are drawn: an image is some 360 KB.
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey"), rows=200).select(k.cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.lit(height).alias("height"), F.lit(width).alias("width"), pixels.alias("pixels"))
