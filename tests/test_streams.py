@@ -89,3 +89,35 @@ def test_hot_amount_keeps_one_record_a_day(spark, tmp_path):
     assert got.groupBy("record_id").count().agg(F.max("count")).first()[0] <= 3
     assert got.where("record_id in ('z')").count() == 0 and dropped_late(progress) == 1
     assert got.where("record_id like 'r%'").select("record_id").distinct().count() == 29_999
+
+
+def test_calls_do_not_grow_with_amounts(spark, tmp_path):
+    """3,000 groups of amounts and users, null keys among them, are dealt to at most 16 states, with the links that any other number of states gives."""
+    kinds = "record_id string, user long, batch int, cents long, day int"
+    rng = random.Random(5)
+    rows = [(f"r{i:04d}", rng.choice([None, 2**60 + 1, 2**60 + 2]), i // 2000, rng.choice([k * 100 + e for k in range(1000) for e in (-1, 0, 50)]), rng.randrange(3)) for i in range(4000)]
+    df = spark.createDataFrame(rows, kinds).withColumn("ts", ((F.col("day") + 100) * 86400).cast("timestamp")).drop("day")
+    found = {}
+    for states in (16, 1000):
+        path = tmp_path / str(states)
+        for k in range(2):
+            df.where(f"batch = {k}").drop("batch").coalesce(1).write.mode("append").parquet(str(path / "in"))
+        stream = spark.readStream.schema(df.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+        linked = links_by_day(stream, ["user"], days=1, late="9 days", states=states)
+        q = linked.writeStream.format("parquet").option("path", str(path / "out")).option("checkpointLocation", str(path / "state")).start()
+        q.processAllAvailable()
+        kept = q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+        q.stop()
+        assert kept <= states
+        found[states] = sorted(tuple(r) for r in spark.read.schema(linked.schema).parquet(str(path / "out")).select("record_id", F.coalesce("user", F.lit(0)), "cents", "of", "gap").collect())
+    by_id = {r[0]: r for r in rows}
+    assert found[16] == found[1000] and len(found[16]) > 500
+    expected, first = [], {}
+    for name, user, _, cents, day in sorted(rows, key=lambda r: (r[2], r[4], r[0])):
+        for c in (-1, 0, 1):
+            for d in (-1, 0, 1):
+                of = first.get((user, cents + c, day + d))
+                if of:
+                    expected.append((name, user or 0, cents, of, abs(d)))
+        first.setdefault((user, cents, day), name)
+    assert found[16] == sorted(expected) and all(by_id[r[0]][1] == by_id[r[3]][1] for r in found[16])
