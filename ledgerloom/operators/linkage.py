@@ -110,8 +110,9 @@ def duplicate_edges(classes: DataFrame, tolerance: int, scope: list[str]) -> Dat
     its cell only, and cells to the cells beside them.  Undated bills and slips of about
     one amount are tied to one of the other kind, and that one to all of these.  The
     slips that a bill with its tip may stand for are one range of sorted amounts: a sweep
-    ties the bill to the first slip of its range, and a slip to the next one if a range
-    holds both.  Sweeps run by scope, day and band over different amounts, not records.
+    puts the bill in one run with the first slip of its range, and a slip with the next one
+    if a range holds both; a run is tied to its smallest member, so that no chain as long as
+    a day is left.  Sweeps run by scope, day and band over different amounts, not records.
     """
     known = classes
     for c in scope:
@@ -132,7 +133,8 @@ def duplicate_edges(classes: DataFrame, tolerance: int, scope: list[str]) -> Dat
     first = lambda rows, name: rows.groupBy(*scope, "cents", F.col("kind").alias("other")).agg(F.min("id").alias(name))
     bare = either.where(F.size("dates") == 0)
     asking = lambda rows: rows.select(*scope, "other", F.col("id").alias("a"), around("cents").alias("cents"))
-    to_bare = asking(either).join(first(bare, "b"), [*scope, "cents", "other"]).select("a", "b")
+    # All bills and slips ask here, so those without a date are told to the cents beside theirs.
+    to_bare = either.select(*scope, "other", F.col("id").alias("a"), "cents").join(first(bare, "b").withColumn("cents", around("cents")), [*scope, "cents", "other"]).select("a", "b")
     from_bare = asking(bare).join(first(either, "b"), [*scope, "cents", "other"]).select("a", "b")
     # A tip on the card: slips from a cent more up to the ratio.
     days = F.explode(F.array(*[F.date_add("day", F.lit(k)) for k in range(-tolerance, tolerance + 1)]))
@@ -141,9 +143,13 @@ def duplicate_edges(classes: DataFrame, tolerance: int, scope: list[str]) -> Dat
     points = cells.where("slip is not null").select(*scope, "day", F.col("cents").alias("at"), F.lit(None).cast("long").alias("upto"), F.col("slip").alias("id"), _band("cents").alias("band"), F.lit(True).alias("is_slip"))
     swept = Window.partitionBy(*scope, "day", "band")
     rising, falling = swept.orderBy("at", "is_slip"), swept.orderBy(F.desc("at"), F.desc("is_slip"))
-    following = F.last(F.when(F.col("is_slip"), F.struct("at", "id")), ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.last(F.when(F.col("is_slip"), F.col("at")), ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1))
     reach = F.when(F.col("is_slip"), F.max("upto").over(rising.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.col("upto"))
-    on_card = ranges.unionByName(points).withColumn("following", following).withColumn("reach", reach).where(F.col("following.at") <= F.col("reach")).select(F.col("id").alias("a"), F.col("following.id").alias("b"))
+    sweep = ranges.unionByName(points).withColumn("following", following).withColumn("tied", F.coalesce(F.col("following") <= reach, F.lit(False)))
+    # Slips tied to the next one, and the bills tied to any of these, are one run: all its members are tied to its smallest.
+    run = F.count(F.when(F.col("is_slip") & ~F.col("tied"), 1)).over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = sweep.withColumn("run", run).where(F.col("is_slip") | F.col("tied"))
+    on_card = runs.withColumn("least", F.min("id").over(Window.partitionBy(*scope, "day", "band", "run"))).select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
     # A tip in cash: the slip says what is printed.
     bills = dated.where("kind = 'invoice' and printed is not null").withColumn("total", F.col("cents")).withColumn("day", days).withColumn("cents", around("printed"))
     fits = (F.col("cents") < F.col("total")) & (F.col("total") * 100 <= F.col("cents") * TIP_RATIO_PERCENT)

@@ -118,6 +118,20 @@ def test_components_of_a_long_chain(spark, monkeypatch):
     assert len(cuts) <= 2 + 2 * 14
 
 
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    """A chain of 300 names in order: what all rounds write is a few times the nodes, not all nodes for each round."""
+    from ledgerloom.operators import components
+
+    names = [f"n{k:03d}" for k in range(300)]
+    written = []
+    whole = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: written.append((done := whole(df)).count()) or done)
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")).collect()}
+    assert found == dict.fromkeys(names, "n000")
+    assert sum(written) <= 12 * 300
+
+
+
 @pytest.mark.parametrize(
     ("dates", "expected"),
     [
