@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import raster
 from ledgerloom.operators.raster import LIMITS
@@ -160,3 +161,37 @@ def test_boxes_are_joined_in_order(seed):
                     again = True
                     break
         assert raster.joined_scraps(boxes, 140) == rest
+
+
+def test_ink_is_kept_in_blocks(spark, pages):
+    """Equal runs of neighbouring rows are one row, and cuts of blocks are those of their runs."""
+    _, df = pages
+    df = df.where("pixels is not null and height > 0")
+    blocks, runs = raster.ink_blocks(df).cache(), raster.ink_runs(df)
+    assert 0 < 2 * blocks.count() < runs.count() == blocks.agg(F.sum("rows")).first()[0]
+    boxes = lambda ink: sorted(map(tuple, raster.cut_parts(ink, 17, 70).collect()))
+    assert boxes(blocks) == boxes(runs)
+
+
+def test_components_within_a_band_are_judged_there(spark, pages):
+    """Only what reaches a band's border is named outside it; a long line within a band goes all the same."""
+    image = np.full((600, 400), 255, dtype=np.uint8)
+    image[100:104, 20:380] = 0
+    for y in range(200, 400, 24):
+        image[y : y + 12, 50:58] = 0
+    df = spark.createDataFrame([("f", 1, 600, 400, bytearray(image.tobytes()))], PAGE)
+    kinds = "file_id string, page_no int, band int, height int, width int, runs binary, components array<struct<label:long,x0:int,y0:int,x1:int,y1:int,area:long>>, shared array<struct<y:int,x:int,label:long>>"
+    named = raster._band_rows(df).mapInArrow(raster._read_bands, kinds).select(F.explode("components").alias("c")).select("c.*").collect()
+    assert sorted((c.y0, c.y1, c.x0) for c in named) == [(248, 256, 50), (256, 260, 50)]
+    assert {(r.y, r.rows, r.x0, r.x1) for r in raster.ink_blocks(df).collect()} >= {(200, 12, 50, 58)}
+    assert raster.ink_blocks(df).where("y < 200").count() == 0
+
+
+def test_pages_are_drawn_where_they_were_dealt(spark, tmp_path):
+    """A filter on pixels is not moved to the one task that reads the keys."""
+    from ledgerloom.plans.synthetic import drawn_pages
+
+    spark.range(40).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    shown = drawn_pages(spark, str(tmp_path)).where("pixels is not null")
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and shown.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
