@@ -28,14 +28,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint().hint("merge")
 
 
+def tasks_for(df: DataFrame, rows: int = 50_000) -> int:
+    """Tasks of about so many rows, and one for each core at least.
+
+    Rows are counted first: give it a table, or what is written, not a costly plan.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def spread(df: DataFrame, *keys: str, rows: int = 50_000) -> DataFrame:
     """``df`` in tasks of about so many rows, and over all cores: for rows that cost far more to analyse than to read.
 
     With ``keys``, rows of one key stay together, so windows and groups by these keys move
     nothing again.  The number of tasks grows with the rows, so what a task holds doesn't.
-    Rows are counted first: give it a table, or what is written, not a costly plan.
     """
-    count = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    count = tasks_for(df, rows)
     if keys:
         return df.repartition(count, *keys)
     return df.repartition(count) if df.rdd.getNumPartitions() < count else df

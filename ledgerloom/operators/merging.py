@@ -1,4 +1,7 @@
-"""Merging the groups of a page's lines into receipts, one cheapest pair after the other.
+"""A page's lines chained to groups, and these merged into receipts, one cheapest pair after the other.
+
+Lines chain only within a page, so they are chained where the page is held anyway: pairs of
+lines are never rows that are shuffled.
 
 A pair's right to merge and its cost depend on its two groups and on where the page's
 lines stand, which never changes.  So a pair is judged once, when the later one of its
@@ -13,12 +16,15 @@ Pages are dealt by key and stream through a task one at a time.
 from __future__ import annotations
 
 import heapq
+import itertools
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +66,36 @@ def apart(a: Group, b: Group, axis: str) -> float:
     return max(a.y0, b.y0) - min(a.y1, b.y1)
 
 
+def chains(lines: dict[str, list], limits: dict[str, float]) -> list[int]:
+    """For each line the first of those that are chained: above one another and near; weak ones are no bridge and stay alone.
+
+    From the top, a line is only tried with those that begin within reach of its foot.
+    """
+    x0, y0, x1, y1, weak, height = (lines[c] for c in ("x0", "y0", "x1", "y1", "is_weak", "height"))
+    n = len(x0)
+    root = list(range(n))
+    if not n:
+        return root
+    reach, deep = max(limits["vertical_break"] * lines["scale"][0], limits["vertical_lines"] * height[0]), -limits["vertical_overlap"] * height[0]
+    overlap = limits["link_overlap"]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    order = sorted((i for i in range(n) if not weak[i]), key=y0.__getitem__)
+    for k, i in enumerate(order):
+        left, right, foot = x0[i], x1[i], y1[i]
+        for j in map(order.__getitem__, range(k + 1, len(order))):
+            if y0[j] - foot > reach:
+                break
+            if min(right, x1[j]) - max(left, x0[j]) >= overlap * min(right - left, x1[j] - x0[j]) and deep <= y0[j] - min(foot, y1[j]) <= reach:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
 class Page:
     """The groups of one page, with its scale and line height."""
 
@@ -261,7 +297,39 @@ class Page:
         return [g.place if g is not None else None for g in self.owner]
 
 
-_READ = ["group", "x0", "y0", "x1", "y1", "scale", "height", "n_chars", "is_money", "has_date", "has_total", "is_head"]
+_READ = ["x0", "y0", "x1", "y1", "scale", "height", "n_chars", "is_money", "has_date", "has_total", "is_head"]
+
+
+def _changes(keys: list[pa.Array]) -> list[int]:
+    """Rows whose key isn't that of the row before; nulls are equal to one another."""
+    changed = np.zeros(max(len(keys[0]) - 1, 0), dtype=bool)
+    for k in keys:
+        here, before = k.slice(1), k.slice(0, len(changed))
+        for differs in (pc.fill_null(pc.not_equal(here, before), False), pc.xor(here.is_null(), before.is_null())):
+            changed |= differs.to_numpy(zero_copy_only=False)
+    return (np.flatnonzero(changed) + 1).tolist()
+
+
+def _values(table: pa.Table, name: str) -> list:
+    """A column's values; the short way knows no nulls."""
+    column = table.column(name)
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole pages, and where in them pages begin, with the end."""
+    held: pa.Table | None = None  # the page that may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        bounds = [0, *_changes([table.column(k).combine_chunks() for k in keys])]
+        if len(bounds) > 1:
+            yield table.slice(0, bounds[-1]), bounds
+        held = table.slice(bounds[-1])
+    if held is not None:
+        yield held, [0, held.num_rows]
 
 
 def merge_groups(lines: DataFrame, keys: list[str], limits: dict[str, float]) -> DataFrame:
@@ -273,25 +341,42 @@ def merge_groups(lines: DataFrame, keys: list[str], limits: dict[str, float]) ->
     count = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.repartition(count, *keys).sortWithinPartitions(*keys, "line_no")
 
-    def settled(page: pa.Table) -> Iterator[pa.RecordBatch]:
-        group = Page({c: page.column(c).to_pylist() for c in _READ}, limits).settle()
-        page = page.set_column(names.index("group"), "group", pa.array(group, pa.int64()))
-        yield from page.filter(page.column("group").is_valid()).combine_chunks().to_batches()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the page that may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            marks = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
-            bounds = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1])]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                yield from settled(table.slice(a, b - a))
-            held = table.slice(bounds[-1])
-        if held is not None:
-            yield from settled(held)
+        for table, bounds in _whole_pages(batches, keys):
+            read = {c: _values(table, c) for c in ["group", *_READ]}
+            group = [g for a, b in itertools.pairwise(bounds) for g in Page({c: v[a:b] for c, v in read.items()}, limits).settle()]
+            table = table.set_column(names.index("group"), "group", pa.array(group, pa.int64()))
+            yield from table.filter(table.column("group").is_valid()).combine_chunks().to_batches()
 
     dealt = dealt.withColumn("group", F.col("group").cast("long"))
     return dealt.mapInArrow(run, dealt.schema)
+
+
+def page_receipts(lines: DataFrame, keys: list[str], limits: dict[str, float]) -> DataFrame:
+    """Lines (keys, line_no, their boxes and flags), in tasks by page and there sorted -> a row for each receipt: hull, n, flags, its lines.
+
+    Memory of a task: one page and one Arrow batch.
+    """
+    line_no = lines.schema["line_no"].dataType.simpleString()
+    names = ["group", "x0", "y0", "x1", "y1", "n", "is_money", "has_date", "has_total"]
+    kinds = [pa.int64(), *[pa.float64()] * 4, pa.int64(), *[pa.bool_()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_pages(batches, keys):
+            read = {c: _values(table, c) for c in ["is_weak", "line_no", *_READ]}
+            where, rows, own = [], [], []
+            for a, b in itertools.pairwise(bounds):
+                lines = {c: v[a:b] for c, v in read.items()}
+                page = Page({**lines, "group": chains(lines, limits)}, limits)
+                page.settle()
+                for g in page.live():
+                    where.append(a)
+                    rows.append((g.place, g.x0, g.y0, g.x1, g.y1, g.n, g.money, g.date, g.total))
+                    own.append([lines["line_no"][i] for i in g.lines])
+            of = pa.array(where, pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            made = [*(table.column(k).combine_chunks().take(of) for k in keys), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)), pa.array(own, pa.list_(table.schema.field("line_no").type))]
+            yield from pa.Table.from_arrays(made, names=[*keys, *names, "lines"]).combine_chunks().to_batches()
+
+    shapes = [f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} {t}" for c, t in zip(names, ["long", *["double"] * 4, "long", *["boolean"] * 3], strict=True)]
+    return lines.mapInArrow(run, ", ".join([*shapes, f"lines array<{line_no}>"]))

@@ -11,7 +11,7 @@ from ..config import CARD_SLIP_WORDS, LinkSettings
 from ..functions import dates, money, text
 from ..operators import classify, consensus, layout, linkage, raster, records, review, rows
 from ..operators.components import connected_components
-from ..operators.lineage import shared_folder, spread
+from ..operators.lineage import shared_folder, spread, tasks_for
 from ..streaming import groups, links
 from .synthetic import DRAWN_SQL, EVENT_RECORDS_SQL, ORDER_RECORDS_SQL, PIECED_SQL, RECEIPTS_SQL, dated_records, drawn_lines, drawn_pages, event_records, order_amounts, order_records, pieced_lines, receipt_rows, table
 
@@ -469,13 +469,15 @@ def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, line_no, CASE WHEN n >= 8 THEN CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot) AS INTEGER) END AS region_no FROM d")
 def receipt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts side by side on a page are told apart; a page of fewer than eight lines is not."""
-    return layout.cluster_receipts(spread(drawn_lines(spark, sf_dir), *layout.PAGE)).select("file_id", "line_no", "region_no")
+    lines = drawn_lines(spark, sf_dir)
+    return layout.cluster_receipts(lines, tasks=tasks_for(lines)).select("file_id", "line_no", "region_no")
 
 
 @query(f"WITH d AS ({PIECED_SQL}) SELECT file_id, line_no, CASE WHEN i <> 12 THEN CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot) AS INTEGER) END AS region_no FROM d")
 def receipt_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strips are joined along x, the foot to what is above it, scraps to the receipt above; strays belong to none."""
-    return layout.cluster_receipts(spread(pieced_lines(spark, sf_dir), *layout.PAGE)).select("file_id", "line_no", "region_no")
+    lines = pieced_lines(spark, sf_dir)
+    return layout.cluster_receipts(lines, tasks=tasks_for(lines)).select("file_id", "line_no", "region_no")
 
 
 @query(f"WITH d AS ({DRAWN_SQL}) SELECT file_id, line_no, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY slot, k % 2 = 1 AND i >= 4) AS INTEGER) AS region_no FROM d")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, spread
@@ -126,6 +126,16 @@ FROM orders, LATERAL (SELECT CAST(round(o_totalprice * 100) AS BIGINT) % 500000
 """
 
 
+#: Not a constant: the optimiser would take it out of keys, and what is dealt by page would be moved again by file.
+def _first_page() -> Column:
+    return F.when(F.col("o_orderkey").isNotNull(), F.lit(1))
+
+
+def _dealt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of orders, dealt before they become lines: a small file is read by one task."""
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), rows=20_000)
+
+
 #: Rows of a drawn receipt; {} is its number.
 DRAWN = ["TAX INVOICE", "Date 07/03/2026", "Coffee beans and milk 35.00", "Subtotal 100.00", "Sales Tax 15.00", "Total 115.00", "Thank you for coming"]
 
@@ -135,9 +145,9 @@ def drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = F.posexplode(F.array(*map(F.lit, DRAWN))).alias("i", "text")
     left, top = (k % 3) * 700.0, (k % 5) * 10.0 + F.col("i") * 40.0
-    return table(spark, sf_dir, "orders").select("o_orderkey", rows).select(
+    return _dealt_orders(spark, sf_dir).select("o_orderkey", rows).select(
         F.floor(k / 3).cast("string").alias("file_id"),
-        F.lit(1).alias("page_no"),
+        _first_page().alias("page_no"),
         ((k % 3) * 100 + F.col("i")).cast("int").alias("line_no"),
         "text",
         left.alias("x0"),
@@ -182,11 +192,11 @@ def pieced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k, slot = F.col("o_orderkey"), F.col("o_orderkey") % 3
     piece = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("piece", "text", "x", "y", "w"), p, strict=True)]) for p in PIECES])
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(piece).alias("i", "p")).where(((F.col("p.piece") != "scrap") | (k % 2 == 0)) & ((F.col("p.piece") != "stray") | (k % 5 == 0)))
+    rows = _dealt_orders(spark, sf_dir).select("o_orderkey", F.posexplode(piece).alias("i", "p")).where(((F.col("p.piece") != "scrap") | (k % 2 == 0)) & ((F.col("p.piece") != "stray") | (k % 5 == 0)))
     left, top = slot * 1000.0 + F.col("p.x"), (k % 7) * 9.0 + F.col("p.y")
     return rows.select(
         F.floor(k / 3).cast("string").alias("file_id"),
-        F.lit(1).alias("page_no"),
+        _first_page().alias("page_no"),
         (slot * 100 + F.col("i")).cast("int").alias("line_no"),
         F.col("p.text").alias("text"),
         left.alias("x0"),

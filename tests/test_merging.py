@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.layout import LIMITS, cluster_receipts
-from ledgerloom.operators.merging import Page, merge_groups
+from ledgerloom.operators.merging import Page, chains, merge_groups
 from ledgerloom.schema import LINE
 
 FLAGS = ["is_money", "has_date", "has_total", "is_head"]
@@ -205,3 +205,45 @@ def test_pages_in_tasks(spark):
 
 def test_no_pages(spark):
     assert cluster_receipts(spark.createDataFrame([], LINE)).where(F.col("region_no").isNotNull()).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_are_chained_as_all_pairs_say(seed):
+    """From the top, with a reach, against every pair of lines; weak lines stay alone."""
+    rng = random.Random(seed)
+    joined = 0
+    for k in range(300):
+        n = rng.randint(0, 30)
+        step = 25 if k % 2 else 1
+        boxes = [(x := rng.randrange(0, 900, step), y := rng.randrange(0, 700, step), x + rng.randrange(0, 400, step), y + rng.randrange(0, 100, step)) for _ in range(n)]
+        page = {c: [float(b[j]) for b in boxes] for j, c in enumerate(("x0", "y0", "x1", "y1"))}
+        page |= {"is_weak": [rng.random() < 0.2 for _ in boxes], "scale": [rng.choice([0.3, 1.0])] * n, "height": [rng.choice([20.0, 25.0, 40.0])] * n}
+        label = list(range(n))
+        for _ in range(n):
+            for i in range(n):
+                for j in range(n):
+                    a, b = boxes[i], boxes[j]
+                    reach = max(LIMITS["vertical_break"] * page["scale"][0], LIMITS["vertical_lines"] * page["height"][0])
+                    gap, common = max(a[1], b[1]) - min(a[3], b[3]), min(a[2], b[2]) - max(a[0], b[0])
+                    if i != j and not page["is_weak"][i] and not page["is_weak"][j] and common >= LIMITS["link_overlap"] * min(a[2] - a[0], b[2] - b[0]) and -LIMITS["vertical_overlap"] * page["height"][0] <= gap <= reach:
+                        label[i] = label[j] = min(label[i], label[j])
+        assert chains(page, LIMITS) == label
+        joined += len(label) - len(set(label))
+    assert joined > 300
+
+
+def test_receipts_are_found_without_checkpoints_and_pairs_of_lines(spark):
+    """Lines are moved once by page and once for their numbers, and nothing is written on the way, whatever the pages hold."""
+    import os
+
+    from ledgerloom.operators.lineage import shared_folder
+
+    rows = [("f%d" % p, 1, i, "Total 5.00" if i else "x", 700.0 * (i % 2), 40.0 * (i // 2), 700.0 * (i % 2) + 400, 40.0 * (i // 2) + 25, 0.0, 0.99) for p in range(5) for i in range(14)]
+    lines = spark.createDataFrame(rows, LINE)
+    shared = shared_folder(spark).removeprefix("file:")
+    count = lambda: sum(len(f) for _, _, f in os.walk(shared))
+    before, found = count(), cluster_receipts(lines, tasks=3)
+    assert {(r.line_no % 2, r.region_no) for r in found.collect()} == {(0, 1), (1, 2)}
+    assert count() == before
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
