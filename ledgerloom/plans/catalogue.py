@@ -486,7 +486,7 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("file_id").cast("long") * 3 + F.floor(F.col("line_no") / 100)
     down = F.when((k % 2 == 1) & (F.col("line_no") % 100 >= 4), 500.0).otherwise(0.0)
     lines = drawn_lines(spark, sf_dir).withColumn("y0", F.col("y0") + down).withColumn("y1", F.col("y1") + down)
-    return layout.segment_text_lines(spread(lines, *layout.PAGE, rows=200_000)).select("file_id", "line_no", "region_no")
+    return layout.segment_text_lines(lines, tasks=tasks_for(lines, 200_000)).select("file_id", "line_no", "region_no")
 
 
 @query(

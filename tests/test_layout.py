@@ -191,3 +191,57 @@ def test_links_on_arrival(spark, tmp_path):
         near = [(b, a) for a, u, b, c in rows[:i] if u == user and abs(c - cents) <= 1 and abs(b - s) <= 3 * 86400]
         expected[name] = min(near)[1] if near else None
     assert got == expected and sum(v is not None for v in got.values()) > 20
+
+
+def blocks_by_hand(lines):
+    """line_no -> block, by the covered pixels of a page."""
+    import math
+
+    import numpy as np
+
+    boxes = [x for x in lines if x[3].strip()]
+    height, foot = float(np.median([b[7] - b[5] for b in boxes])), max(b[7] for b in boxes)
+
+    def before(own, k, most, least):
+        low, high = [math.floor(max(b[k], 0.0)) for b in own], [math.floor(b[k + 2]) + 1 for b in own]
+        begin, cover = min(low), np.zeros(max(high) - min(low), dtype=int)
+        for a, b in zip(low, high, strict=True):
+            cover[a - begin : b - begin] += 1
+        edge = np.flatnonzero(np.diff(np.pad(cover <= most, 1).astype(int))) + begin
+        cuts = [(a + b) / 2 for a, b in zip(edge[::2], edge[1::2], strict=True) if b < max(high) and b - a >= least]
+        return [sum(c < (b[k] + b[k + 2]) / 2 for c in cuts) for b in own]
+
+    column, place, region, found = before(boxes, 4, 1, max(0.8 * height, 10.0)), {}, 0, {}
+    for c in sorted(set(column)):
+        own = [b for b, k in zip(boxes, column, strict=True) if k == c]
+        for b, k in zip(own, before(own, 5, 0, max(3 * height, 0.025 * foot)), strict=True):
+            place.setdefault((c, k), []).append(b)
+    for _, own in sorted(place.items()):
+        region += len(own) >= 3 and sum(len(b[3].strip()) for b in own) >= 20
+        found |= {b[2]: region or None for b in own}
+    return found
+
+
+def test_blocks_of_random_pages(spark):
+    import random
+
+    rng, rows, expected = random.Random(5), [], {}
+    for p in range(120):
+        step, left = (20 if p % 2 else 1), [rng.randrange(0, 1500, 50) for _ in range(rng.randint(1, 4))]
+        own = []
+        for i in range(rng.choice([1, 4, 12, 40])):
+            x, y = rng.choice(left) + rng.choice([0, step]), rng.randrange(0, rng.choice([300, 1200]), step)
+            own.append((f"f{p}", 1, i, rng.choice(["Total 5.00", "a longer line of text", "x", "  "]), float(x), float(y), float(x + rng.choice([20, 200, 380])), float(y + rng.choice([15, 25])), 0.0, 0.9))
+        if any(x[3].strip() for x in own):
+            rows += own
+            expected |= {(f"f{p}", i): r for i, r in blocks_by_hand(own).items()}
+    got = {(r.file_id, r.line_no): r.region_no for r in layout.segment_text_lines(spark.createDataFrame(rows, LINE)).collect()}
+    assert len(got) == len(rows) and {k: v for k, v in got.items() if v} == {k: v for k, v in expected.items() if v}
+    assert max(filter(None, got.values())) > 2 and None in got.values()
+
+
+def test_text_lines_move_by_page_and_for_their_numbers(spark, two):
+    """One exchange of boxes, and the two sides of the last join, whatever columns and blocks a page has."""
+    found = layout.segment_text_lines(two, tasks=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "Broadcast" not in plan
